@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes translation that lower-cases A-Z only.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -37,6 +38,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The texts of a string column as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
