@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_texts, stored, with_fields
+from .common import LOWER, byte_texts, small, stored, with_fields
 
 UNIT_WORDS, SUFFIXES, CLASSES = 1500, 500, 64
 HEAD = 500_000
@@ -225,13 +225,13 @@ def fit(train: DataFrame, text: str = "text", head: int = HEAD) -> tuple[Model,
 
     def pairs(batches: Iterator[pa.RecordBatch]):
         u, found = known.value, None
-        for batch in batches:
-            if batch.num_rows:
-                _, x, first, _ = u.read(byte_texts(batch.column(0)))
-                before = np.concatenate([[0], x[:-1]])
-                before[first[:-1]] = u.unit[END]
-                new = np.bincount(before * u.n + x, minlength=u.n * u.n)
-                found = new if found is None else found + new
+        for batch in small(batches, text):
+            _, x, first, _ = u.read(byte_texts(batch.column(0)))
+            before = np.concatenate([[0], x[:-1]])
+            before[first[:-1]] = u.unit[END]
+            pair, n = np.unique(before * u.n + x, return_counts=True)
+            found = np.zeros(u.n * u.n, dtype=np.int64) if found is None else found
+            found[pair] += n
         if found is not None:
             at = np.flatnonzero(found)
             for k in range(0, len(at), 100_000):
@@ -251,13 +251,12 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, text: str = "text", ke
     kind = pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            if batch.num_rows:
-                x = shared.value.score(byte_texts(batch.column("body")))
-                rest = pa.array([[{"w": w.decode(), "n": n} for w, n in r.items()] for r in x["rest"]], kind)
-                columns = [batch.column(f"key_{i}") for i in range(len(keys))]
-                columns += [pa.array(x["n"]), pa.array(x["known"]), pa.array(x["base"]), pa.array(x["score"]), rest]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for batch in small(batches, "body"):
+            x = shared.value.score(byte_texts(batch.column("body")))
+            rest = pa.array([[{"w": w.decode(), "n": n} for w, n in r.items()] for r in x["rest"]], kind)
+            columns = [batch.column(f"key_{i}") for i in range(len(keys))]
+            columns += [pa.array(x["n"]), pa.array(x["known"]), pa.array(x["base"]), pa.array(x["score"]), rest]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     part = stored(picked.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
     words = part.where(F.size("rest") > 0).select("row", F.explode("rest").alias("x")).select("row", F.col("x.w").alias("word"), F.col("x.n").alias("k"))

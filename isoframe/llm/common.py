@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +49,20 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def small(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most limit bytes of text (a longer text is a batch of its own)."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+        at, held = 0, 0
+        for k, n in enumerate(lengths.tolist()):
+            if k > at and held + n > limit:
+                yield batch.slice(at, k - at)
+                at, held = k, 0
+            held += n
+        if batch.num_rows > at:
+            yield batch.slice(at)
+
+
 def crc_fold(column: str, mod: int):
     """crc32 of an id's decimal text, modulo mod; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(mod))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts
+from .common import byte_texts, small
 
 PROFILE = 400
 SAMPLE_PER_LANGUAGE = 20_000
@@ -81,7 +81,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     sample = rows.where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in small(batches, "body"):
             total: dict[str, list] = {}
             for name, text in zip(batch.column("lang").to_pylist(), byte_texts(batch.column("body")), strict=True):
                 total.setdefault(name, []).append(grams(text.decode()))

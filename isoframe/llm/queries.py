@@ -4,20 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, language_id, near_dedup, pu_quality, quality_rules
+from . import class_lm, decontaminate, language_id, nbest_pieces, near_dedup, pu_quality, quality_rules, token_files
 from .common import crc_fold, table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_files(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op4_pu_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_fold("doc_id", 5) == 0)
     model = pu_quality.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels").where(crc_fold("doc_id", 5) != 0))
     return pu_quality.score(docs, model, keys=("doc_id", "held_out"))
 
 
+def op5_nbest_pieces(spark, sf_dir):
+    return nbest_pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+
+
 def op6_minhash(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -41,7 +55,9 @@ def op10_class_lm(spark, sf_dir):
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_token_files": op3_token_files,
     "op4_pu_quality": op4_pu_quality,
+    "op5_nbest_pieces": op5_nbest_pieces,
     "op6_minhash": op6_minhash,
     "op7_language_id": op7_language_id,
     "op9_quality_rules": op9_quality_rules,
