@@ -34,7 +34,8 @@ from .common import byte_texts, offsets, small, with_fields
 N_BEST = 4
 KEPT = 400_000
 MARK = "▁"
-FINE = re.compile(rf"{MARK}*[^\W\d_]+|{MARK}*(?:(?![^\W\d_])[^{MARK}\n])+|\n|{MARK}+")
+LETTER = r"(?![\xb2\xb3\xb9])[^\W\d_]"
+FINE = re.compile(rf"{MARK}*(?:{LETTER})+|{MARK}*(?:(?!{LETTER})[^{MARK}\n])+|\n|{MARK}+")
 COARSE = re.compile(rf"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 
 
@@ -56,7 +57,7 @@ class Pieces:
         self.byte_id = {int(model.id_to_piece(k)[3:5], 16): k for k in range(size) if model.is_byte(k)}
         self.byte_of = {k: b for b, k in self.byte_id.items()}
         self.longest = max(map(len, self.score), default=1)
-        letter = re.compile(r"[^\W\d_]")
+        letter = re.compile(LETTER)
         bare = [p.lstrip(MARK) for p in self.score]
         apart = all(len({bool(letter.match(c)) for c in p}) < 2 for p in bare)
         self.cut = FINE if apart else COARSE
