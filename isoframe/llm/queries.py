@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, language_id, nbest_pieces, near_dedup, pu_quality, quality_rules, token_files
+from . import class_lm, decontaminate, language_id, nbest_pieces, near_dedup, pu_quality, quality_rules, style_tree, token_files
 from .common import crc_fold, table
 
 
@@ -43,6 +43,10 @@ def op7_language_id(spark, sf_dir):
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_style_tree(spark, sf_dir):
+    return style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op5_nbest_pieces": op5_nbest_pieces,
     "op6_minhash": op6_minhash,
     "op7_language_id": op7_language_id,
+    "op8_style_tree": op8_style_tree,
     "op9_quality_rules": op9_quality_rules,
     "op10_class_lm": op10_class_lm,
 }
