@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, language_id, nbest_pieces, near_dedup, pu_quality, quality_rules, style_tree, token_files
+from . import class_lm, decontaminate, language_id, nbest_pieces, near_dedup, pu_quality, quality_rules, sharding, style_tree, token_files
 from .common import crc_fold, table
 
 
@@ -14,6 +14,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark, sf_dir):
+    return sharding.compacted(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +62,7 @@ def op10_class_lm(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op3_token_files": op3_token_files,
     "op4_pu_quality": op4_pu_quality,
@@ -70,6 +75,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_sharding": sharding.SQL,
     "op2_decontamination": decontaminate.SQL,
     "op6_minhash": near_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
