@@ -93,8 +93,8 @@ def covered_by_repeats(words: Column, width: int = 5) -> Column:
     return F.when(F.size(words) > width, let(hashes, covered)).otherwise(F.lit(0)).cast("long")
 
 
-def metrics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One projection of counts and ratios for each document."""
+def metrics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
+    """One projection of counts and ratios for each document; carry: further columns to keep."""
     body = F.coalesce(F.col(text), F.lit(""))
 
     def counts(w, lines):
@@ -117,7 +117,7 @@ def metrics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     found = let(words_of(body), lambda w: let(F.split(body, "\n"), lambda x: counts(w, x)))
     out = docs.select(
-        F.col(doc_id).alias("doc_id"),
+        F.struct(F.col(doc_id).alias("doc_id"), *carry).alias("own"),
         found.alias("f"),
         (F.length(body) - F.length(F.regexp_replace(body, f"[{SYMBOLS}]", ""))).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(body, "[^\\p{Lu}]+", "")).cast("long").alias("n_upper"),
@@ -128,7 +128,7 @@ def metrics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     n, chars, line = F.col("f.n_words"), F.col("f.word_chars"), "f.line."
     return out.select(
-        "doc_id",
+        "own.*",
         n.alias("n_words"),
         chars.alias("word_chars"),
         "n_symbols",
@@ -157,9 +157,20 @@ def compile_rules(rules=RULES) -> Column:
     return verdict
 
 
+def base_rule() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def with_verdict(docs: DataFrame, name: str, rules=RULES, text: str = "text") -> DataFrame:
+    """docs with one boolean column more, under a name that docs doesn't have: true if the row passes."""
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("whole")
+    found = metrics(docs.withColumn(name, F.lit(0)), name, text, (whole,))
+    return found.select("whole.*", (~base_rule() & compile_rules(rules)).alias(name))
+
+
 def apply_rules(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the five base counts, base_failed and kept, one row for each row of docs."""
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    base = base_rule()
     return metrics(docs, doc_id, text).select(
         "doc_id",
         "n_words",
