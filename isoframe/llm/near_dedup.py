@@ -5,21 +5,22 @@ permutation pi after a circular shift by k steps: two permutations make all COOR
 coordinates give candidate buckets. With similarity s a pair shares a bucket with probability
 1 - (1 - s ** ROWS) ** BANDS: at 0.85 all but 6e-11, at 0.8 all but 1.3e-7.
 
-The steps, all on keys of bounded size, and each over classes (documents of one shingle set are one class, so copies
-are never paired):
+The steps, each over classes (documents of one shingle set are one class, so copies are never paired):
 
 1. signatures, bands and a digest of the set in one pass over the texts;
-2. buckets of two or more classes; each bucket's hub is its class with the fullest buckets;
-3. every member is compared with its hubs: signature first, then the full sets, which links most of a group;
-4. components by alternating large and small stars;
-5. buckets that still hold several components are compared inside, in blocks of at most BLOCK members: pairs of
-   different components whose sizes and signatures allow a link, each in the first bucket they share, are
-   verified on full sets, and components are formed again.
-
-A signature rejects a pair only if its estimate lies MARGIN standard deviations below the threshold. Links within
+2. buckets of two or more classes; inside a bucket the classes whose sizes and signatures allow a link are joined, and
+   only the edges that hold them together leave the task (fewer than members, whatever the number of pairs);
+3. candidate clusters: the components of these edges;
+4. the full sets of the classes in clusters, fetched once; each is compared with its cluster's hub, the class with
+   most candidate edges, which links most of a group;
+5. the others are compared with all of their cluster, a block of at most BLOCK against another, on full sets; again only
+   the edges that hold the linked ones together leave the task;
+6. components of the verified edges, by alternating large and small stars.
+
+A signature rejects a pair only if its estimate lies MARGIN standard deviations below the threshold. Links inside
 a component that is already joined aren't expanded; no link between different components is left out but with
-the probabilities above. Documents without words are alone. Repeated rows of a doc_id are one document. A
-null doc_id joins its class but is never its smallest.
+the probabilities above. Documents without words are alone. Rows of one doc_id are one document. A null doc_id
+joins its class but is never its smallest.
 """
 
 from __future__ import annotations
@@ -132,28 +133,96 @@ def sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
 
 
-def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sizes and signatures allow a link."""
-    least = least_estimate(percent)
-
-    def side(x):
-        return classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what the edges (i, j) over n places join: each place but the first with the first of its part."""
+    part = np.arange(n)
+    while True:
+        before = part.copy()
+        low = np.minimum(part[i], part[j])
+        np.minimum.at(part, i, low)
+        np.minimum.at(part, j, low)
+        part = part[part]
+        if (part == before).all():
+            rest = np.flatnonzero(part != np.arange(n))
+            return rest, part[rest]
+
+
+def groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Runs of whole groups, in rows that come sorted by names."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        own = np.stack([held.column(c).to_numpy() for c in names], 1)
+        other = np.flatnonzero((own != own[-1]).any(1))
+        if len(other):
+            yield held.slice(0, other[-1] + 1)
+            held = held.slice(other[-1] + 1)
+    if held is not None:
+        yield held
+
+
+def group_of(t: pa.Table, names: list[str]) -> np.ndarray:
+    own = np.stack([t.column(c).to_numpy() for c in names], 1)
+    return np.concatenate([[0], np.cumsum((own[1:] != own[:-1]).any(1))])
+
+
+def in_blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """Each row once for each pair of blocks of its key (lo, hi) that holds its own block."""
+    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    out = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    out = out.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
+    return out.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+
+
+def candidates(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that hold together the classes of each bucket that may be linked."""
+    least, names = least_estimate(percent), ["key", "lo", "hi"]
+    rows = members.join(classes.select("node", "n_shingles", "sig"), "node")
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                same = (sigs(batch.column("sig_a")) == sigs(batch.column("sig_b"))).sum(1) >= least
-                x, y = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-                same &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(same))
+        for t in groups(batches, names):
+            cut = group_of(t, names)
+            n, node, block, lo, hi = (t.column(c).to_numpy() for c in ("n_shingles", "node", "block", "lo", "hi"))
+            sig = sigs(t.column("sig").combine_chunks())
+            left, right = [], []
+            for d in range(1, int(np.bincount(cut).max())):
+                i = np.flatnonzero(cut[d:] == cut[:-d])
+                j = i + d
+                ok = ((lo[i] == hi[i]) | (block[i] != block[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                i, j = i[ok], j[ok]
+                ok = (sig[i] == sig[j]).sum(1) >= least
+                left.append(i[ok])
+                right.append(j[ok])
+            if left:
+                i, j = spanning(len(node), np.concatenate(left), np.concatenate(right))
+                yield pa.RecordBatch.from_pydict({"a": node[i], "b": node[j]})
+
+    return in_blocks(rows, "key", "size").mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+
+
+FILTER_BITS = 1 << 26
+
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint").distinct()
+def fetched(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, body) of the rows of docs whose id is among ids.
 
+    A bitmap of the ids' hashes (at most FILTER_BITS bits, 16 MB as a table of 64-bit words, however many ids) drops most
+    other rows before the shuffle of the join.
+    """
+    place = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    word, bit = F.floor(place / 64).cast("int"), F.pmod(place, F.lit(64)).cast("int")
+    bits = ids.groupBy(word.alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), bit)).alias("bits"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("body")).where("node is not null")
+    likely = rows.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1).select("node", "body")
+    return likely.join(ids, "node", "left_semi")
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= percent * union of their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("body")).join(ids, "node", "left_semi")
+
+def clustered_sets(docs: DataFrame, clusters: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """clusters with the full set of each class, a row for each node."""
 
     def to_sets(batches):
         hashes = WordHashes()
@@ -161,19 +230,77 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id
             found = [shingles(t, width, hashes).tobytes() for t in byte_texts(batch.column("body"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
 
-    sets = stored(texts.mapInArrow(to_sets, "node bigint, set binary"), "shingle-sets")
+    sets = fetched(docs, clusters.select("node"), doc_id, text).mapInArrow(to_sets, "node bigint, set binary")
+    return stored(sets.dropDuplicates(["node"]).join(clusters, "node"), "cluster-sets")
+
+
+def linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets are linked with set x (all are sorted)."""
+    sizes = np.array([len(y) for y in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    both = np.add.reduceat((x[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return 100 * both >= percent * (len(x) + sizes - both)
+
 
-    def compare(batches):
+def with_hub(sets: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """sets with a flag: linked with the hub of the cluster (the hub itself is)."""
+    of_hub = sets.join(hubs, "node", "left_semi").select("cluster", F.col("set").alias("hub_set"))
+
+    def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            flag = [
+                bool(linked(np.frombuffer(h.as_buffer(), np.uint64), [np.frombuffer(s.as_buffer(), np.uint64)], percent)[0])
+                for s, h in zip(batch.column("set"), batch.column("hub_set"), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("cluster"), pa.array(flag, pa.bool_())], names=["node", "cluster", "near"])
+
+    pairs = sets.select("node", "cluster", "set").join(of_hub, "cluster")
+    return stored(pairs.mapInArrow(run, "node bigint, cluster bigint, near boolean"), "hub-links")
+
+
+def remaining(sets: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Verified edges between classes that aren't linked with their hub and all of their cluster."""
+    names = ["cluster", "turn", "lo", "hi"]
+    counts = near.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(F.when(~F.col("near"), 1).otherwise(0)).alias("far"))
+    rows = sets.join(near.select("node", "near"), "node").join(counts.where("far > 0"), "cluster")
+    far_blocks, all_blocks = F.ceil(F.col("far") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    # Turn 0 holds the far classes that are compared, turn 1 all that they are compared with.
+    far = rows.where(~F.col("near")).withColumn("turn", F.lit(0)).withColumn("lo", own(far_blocks)).withColumn("hi", F.explode(F.sequence(F.lit(0), all_blocks - 1)))
+    every = rows.withColumn("turn", F.lit(1)).withColumn("hi", own(all_blocks)).withColumn("lo", F.explode(F.sequence(F.lit(0), far_blocks - 1)))
+    columns = ["cluster", "lo", "hi", "turn", "node", "near", "set"]
+    dealt = far.select(columns).union(every.select(columns)).repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "turn", "node")
 
-    one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    return stored(pairs.join(one, "a").join(two, "b").mapInArrow(compare, "a bigint, b bigint"), "links")
+    def run(batches):
+        for t in groups(batches, ["cluster", "lo", "hi"]):
+            cut = group_of(t, ["cluster", "lo", "hi"])
+            turn, node, near_hub = (t.column(c).to_numpy() for c in ("turn", "node", "near"))
+            sets_of = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+            size = np.array([len(x) for x in sets_of])
+            a, b = [], []
+            for g in np.split(np.arange(len(cut)), np.flatnonzero(np.diff(cut)) + 1):
+                ask, rest = g[turn[g] == 0], g[turn[g] == 1]
+                part = {int(node[k]): -1 if near_hub[k] else int(node[k]) for k in g}  # -1: with the hub
+                inside = np.array([part[int(node[k])] for k in rest])
+                for q in ask:
+                    mine = part[int(node[q])]
+                    ok = (inside != mine) & (100 * np.minimum(size[rest], size[q]) >= percent * np.maximum(size[rest], size[q]))
+                    other = rest[ok]
+                    if not len(other):
+                        continue
+                    hit = other[linked(sets_of[q], [sets_of[k] for k in other], percent)]
+                    parts, first = np.unique([part[int(node[k])] for k in hit], return_index=True)
+                    for p, k in zip(parts.tolist(), hit[first].tolist(), strict=True):
+                        a.append(int(node[q]))
+                        b.append(int(node[k]))
+                        for n, v in part.items():
+                            if v == p:
+                                part[n] = mine
+                        inside[inside == p] = mine
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -262,24 +389,21 @@ def contested(members: DataFrame, classes: DataFrame, parts: DataFrame, percent:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
-    made = stored(features(docs, width, doc_id, text), "signatures")
-    full = made.where("n_shingles > 0")
-    reps = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    classes = stored(
-        full.join(reps, ["d1", "d2"]).where("doc_id = node").select("node", "n_shingles", "bands", "sig").dropDuplicates(["node", "sig"]), "classes"
-    )
-    keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    made = stored(features(docs, width, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    full = made.where("n_shingles > 0 and doc_id is not null")
+    reps = full.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("d1", "d2", F.col("r.doc_id").alias("node"), F.col("r.row").alias("row"))
+    classes = stored(full.join(reps.select("row", "node"), "row").select("node", "n_shingles", "bands", "sig"), "classes")
+    keyed = classes.select("node", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(keyed.join(sizes, "key"), "buckets")
-    weight = members.groupBy("node").agg(F.sum("size").alias("w"))
-    hubs = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", "node")).alias("h")).select("key", F.col("h.node").alias("b"))
-    stars = members.join(hubs, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    again = (docs, width, percent, doc_id, text)
-    links = verified(stored(likely(stars, classes, percent), "likely"), *again)
-    parts = components(links)
-    more = verified(stored(contested(members, classes, parts, percent), "contested"), *again)
-    if not more.isEmpty():
-        parts = components(links.union(more))
+    edges = stored(candidates(keyed.join(sizes, "key"), classes, percent), "candidates")
+    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    clusters = stored(components(edges).withColumnRenamed("component", "cluster").join(degree, "node"), "clusters")
+    hubs = clusters.groupBy("cluster").agg(F.max(F.struct("degree", "node")).alias("h")).select(F.col("h.node").alias("node"))
+    sets = clustered_sets(docs, clusters.select("node", "cluster"), width, doc_id, text)
+    near = with_hub(sets, hubs, percent)
+    hub_of = clusters.join(hubs, "node", "left_semi").select("cluster", F.col("node").alias("b"))
+    star = near.where("near").join(hub_of, "cluster").select(F.col("node").alias("a"), "b")
+    parts = components(stored(star.union(remaining(sets, near, percent)), "links"))
     of_class = reps.join(parts, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     part = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return made.join(of_class, ["d1", "d2"], "left").select(

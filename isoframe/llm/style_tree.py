@@ -14,6 +14,8 @@ else (menus, headers, footers, sidebars, notices, adverts, forms, comments, by t
 Branches whose importance is below LEAST go, with all below them; without an article, a branch must also not be mostly
 links. The blocks that stay are joined in page order.
 
+Pages of a host with the same markup count once, so that copies of a page don't look like what all pages repeat.
+
 The tree is counted, not collected: each page gives its nodes and texts once, as 64-bit keys that hold the host, so a host
 with a third of all pages is spread over the keys of its styles and texts and summed before each shuffle. Only the nodes
 of low importance that a page has travel to it. Null html is empty; null urls are one host; repeated pages each give
@@ -202,20 +204,21 @@ def node_importance(pages: DataFrame, url: str, html: str) -> tuple[DataFrame, D
             for key, u, h in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "html")), strict=True):
                 out: dict = {}
                 styles(parse(h or "", host_of(u)), out)
+                page = signed(xxhash.xxh3_64_intdigest((h or "").encode()))
                 for path, (shapes, texts) in out.items():
                     shape = 0
                     for x in shapes:
                         shape ^= x
-                    rows.append((key, signed(path), signed(shape), [signed(x) for x in texts]))
+                    rows.append((key, signed(path), signed(shape), [signed(x) for x in texts], page))
             yield pa.RecordBatch.from_pydict(
                 {"key": pa.array([r[0] for r in rows], pa.int64()), "node": pa.array([r[1] for r in rows], pa.int64()),
-                 "shape": pa.array([r[2] for r in rows], pa.int64()), "texts": pa.array([r[3] for r in rows], pa.list_(pa.int64()))}
+                 "shape": pa.array([r[2] for r in rows], pa.int64()), "texts": pa.array([r[3] for r in rows], pa.list_(pa.int64())), "page": pa.array([r[4] for r in rows], pa.int64())}
             )
 
-    nodes = stored(pages.mapInArrow(run, "key bigint, node bigint, shape bigint, texts array<bigint>"), "style-nodes")
+    nodes = stored(pages.mapInArrow(run, "key bigint, node bigint, shape bigint, texts array<bigint>, page bigint"), "style-nodes")
     n_log_n = lambda n: F.sum(n * F.log(n.cast("double")))
-    shapes = nodes.groupBy("node", "shape").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("m"), n_log_n(F.col("n")).alias("s"))
-    texts = nodes.select("node", F.explode("texts").alias("t")).groupBy("node", "t").agg(F.count("*").alias("n"))
+    shapes = nodes.select("node", "shape", "page").distinct().groupBy("node", "shape").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("m"), n_log_n(F.col("n")).alias("s"))
+    texts = nodes.select("node", F.explode("texts").alias("t"), "page").distinct().groupBy("node", "t").agg(F.count("*").alias("n"))
     texts = texts.groupBy("node").agg(F.sum("n").alias("k"), n_log_n(F.col("n")).alias("r"))
     m = F.col("m").cast("double")
     presentation = F.when(F.col("m") > 1, 1 - F.col("s") / (m * F.log(m))).otherwise(1.0)
