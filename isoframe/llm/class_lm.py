@@ -83,6 +83,7 @@ class Units:
         shared = self.head_unit >= len(own)
         self.head_emit = np.where(shared, np.log10(c + 0.5) - np.log10(self.share[self.head_unit]), 0.0)
         self.head_base = np.log10(c + 0.5)
+        self.head_seen = c > 0  # the end token is in the head even without training texts
 
     def of(self, word: bytes) -> int:
         k = self.unit.get(word)
@@ -139,7 +140,7 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, n: int, classes: int = CLASS
             table[a, :] -= r
             table[:, a] -= le
             table[a, a] -= same
-            out, into = table.sum(1), table.sum(0)
+            out, into = table.sum(1) + le, table.sum(0) + r  # the other classes' words keep u beside them
             tot_r, tot_l = r.sum() + same, le.sum() + same
             gain = (f(table + r) - f(table)).sum(1) + (f(table + le[:, None]) - f(table)).sum(0)
             d = np.diagonal(table)
@@ -194,7 +195,7 @@ class Model:
         for row, (_, w) in zip(np.searchsorted(first, np.fromiter(beyond, np.int64, len(beyond)), side="right") - 1, beyond.items(), strict=True):
             rows[row][w] += 1
         add = lambda x: np.add.reduceat(x, starts)
-        return {"n": np.diff(first), "known": add(inside.astype(np.int64)), "base": add(plain), "score": add(out), "rest": rows}
+        return {"n": np.diff(first), "known": add((inside & u.head_seen[at]).astype(np.int64)), "base": add(plain), "score": add(out), "rest": rows}
 
 
 def fit(train: DataFrame, text: str = "text", head: int = HEAD) -> tuple[Model, DataFrame]:

@@ -19,8 +19,8 @@ The steps, each over classes (documents of one shingle set are one class, so cop
 
 A signature rejects a pair only if its estimate lies MARGIN standard deviations below the threshold. Links inside
 a component that is already joined aren't expanded; no link between different components is left out but with
-the probabilities above. Documents without words are alone. Rows of one doc_id are one document. A null doc_id
-joins its class but is never its smallest.
+the probabilities above. Documents without words are alone. Rows of one doc_id are one document. A row without
+doc_id takes the component of documents with the very same set, else its component is null and kept is false.
 """
 
 from __future__ import annotations
@@ -215,7 +215,7 @@ def fetched(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFram
     """
     place = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
     word, bit = F.floor(place / 64).cast("int"), F.pmod(place, F.lit(64)).cast("int")
-    bits = ids.groupBy(word.alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), bit)).alias("bits"))
+    bits = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
     rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("body")).where("node is not null")
     likely = rows.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1).select("node", "body")
     return likely.join(ids, "node", "left_semi")
