@@ -7,6 +7,9 @@ With class prior p, positives P and unlabelled text U, the risk is
 the second term being the risk of the negatives, which can't be negative; where it becomes so, the step climbs
 back. g is additive: each feature of a text's form is cut at quantiles, and each cell has a weight.
 
+The risk ranks texts; it leaves open where a score is cut. The scores are shifted so that THRESHOLD parts the share of
+unlabelled text that the prior calls positive from the rest, at a gap.
+
 The prior is the share of positives among labelled rows; where only positives are labelled it is estimated from
 the scores that a positive-against-unlabelled model gives positives and unlabelled text.
 
@@ -30,7 +33,7 @@ from .common import byte_texts, with_fields
 
 SAMPLE = 60_000
 CELLS = 10
-STEPS, RATE, DECAY = 400, 0.05, 1e-4
+STEPS, RATE, DECAY = 1000, 0.05, 1e-4
 THRESHOLD = 0.3
 
 UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
@@ -147,6 +150,19 @@ def prior_of(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, negati
     return float(np.clip(1 / np.quantile(ratio[positive], 0.9), 0.05, 0.99))
 
 
+def cut_of(raw: np.ndarray, prior: float, known: int) -> float:
+    """A raw score with a share of about prior of the unlabelled rows above it: the middle of the widest gap that lies
+    within three standard errors of the prior (estimated on known rows)."""
+    raw, n = np.sort(raw), len(raw)
+    error = 3 * (prior * (1 - prior) / max(known, 1)) ** 0.5
+    low, high = (int(np.clip((1 - prior + e) * n, 0, n - 1)) for e in (-error, error))
+    part = raw[low : high + 1]
+    if len(part) < 2:
+        return float(part[0])
+    k = int(np.diff(part).argmax())
+    return float((part[k] + part[k + 1]) / 2)
+
+
 def described(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -180,6 +196,9 @@ def fit(train: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     cells = model.cells_of(x)
     f = pu_slopes(prior)
     descend(model, [(cells[positive], f), (cells[unlabelled], f)])
+    if prior < 1:
+        cut = cut_of(model.raw(cells[unlabelled]), prior, int((~np.isnan(y)).sum()))
+        model.bias += float(np.log(THRESHOLD / (1 - THRESHOLD))) - cut
     return model
 
 
