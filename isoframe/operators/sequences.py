@@ -40,7 +40,7 @@ def expanded(tracks: DataFrame, runs: str, value: str) -> DataFrame:
     rows = rows.withColumn("first", F.coalesce(F.sum(F.col("r")[0]).over(w), F.lit(0)))
     last = F.least(F.col("first") + F.col("r")[0], F.col("most")) - 1
     rows = rows.where((F.col("r")[0] > 0) & (F.col("first") < F.col("most")))
-    return rows.select(*KEY, F.explode(F.sequence("first", last)).cast("int").alias("n"), F.col("r")[1].alias(value))
+    return rows.select(*KEY, F.explode(F.sequence("first", last)).alias("n"), F.col("r")[1].alias(value)).withColumn("n", F.col("n").cast("int"))
 
 
 def composition(rows: DataFrame, key: list[str], order: list[str], duration: str = "duration", offset: str | None = "composition_offset") -> DataFrame:
