@@ -295,3 +295,169 @@ def intra_planar(left: np.ndarray, top: np.ndarray, below_left: int, above_right
 def bi_average(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     shift = 15 - depth
     return np.clip((a + b + (1 << (shift - 1))) >> shift, 0, (1 << depth) - 1)
+
+
+# ---- parameter sets and reference sets ------------------------------------------------------------------------------
+
+
+def vps(nal: bytes) -> dict:
+    r = Bits(unescape(nal[2:]))
+    out = {"id": r.u(4)}
+    r.u(2)
+    out |= {"layers": r.u(6) + 1, "sub_layers": r.u(3) + 1, "nesting": bool(r.u(1))}
+    if r.u(16) != 0xFFFF:
+        raise ValueError("reserved bits of a VPS")
+    return out | _tiers(r, out["sub_layers"] - 1)
+
+
+def pps(nal: bytes) -> dict:
+    """A picture parameter set up to its range extension."""
+    r = Bits(unescape(nal[2:]))
+    out: dict = {"id": r.ue(), "sps": r.ue(), "dependent_slices": r.u(1), "output_flag": r.u(1), "extra_bits": r.u(3), "sign_hiding": r.u(1), "cabac_init": r.u(1)}
+    out |= {"active_l0": r.ue() + 1, "active_l1": r.ue() + 1, "qp": 26 + r.se(), "constrained_intra": r.u(1), "transform_skip": r.u(1), "qp_delta_depth": None}
+    if r.u(1):
+        out["qp_delta_depth"] = r.ue()
+    out |= {"cb_offset": r.se(), "cr_offset": r.se(), "slice_chroma_offsets": r.u(1), "weighted": r.u(1), "weighted_bi": r.u(1), "bypass": r.u(1)}
+    tiles, out["wavefront"] = r.u(1), r.u(1)
+    out |= {"columns": [], "rows": [], "uniform": True, "tile_counts": (1, 1)}
+    if tiles:
+        n, m = r.ue() + 1, r.ue() + 1
+        out["tile_counts"], out["uniform"] = (n, m), bool(r.u(1))
+        if not out["uniform"]:
+            out["columns"], out["rows"] = [r.ue() + 1 for _ in range(n - 1)], [r.ue() + 1 for _ in range(m - 1)]
+        out["filter_across_tiles"] = r.u(1)
+    out["filter_across_slices"] = r.u(1)
+    if r.u(1):
+        out["deblock_override"], off = r.u(1), r.u(1)
+        out["deblock"] = None if off else (2 * r.se(), 2 * r.se())
+    return out
+
+
+def uniform_spacing(n: int, total: int) -> list[int]:
+    return [(k + 1) * total // n - k * total // n for k in range(n)]
+
+
+def tile_scan(width: int, height: int, columns: list[int], rows: list[int]) -> list[int]:
+    """Raster addresses of the coding tree blocks in tile order."""
+    if sum(columns) != width or sum(rows) != height:
+        raise ValueError("tiles that don't cover the picture")
+    out, y = [], 0
+    for h in rows:
+        x = 0
+        for w in columns:
+            out += [(y + j) * width + x + i for j in range(h) for i in range(w)]
+            x += w
+        y += h
+    return out
+
+
+def short_term_set(r: Bits, index: int, known: list[list[tuple[int, bool]]], in_slice: bool = False) -> list[tuple[int, bool]]:
+    """(distance of order counts, used by this picture): before nearest first, then after nearest first."""
+    if index and r.u(1):
+        back = r.ue() + 1 if in_slice else 1
+        if back > index:
+            raise ValueError("reference set before the first")
+        sign = r.u(1)
+        delta = (1 - 2 * sign) * (r.ue() + 1)
+        base = known[index - back]
+        found = []
+        for d, _ in [*base, (0, True)]:
+            used = bool(r.u(1))
+            if used or r.u(1):
+                found.append((d + delta, used))
+        before = sorted((x for x in found if x[0] < 0), reverse=True)
+        return before + sorted(x for x in found if x[0] > 0)
+    n_before, n_after = r.ue(), r.ue()
+    if n_before + n_after > 16:
+        raise ValueError("too many reference pictures")
+    out, d = [], 0
+    for _ in range(n_before):
+        d -= r.ue() + 1
+        out.append((d, bool(r.u(1))))
+    d = 0
+    for _ in range(n_after):
+        d += r.ue() + 1
+        out.append((d, bool(r.u(1))))
+    return out
+
+
+# ---- prediction and filters -----------------------------------------------------------------------------------------
+
+# Interpolation filters for quarter luma and eighth chroma samples.
+LUMA_TAPS = np.array([[0, 0, 0, 64, 0, 0, 0, 0], [-1, 4, -10, 58, 17, -5, 1, 0], [-1, 4, -11, 40, 40, -11, 4, -1], [0, 1, -5, 17, 58, -10, 4, -1]])
+CHROMA_TAPS = np.array([[0, 64, 0, 0], [-2, 58, 10, -2], [-4, 54, 16, -2], [-6, 46, 28, -4], [-4, 36, 36, -4], [-4, 28, 46, -6], [-2, 16, 54, -4], [-2, 10, 58, -2]])
+
+
+def interpolate(plane: np.ndarray, x: int, y: int, fx: int, fy: int, width: int, height: int, depth: int, taps: np.ndarray = LUMA_TAPS) -> np.ndarray:
+    """A block at a fractional place, at 14 bits; samples outside the plane repeat its edge."""
+    n = taps.shape[1]
+    lead = n // 2 - 1
+    ys = np.clip(np.arange(y - lead, y + height + n - 1 - lead), 0, plane.shape[0] - 1)
+    xs = np.clip(np.arange(x - lead, x + width + n - 1 - lead), 0, plane.shape[1] - 1)
+    block = plane[np.ix_(ys, xs)].astype(np.int64)
+    if not fx and not fy:
+        return block[lead : lead + height, lead : lead + width] << (14 - depth)
+    if fx:
+        block = sum(taps[fx][k] * block[:, k : k + width] for k in range(n)) >> (depth - 8)
+    else:
+        block = block[:, lead : lead + width]
+    if not fy:
+        return block[lead : lead + height]
+    return sum(taps[fy][k] * block[k : k + height] for k in range(n)) >> (6 if fx else depth - 8)
+
+
+def partition(mode: str, x: int, y: int, n: int) -> list[tuple[int, int, int, int]]:
+    """The rectangles of a partitioning of a coding block."""
+    h, q = n // 2, n // 4
+    cuts = {"2Nx2N": ([n], [n]), "2NxN": ([n], [h, h]), "Nx2N": ([h, h], [n]), "NxN": ([h, h], [h, h]), "2NxnU": ([n], [q, n - q]), "2NxnD": ([n], [n - q, q]), "nLx2N": ([q, n - q], [n]), "nRx2N": ([n - q, q], [n])}
+    widths, heights = cuts[mode]
+    return [(x + sum(widths[:i]), y + sum(heights[:j]), w, g) for j, g in enumerate(heights) for i, w in enumerate(widths)]
+
+
+def boundary_strength(intra: bool, edge_of_transform: bool, coded: bool, same_motion: bool) -> int:
+    if intra:
+        return 2
+    return 1 if (edge_of_transform and coded) or not same_motion else 0
+
+
+def sao_band(plane: np.ndarray, band: int, offsets: list[int], depth: int) -> np.ndarray:
+    """Offsets for four neighbouring bands of 32."""
+    table = np.zeros(32, dtype=np.int64)
+    for k, o in enumerate(offsets):
+        table[(band + k) % 32] = o
+    return np.clip(plane + table[plane >> (depth - 5)], 0, (1 << depth) - 1)
+
+
+def sao_edge(plane: np.ndarray, direction: int, offsets: list[int], depth: int) -> np.ndarray:
+    """Offsets by the signs against two neighbours (0: across, 1: down, 2: falling, 3: rising); edges stay."""
+    dy, dx = ((0, 1), (1, 0), (1, 1), (1, -1))[direction]
+    out, h, w = plane.astype(np.int64).copy(), *plane.shape
+    y, x = np.arange(dy, h - dy), np.arange(abs(dx), w - abs(dx))
+    if not len(y) or not len(x):
+        return out
+    at = lambda a, b: plane[np.ix_(y + a, x + b)].astype(np.int64)
+    kind = 2 + np.sign(at(0, 0) - at(-dy, -dx)) + np.sign(at(0, 0) - at(dy, dx))
+    table = np.array([offsets[0], offsets[1], 0, offsets[2], offsets[3]])
+    out[np.ix_(y, x)] = np.clip(at(0, 0) + table[kind], 0, (1 << depth) - 1)
+    return out
+
+
+def dequantised(levels: np.ndarray, qp: int, depth: int, scale: int = 16) -> np.ndarray:
+    step = (40, 45, 51, 57, 64, 72)[qp % 6]
+    shift = depth + (len(levels).bit_length() - 1) - 5
+    v = ((levels.astype(np.int64) * scale * step) << (qp // 6)) + (1 << (shift - 1))
+    return np.clip(v >> shift, -32768, 32767)
+
+
+def quantised(coefficients: np.ndarray, qp: int, depth: int) -> np.ndarray:
+    """Levels with the rounding of intra pictures (171 of 512)."""
+    factor = (26214, 23302, 20560, 18396, 16384, 14564)[qp % 6]
+    shift = 14 + qp // 6 + 15 - depth - (len(coefficients).bit_length() - 1)
+    c = coefficients.astype(np.int64)
+    return np.sign(c) * ((np.abs(c) * factor + (171 << (shift - 9))) >> shift)
+
+
+def cropped(plane: np.ndarray, window: list[int], unit_x: int = 1, unit_y: int = 1) -> np.ndarray:
+    """Without the conformance window's borders (left, right, top, bottom)."""
+    a, b, c, d = window[0] * unit_x, window[1] * unit_x, window[2] * unit_y, window[3] * unit_y
+    return plane[c : plane.shape[0] - d, a : plane.shape[1] - b]
