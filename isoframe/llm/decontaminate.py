@@ -12,8 +12,6 @@ the benchmark. Null texts have no words; repeated item_ids count once; null item
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
