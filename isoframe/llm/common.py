@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
     Only a session without that setting (a local test) gets a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="isoframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@lru_cache(maxsize=1)
+def local_root() -> str:
+    return tempfile.mkdtemp(prefix="isoframe-")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     path = shared_dir(df.sparkSession, name)
