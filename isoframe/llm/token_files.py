@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -187,9 +188,9 @@ class Encoder:
         self.used += int(lengths.sum())
         self.place.update(zip(pieces, range(n, n + new), strict=True))
 
-    def _encode(self, pieces: list[str]) -> None:
-        """Encode new pieces: those that begin with a blank in one text, which their blanks part."""
-        joined = [p for p in pieces if p[0] in " \n" and p[-1] not in " \t\n\r" and "<|" not in p]
+    def _encode(self, pieces: list[str], alone: set[str]) -> None:
+        """Encode new pieces: those that begin with a blank in one text, which their blanks part; alone has exceptions."""
+        joined = [p for p in pieces if p[0] in " \n" and p[-1] not in " \t\n\r" and "<|" not in p and p not in alone]
         if joined:
             ids = np.array(self.whole(["".join(joined)])[0], dtype=np.uint32)
             ends = np.cumsum([len(p.encode()) for p in joined])
@@ -201,14 +202,14 @@ class Encoder:
         if rest:
             self._add(rest, [np.array(x, dtype=np.uint32) for x in self.whole(rest)])
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str], alone: set[str]) -> None:
         parts = {}
         for p in pieces:
             m = self.WORD_STOP.fullmatch(p)
             parts[p] = m.groups() if m else (p,)
         new = {x for two in parts.values() for x in two if x not in self.place}
         if new:
-            self._encode(sorted(new))
+            self._encode(sorted(new), alone)
         both = [p for p, two in parts.items() if len(two) > 1 and p not in self.place]
         if both:
             ids = lambda x: self.flat[self.start[k := self.place[x]] : self.start[k] + self.length[k]]
@@ -218,29 +219,25 @@ class Encoder:
         """All ids one after another, and how many each text has; end is put after each text."""
         if len(self.place) > self.kept:
             self.clear()
-        odd = {k for k, t in enumerate(texts) if self.OTHER_SPACE.search(t)}
-        cut = [[] if k in odd else self.PIECES.findall(t) for k, t in enumerate(texts)]
-        n_pieces = np.array([len(c) for c in cut], dtype=np.int64)
-        flat = [p for c in cut for p in c]
-        known = self.place.get
-        places = [known(p, -1) for p in flat]
-        if -1 in places:
-            self._learn(list(dict.fromkeys(p for p, k in zip(flat, places, strict=True) if k < 0)))
-            places = list(map(self.place.__getitem__, flat))
-        places = np.array(places, dtype=np.int64)
+        alone = {t for t in texts if self.OTHER_SPACE.search(t)}
+        cut = [[t] if t in alone else self.PIECES.findall(t) for t in texts]
+        if end is not None:
+            mark = ("end", end)  # a piece that no text has
+            if mark not in self.place:
+                self._add([mark], [np.array([end], dtype=np.uint32)])
+            for c in cut:
+                c.append(mark)
+        first = offsets(np.fromiter(map(len, cut), np.int64, len(cut)))
+        flat = list(chain.from_iterable(cut))
+        places = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(places < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(flat[k] for k in missing)), alone)
+            places[missing] = [self.place[flat[k]] for k in missing]
         lengths = self.length[places]
-        ids = self.flat[np.repeat(self.start[places] - offsets(lengths)[:-1], lengths) + np.arange(lengths.sum())]
-        sizes = np.diff(offsets(lengths)[offsets(n_pieces)])
-        if end is None and not odd:
-            return ids, sizes
-        parts, first = [], offsets(sizes)
-        whole = dict(zip(sorted(odd), self.whole([texts[k] for k in sorted(odd)]), strict=True)) if odd else {}
-        tail = np.array([] if end is None else [end], dtype=np.uint32)
-        for k in range(len(texts)):
-            own = np.array(whole[k], dtype=np.uint32) if k in odd else ids[first[k] : first[k + 1]]
-            parts += [own, tail]
-            sizes[k] = len(own) + len(tail)
-        return np.concatenate(parts) if parts else ids, sizes
+        ends = offsets(lengths)
+        ids = self.flat[np.repeat(self.start[places] - ends[:-1], lengths) + np.arange(ends[-1])]
+        return ids, np.diff(ends[first])
 
 
 @lru_cache(maxsize=1)
