@@ -97,7 +97,8 @@ def files(spark: SparkSession, names=tuple(ALL)) -> DataFrame:
 
 
 def containers(spark: SparkSession) -> heif.Containers:
-    return heif.Containers(heif.parse(files(spark)))
+    """Parsed once: a view may read several of its tables."""
+    return heif.Containers(heif.parse(files(spark))).stored()
 
 
 QUERIES = {

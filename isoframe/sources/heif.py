@@ -7,6 +7,8 @@ can't be parsed gives a row in `errors` and none elsewhere.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -128,6 +130,11 @@ class Containers:
         for name in ("files", "errors", "items", "item_extents", "item_refs", "properties", "item_properties", "tracks"):
             getattr(self, name).createOrReplaceTempView(prefix + name)
 
+    def stored(self) -> Containers:
+        """Parse once and keep, in a folder of its own below spark.checkpoint.dir (a local one where that isn't set)."""
+        root = self.parsed.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="isoframe-")
+        return self.write(f"{root.rstrip('/')}/containers-{uuid.uuid4().hex}")
+
     def write(self, path: str) -> Containers:
         """Parse once and keep: the nested rows as Parquet, read back."""
         self.parsed.write.parquet(path)
