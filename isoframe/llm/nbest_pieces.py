@@ -5,12 +5,14 @@ byte pieces. The model holds ranks instead of probabilities (a BPE model's score
 piece of rank r has log probability -log(r + 2) less the log of the sum over the vocabulary, and byte pieces the
 least of all. Forward Viterbi gives the best score from the start to each place; a search from the end then knows
 exactly what remains, so hypotheses leave the queue in order of their whole score and the first N that reach the
-start are the N best. Ties go to the hypothesis that was queued first.
+start are the N best. Ties go to the hypothesis that was queued first; of equally good whole segmentations the first
+pass keeps one, always the same.
 
 No piece of the vocabulary spans certain places (before white space, and between letters and other characters; this is
 tested on the vocabulary when it's loaded). Texts are cut there: a path through a text's lattice is a path
 through each part. Parts are searched once and kept (KEPT of them), and the N best of a text are the N
-least sums of what is lost in each part: only the N - 1 parts with the smallest first loss can matter.
+least sums of what is lost in each part: only the N - 1 parts with the smallest first loss can matter. That loss
+comes from a forward and a backward pass; the search runs on those parts.
 
 Texts are read whole, one pass without a shuffle. Null and empty texts have no pieces, one segmentation and score 0.
 Decoding joins the pieces, turns byte pieces to bytes and marks to blanks, and drops the first blank.
@@ -23,7 +25,9 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import byte_texts, offsets, small, with_fields
 
 N_BEST = 4
-KEPT = 400_000
+KEPT = 600_000
 MARK = "▁"
 LETTER = r"(?![\xb2\xb3\xb9])[^\W\d_]"
 FINE = re.compile(rf"{MARK}*(?:{LETTER})+|{MARK}*(?:(?!{LETTER})[^{MARK}\n])+|\n|{MARK}+")
@@ -53,10 +57,14 @@ class Pieces:
         self.score = {model.id_to_piece(k): -float(np.log(r + 2) + total) for r, k in enumerate(order)}
         self.byte_score = -float(np.log(len(order) + 2) + total)
         self.id_of = {model.id_to_piece(k): k for k in plain}
-        self.piece_of = {k: model.id_to_piece(k) for k in plain}
         self.byte_id = {int(model.id_to_piece(k)[3:5], 16): k for k in range(size) if model.is_byte(k)}
-        self.byte_of = {k: b for b, k in self.byte_id.items()}
+        self.bytes_of = {k: model.id_to_piece(k).encode() for k in plain} | {k: bytes((b,)) for b, k in self.byte_id.items()}
         self.longest = max(map(len, self.score), default=1)
+        self.matcher = ahocorasick.Automaton()
+        for piece, score in self.score.items():
+            self.matcher.add_word(piece, (len(piece), score, (self.id_of[piece],)))
+        self.matcher.make_automaton()
+        self.single = frozenset(p for p in self.score if len(p) == 1)
         letter = re.compile(LETTER)
         bare = [p.lstrip(MARK) for p in self.score]
         apart = all(len({bool(letter.match(c)) for c in p}) < 2 for p in bare)
@@ -69,7 +77,8 @@ class Pieces:
         self.known: dict[str, int] = {}
         self.ids: list[tuple[int, ...]] = []
         self.best: list[float] = []
-        self.losses: list[tuple[float, ...]] = []
+        self.loss: list[float] = []  # of the second best; infinite if there is none
+        self.losses: dict[str, tuple[float, ...]] = {}  # of the others of the n best, for parts that needed them
 
     def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place the edges that end there: (start, score, ids)."""
@@ -109,13 +118,48 @@ class Pieces:
         return found
 
     def _learn(self, part: str) -> int:
-        found = self.search(part, self.n_best)
-        self.ids.append(found[0][1])
-        self.best.append(found[0][0])
-        self.losses.append(tuple(found[0][0] - s for s, _ in found[1:]))
+        """The best segmentation, by a forward pass, and what the second best loses, by a backward pass: a path other
+        than the best has an edge off it, and the best path over an edge is the sum of both passes."""
+        n, least = len(part), float("-inf")
+        ahead, come = [0.0] + [least] * n, [None] * (n + 1)
+        edges = [(end + 1 - size, end + 1, s, own) for end, (size, s, own) in self.matcher.iter(part)]  # by their ends
+        if not self.single.issuperset(part):
+            for i, c in enumerate(part):
+                if c not in self.single:
+                    raw = c.encode("utf-8", "surrogatepass")
+                    edges.append((i, i + 1, self.byte_score * len(raw), tuple(self.byte_id[b] for b in raw)))
+            edges.sort(key=lambda e: e[1])
+        for i, j, s, own in edges:
+            t = ahead[i] + s
+            if t > ahead[j]:
+                ahead[j] = t
+                come[j] = (i, own)
+        path, on, at = [], [-1] * n, n
+        while at:
+            i, own = come[at]
+            path.append(own)
+            on[i] = at
+            at = i
+        behind, second = [least] * n + [0.0], least
+        for i, j, s, _ in reversed(edges):
+            t = s + behind[j]
+            if t > behind[i]:
+                behind[i] = t
+            if on[i] != j and ahead[i] + t > second:
+                second = ahead[i] + t
+        self.ids.append(tuple(x for own in reversed(path) for x in own))
+        self.best.append(ahead[n])
+        self.loss.append(ahead[n] - second)
         self.known[part] = k = len(self.ids) - 1
         return k
 
+    def others(self, part: str) -> tuple[float, ...]:
+        """What the second best to the n-th best segmentation of a part lose, by the search."""
+        if part not in self.losses:
+            found = self.search(part, self.n_best)
+            self.losses[part] = tuple(found[0][0] - s for s, _ in found[1:])
+        return self.losses[part]
+
     def normal(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
@@ -127,24 +171,18 @@ class Pieces:
         """Ids of the best segmentation, and the scores of the n best."""
         if len(self.known) > self.kept:
             self.clear()
-        known = self.known.get
-        places = [k if (k := known(p)) is not None else self._learn(p) for p in self.parts(text)]
+        known, parts = self.known.get, self.parts(text)
+        places = [k if (k := known(p)) is not None else self._learn(p) for p in parts]
         score = sum(map(self.best.__getitem__, places))
-        ids = [x for k in places for x in self.ids[k]]
+        ids = list(chain.from_iterable(map(self.ids.__getitem__, places)))
         want = self.n_best - 1
-        first = [(loss[0], k) for k in places if (loss := self.losses[k])]
         sums = [0.0]
-        for _, k in heapq.nsmallest(want, first):
-            sums = heapq.nsmallest(want + 1, (a + b for a in sums for b in (0.0, *self.losses[k])))
+        for _, k in heapq.nsmallest(want, zip(map(self.loss.__getitem__, places), range(len(parts)))):  # noqa: B905
+            sums = heapq.nsmallest(want + 1, (a + b for a in sums for b in (0.0, *self.others(parts[k]))))
         return np.array(ids, dtype=np.int32), [score - x for x in sums]
 
     def decode(self, ids) -> str:
-        out = bytearray()
-        piece, byte = self.piece_of, self.byte_of
-        for k in ids:
-            p = piece.get(k)
-            out += p.encode() if p is not None else bytes((byte[k],))
-        return out.decode("utf-8", "replace").replace(MARK, " ")[1:]
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
 @lru_cache(maxsize=1)
