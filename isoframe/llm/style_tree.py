@@ -39,6 +39,7 @@ GAMMA = 0.8
 LEAST = 0.3
 LIFT = 1.0
 LINKS = 0.6
+FILTER_BITS = 1 << 26
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|textarea|select|object|title|button)\b"
@@ -233,8 +234,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     keyed = named.withColumn("key", F.xxhash64("page_id", "url"))
     nodes, importance = node_importance(keyed.select("key", "url", "html"), "url", "html")
     low = importance.where(F.col("importance") < LEAST)
-    lows = nodes.join(low, "node").groupBy("key").agg(F.collect_set(F.struct("node", "importance")).alias("low"))  # nodes of one page
-    joined = keyed.join(lows, "key", "left").select("page_id", "url", "html", "low")
+    lows = stored(nodes.join(low, "node").groupBy("key").agg(F.collect_set(F.struct("node", "importance")).alias("low")), "low-nodes")  # of one page
+    # A bitmap of the keys with such nodes (FILTER_BITS bits at most, as 64-bit words) spares all other pages the shuffle.
+    place = F.pmod(F.col("key"), F.lit(FILTER_BITS))
+    word, bit = F.floor(place / 64).cast("int"), F.pmod(place, F.lit(64)).cast("int")
+    bits = lows.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    tagged = keyed.withColumn("word", word).join(F.broadcast(bits), "word", "left").withColumn("some", F.coalesce(F.getbit("bits", bit) == 1, F.lit(False)))
+    columns = ["page_id", "url", "html", "low"]
+    plain = tagged.where(~F.col("some")).withColumn("low", F.lit(None).cast(dict(lows.dtypes)["low"])).select(columns)
+    joined = plain.unionByName(tagged.where("some").join(lows, "key", "left").select(columns))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in small(batches, "html"):
