@@ -11,8 +11,12 @@ and id, without digits). Over the pages that have the node:
 importance = (1 - GAMMA) * presentation + GAMMA * content, with both 1 on a host's single page. What the markup itself
 declares shifts it: within an article or main element it gains LIFT, in elements that are declared to be something
 else (menus, headers, footers, sidebars, notices, adverts, forms, comments, by tag, role, class or id) it loses all.
-Branches whose importance is below LEAST go, with all below them; without an article, a branch must also not be mostly
-links. The blocks that stay are joined in page order.
+
+LIFT is less than LEAST, so what a host repeats goes from its articles too. On a page with an article, a node below LEAST
+loses its own texts only and the branches in it are judged for themselves, so the words around an article never cost it,
+nor those around a paragraph; text outside the article goes. If nothing of an article were left, the page is a
+copy rather than a frame, and its article stays whole. Without an article, branches below LEAST go with all below them,
+and a branch must also not be mostly links. The blocks that stay are joined in page order.
 
 Pages of a host with the same markup count once, so that copies of a page don't look like what all pages repeat.
 
@@ -37,7 +41,7 @@ from .common import small, stored
 
 GAMMA = 0.8
 LEAST = 0.3
-LIFT = 1.0
+LIFT = 0.2
 LINKS = 0.6
 FILTER_BITS = 1 << 26
 
@@ -171,18 +175,20 @@ def styles(node: Node, out: dict) -> None:
             styles(c, out)
 
 
-def blocks(node: Node, importance, main: bool, found: list[str], inside: bool = False) -> None:
+def blocks(node: Node, importance, main: bool, found: list[str], inside: bool = False, own: bool = True) -> None:
     """The texts that stay, in page order."""
     for c in node.children:
         if isinstance(c, str):
-            if inside or not main:
+            if own and (inside or not main):
                 found.append(c)
             continue
+        if c.role < 0:
+            continue
         within = inside or c.role > 0
-        value = importance(c.path) + LIFT * within if c.role >= 0 else 0.0
-        if value < LEAST or (not main and c.size and c.links > LINKS * c.size):
+        low = importance(c.path) + LIFT * within < LEAST
+        if not main and (low or (c.size and c.links > LINKS * c.size)):
             continue
-        blocks(c, importance, main, found, within)
+        blocks(c, importance, main, found, within, not low)
 
 
 def has_main(node: Node) -> bool:
@@ -191,8 +197,11 @@ def has_main(node: Node) -> bool:
 
 def text_of(html: str, host: str, low: dict[int, float]) -> str:
     root = parse(html, host)
+    main = has_main(root)
     found: list[str] = []
-    blocks(root, lambda path: low.get(signed(path), 1.0), has_main(root), found)
+    blocks(root, lambda path: low.get(signed(path), 1.0), main, found)
+    if main and low and not found:
+        blocks(root, lambda path: 1.0, main, found)
     return "\n\n".join(found)
 
 

@@ -23,6 +23,28 @@ def test_repeated_branches_go(spark):
         assert r.n_chars == len(r.text)
 
 
+def texts_of(spark, pages: list[str]) -> list[str]:
+    rows = [(k, "http://h.example/a", page) for k, page in enumerate(pages)]
+    got = style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    return [r.text for r in got.orderBy("page_id").collect()]
+
+
+def test_repeated_blocks_in_articles_go(spark):
+    page = "<article><h1>Title {k}</h1><div class=box><p>Thanks for reading</p></div><section>Share this{body}</section><div class=end>Our promise</div></article>"
+    got = texts_of(spark, [page.format(k=k, body=f"<p>Story {k} one</p><p>Story {k} two</p>") for k in range(20)])
+    assert got == [f"Title {k}\n\nStory {k} one\n\nStory {k} two" for k in range(20)]
+
+
+def test_words_around_an_article_do_not_cost_it(spark):
+    page = "<div class=wrap>Welcome to our site<div class=in>Today<article>Reading time<p>Story {k}</p></article></div>The end</div>"
+    assert texts_of(spark, [page.format(k=k) for k in range(20)]) == [f"Story {k}" for k in range(20)]
+
+
+def test_copies_of_an_article_stay_whole(spark):
+    page = "<div class=count>{k} readers</div><article><h1>Title</h1><p>Story</p></article>"
+    assert texts_of(spark, [page.format(k=k) for k in range(5)]) == ["Title\n\nStory"] * 5
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "", ""), (None, "http://a/b", "<p>x"), (3, "http://a/b", "<p>x"), (3, "http://a/b", "<p>x"), (4, "u", "<div>" * 300 + "deep")]
     pages = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id bigint, url string, html string, key string, low string")
