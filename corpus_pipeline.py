@@ -46,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_pieces, score, n_best_scores, ids_crc32, decodes and piece_ids of each document."""
+    """doc_id, lang, source, n_pieces, score, n_best_scores, ids_crc32, decodes, piece_ids and n_best_ids of each document."""
     return nbest_pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), keys=("doc_id", "lang", "source"))
 
 

@@ -10,9 +10,10 @@ pass keeps one, always the same.
 
 No piece of the vocabulary spans certain places (before white space, and between letters and other characters; this is
 tested on the vocabulary when it's loaded). Texts are cut there: a path through a text's lattice is a path
-through each part. Parts are searched once and kept (KEPT of them), and the N best of a text are the N
-least sums of what is lost in each part: only the N - 1 parts with the smallest first loss can matter. That loss
-comes from a forward and a backward pass; the search runs on those parts.
+through each part. The N best of a text are the N least sums of what is lost in each part, and only the N - 1 parts
+with the smallest first loss can differ from their best in any of them. The best of a part and that loss come from a
+forward and a backward pass, kept for KEPT parts; the search gives the other segmentations, scores and ids, of the
+parts that can differ. The segmentations of a text are put together from these, and each is decoded.
 
 Texts are read whole, one pass without a shuffle. Null and empty texts have no pieces, one segmentation and score 0.
 Decoding joins the pieces, turns byte pieces to bytes and marks to blanks, and drops the first blank.
@@ -78,7 +79,7 @@ class Pieces:
         self.ids: list[tuple[int, ...]] = []
         self.best: list[float] = []
         self.loss: list[float] = []  # of the second best; infinite if there is none
-        self.losses: dict[str, tuple[float, ...]] = {}  # of the others of the n best, for parts that needed them
+        self.found: dict[str, list[tuple[float, tuple[int, ...]]]] = {}  # the others of the n best, for parts that needed them
 
     def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place the edges that end there: (start, score, ids)."""
@@ -153,12 +154,12 @@ class Pieces:
         self.known[part] = k = len(self.ids) - 1
         return k
 
-    def others(self, part: str) -> tuple[float, ...]:
-        """What the second best to the n-th best segmentation of a part lose, by the search."""
-        if part not in self.losses:
-            found = self.search(part, self.n_best)
-            self.losses[part] = tuple(found[0][0] - s for s, _ in found[1:])
-        return self.losses[part]
+    def others(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
+        """What the second best to the n-th best segmentation of a part lose, and their ids, by the search."""
+        if part not in self.found:
+            found, best = self.search(part, self.n_best), self.ids[self.known[part]]
+            self.found[part] = [(found[0][0] - s, ids) for s, ids in found if ids != best][: self.n_best - 1]
+        return self.found[part]
 
     def normal(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
@@ -167,19 +168,34 @@ class Pieces:
         body = self.normal(text)
         return self.cut.findall(body) if self.independent else [body] * bool(body)
 
-    def encode(self, text: str) -> tuple[np.ndarray, list[float]]:
-        """Ids of the best segmentation, and the scores of the n best."""
+    def encode(self, text: str) -> tuple[np.ndarray, list[float], list[np.ndarray]]:
+        """Ids of the best segmentation, and the scores and ids of the n best."""
         if len(self.known) > self.kept:
             self.clear()
         known, parts = self.known.get, self.parts(text)
         places = [k if (k := known(p)) is not None else self._learn(p) for p in parts]
         score = sum(map(self.best.__getitem__, places))
-        ids = list(chain.from_iterable(map(self.ids.__getitem__, places)))
+        own = list(map(self.ids.__getitem__, places))
+        ids = np.array(list(chain.from_iterable(own)), dtype=np.int32)
         want = self.n_best - 1
-        sums = [0.0]
+        sums: list[tuple[float, tuple]] = [(0.0, ())]  # with the parts that aren't their best: (place, number of the other)
         for _, k in heapq.nsmallest(want, zip(map(self.loss.__getitem__, places), range(len(parts)))):  # noqa: B905
-            sums = heapq.nsmallest(want + 1, (a + b for a in sums for b in (0.0, *self.others(parts[k]))))
-        return np.array(ids, dtype=np.int32), [score - x for x in sums]
+            others = self.others(parts[k])
+            more = ((a + b, (*at, (k, j))) for a, at in sums for j, (b, _) in enumerate(others))
+            sums = heapq.nsmallest(want + 1, chain(sums, more))
+        changed = sorted({k for _, at in sums for k, _ in at})
+        starts, start, last = {}, 0, 0
+        for k in changed:
+            start += sum(map(len, own[last:k]))
+            starts[k], last = start, k
+        all_ids = []
+        for _, at in sums:
+            pieces, last = [], 0
+            for k, j in sorted(at):
+                pieces += [ids[last : starts[k]], np.array(self.found[parts[k]][j][1], dtype=np.int32)]
+                last = starts[k] + len(own[k])
+            all_ids.append(np.concatenate([*pieces, ids[last:]]) if pieces else ids)
+        return ids, [score - x for x, _ in sums], all_ids
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
@@ -191,11 +207,16 @@ def pieces_of(path: str, n_best: int) -> Pieces:
     return Pieces(path, n_best)
 
 
+def lists(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets([len(x) for x in ids]), pa.int32()), pa.array(np.concatenate(ids)))
+
+
 def encode(docs: DataFrame, model: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", n_best: int = N_BEST, with_ids: bool = True) -> DataFrame:
-    """For each row of docs: keys, n_pieces, score, n_best_scores (best first), ids_crc32, decodes (decoding gives
-    the text again) and, if with_ids, piece_ids."""
+    """For each row of docs: keys, n_pieces, score, n_best_scores (best first), ids_crc32, decodes (decoding each of the
+    n best gives the text again) and, if with_ids, piece_ids and n_best_ids (those of the best, and of all as in
+    n_best_scores)."""
     picked = docs.select(*[F.col(c).alias(f"key_{k}") for k, c in enumerate(keys)], F.col(text).alias("body"))
-    ddl = "n_pieces bigint, score double, n_best_scores array<double>, ids_crc32 bigint, decodes boolean" + ", piece_ids array<int>" * with_ids
+    ddl = "n_pieces bigint, score double, n_best_scores array<double>, ids_crc32 bigint, decodes boolean" + ", piece_ids array<int>, n_best_ids array<array<int>>" * with_ids
     schema = with_fields(picked.drop("body").schema, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -204,9 +225,10 @@ def encode(docs: DataFrame, model: str, keys: tuple[str, ...] = ("doc_id",), tex
             found = []
             for t in byte_texts(batch.column("body")):
                 text = t.decode()
-                ids, scores = pieces.encode(text)
-                found.append((ids, scores, pieces.decode(ids.tolist()) == text.replace(MARK, " ")))
-            ids = [x for x, _, _ in found]
+                _, scores, ids = pieces.encode(text)
+                want = text.replace(MARK, " ")
+                found.append((ids, scores, all(pieces.decode(x.tolist()) == want for x in ids)))
+            ids = [x[0] for x, _, _ in found]
             columns = [batch.column(f"key_{k}") for k in range(len(keys))] + [
                 pa.array([len(x) for x in ids], pa.int64()),
                 pa.array([s[0] for _, s, _ in found], pa.float64()),
@@ -215,7 +237,8 @@ def encode(docs: DataFrame, model: str, keys: tuple[str, ...] = ("doc_id",), tex
                 pa.array([ok for _, _, ok in found], pa.bool_()),
             ]
             if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets([len(x) for x in ids]), pa.int32()), pa.array(np.concatenate(ids))))
+                each = [x for of_text, _, _ in found for x in of_text]
+                columns += [lists(ids), pa.ListArray.from_arrays(pa.array(offsets([len(x) for x, _, _ in found]), pa.int32()), lists(each))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return picked.mapInArrow(run, schema).select(*[F.col(f"key_{k}").alias(c) for k, c in enumerate(keys)], *schema.names[len(keys) :])

@@ -73,6 +73,21 @@ def test_n_best_match_all_segmentations(pieces, text):
     assert np.allclose([s for s, _ in pieces.search(pieces.normal(text), pieces.n_best)], want)
 
 
+@pytest.mark.parametrize("text", [*TEXTS, "the cat", "a b.", "ün 12", "𓀀a", "the the the the"])
+def test_n_best_segmentations_differ_and_decode(pieces, text):
+    score = {pieces.id_of[p]: s for p, s in pieces.score.items()} | {k: pieces.byte_score for k in pieces.byte_id.values()}
+    best, scores, ids = pieces.encode(text)
+    assert len(ids) == len(scores) == len({tuple(x.tolist()) for x in ids}) and (ids[0] == best).all()
+    assert np.allclose([sum(score[k] for k in x.tolist()) for x in ids], scores)
+    assert all(pieces.decode(x.tolist()) == text for x in ids)
+
+
+def test_query_returns_all_segmentations(odd_docs):
+    got = nbest_pieces.encode(odd_docs, tokenizer_file("piece_bpe_32k.model")).collect()
+    assert all(len(r.n_best_ids) == len(r.n_best_scores) and r.n_best_ids[0] == r.piece_ids for r in got)
+    assert max(len(r.n_best_ids) for r in got) == nbest_pieces.N_BEST
+
+
 def test_decoding(pieces):
     assert pieces.independent
     for t in TEXTS:
