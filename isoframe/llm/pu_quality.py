@@ -8,14 +8,20 @@ the second term being the risk of the negatives, which can't be negative; where
 back. g is additive: each feature of a text's form is cut at quantiles, and each cell has a weight.
 
 The risk ranks texts; it leaves open where a score is cut. The scores are shifted so that THRESHOLD parts the share of
-unlabelled text that the prior calls positive from the rest, at a gap.
+unlabelled text that the prior calls positive from the rest, where scores are rarest.
 
 The prior is the share of positives among labelled rows; where only positives are labelled it is estimated from
 the scores that a positive-against-unlabelled model gives positives and unlabelled text.
 
-Fitting uses at most SAMPLE training documents (expected number, chosen by a hash of the text), read whole. Every
-document is scored whole, in one pass without a shuffle. Null and empty texts have all features 0 and get the score
-of such a text; repeated labels of a document count as one, positive if any is. Without positives the score is 0.5.
+All training documents are read whole and described; rows of equal features and label are one with a weight. The prior
+and the quantiles of the cells are of all training rows, the place of the cut is of all unlabelled ones, from
+histograms of fixed resolution. Only the descent uses a sample, of positives and of unlabelled rows apart: at most
+SAMPLE weighted rows of each (expected number). A row of weight w is in it with probability min(1, w / step), by a
+hash of its features, with weight max(w, step), so sums are unbiased, copies cost one row and a text of many copies is
+always in. Up to SAMPLE rows of a kind, all are used.
+
+Every document is scored whole, in one pass without a shuffle. Null and empty texts have all features 0 and get the
+score of such a text; repeated labels of a document count as one, positive if any is. Without positives the score is 0.5.
 """
 
 from __future__ import annotations
@@ -29,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, with_fields
+from .common import byte_texts, stored, with_fields
 
 SAMPLE = 60_000
 CELLS = 10
 STEPS, RATE, DECAY = 1000, 0.05, 1e-4
 THRESHOLD = 0.3
+FINE = 40  # bits of a feature's mantissa that its histogram leaves out
+BIN, NEAR = 0.01, 10  # width of a bin of raw scores, and how many bins on each side are counted with it
+LIMIT = 40.0  # of raw scores
 
 UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
@@ -81,8 +90,8 @@ def describe(text: bytes) -> list[float]:
 class Additive:
     """Quantile cells of each feature, and a weight for each cell."""
 
-    def __init__(self, x: np.ndarray, cells: int = CELLS):
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, cells + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
+    def __init__(self, cuts: list[np.ndarray]):
+        self.cuts = cuts
         self.first = np.concatenate([[0], np.cumsum([len(c) + 2 for c in self.cuts])]).astype(np.int64)
         self.weights, self.bias = np.zeros(self.first[-1]), 0.0
 
@@ -125,14 +134,19 @@ def softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
-def pu_slopes(prior: float):
-    """Gradients of the non-negative risk with logistic loss, for positives and unlabelled rows."""
+def shares(raw: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
+    return np.full(len(raw), 1 / len(raw)) if weight is None else weight / weight.sum()
+
+
+def pu_slopes(prior: float, weight_p: np.ndarray | None = None, weight_u: np.ndarray | None = None):
+    """Gradients of the non-negative risk with logistic loss, for positives and unlabelled rows (of weight 1, or as given)."""
 
     def slopes(raws):
         p, u = raws
-        negative = softplus(u).mean() - prior * softplus(p).mean()
-        to_p, to_u = -prior * (1 - sigmoid(p)) / len(p), np.zeros(len(u))
-        rest_p, rest_u = -prior * sigmoid(p) / len(p), sigmoid(u) / len(u)
+        of_p, of_u = shares(p, weight_p), shares(u, weight_u)
+        negative = (of_u * softplus(u)).sum() - prior * (of_p * softplus(p)).sum()
+        to_p, to_u = -prior * (1 - sigmoid(p)) * of_p, np.zeros(len(u))
+        rest_p, rest_u = -prior * sigmoid(p) * of_p, sigmoid(u) * of_u
         if negative >= 0:
             return to_p + rest_p, to_u + rest_u
         return -rest_p, -rest_u
@@ -140,27 +154,80 @@ def pu_slopes(prior: float):
     return slopes
 
 
-def prior_of(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, negatives: int) -> float:
-    if negatives:
-        return float(positive.sum() / (positive.sum() + negatives))
-    rough = Additive(x)
-    cells = rough.cells_of(x)
-    descend(rough, [(cells[positive], lambda r: (-(1 - sigmoid(r[0])) / len(r[0]), sigmoid(r[1]) / len(r[1]))), (cells[unlabelled], None)], 150)
+def prior_of(cuts: list[np.ndarray], p: np.ndarray, weight_p: np.ndarray, u: np.ndarray, weight_u: np.ndarray) -> float:
+    """The prior where only positives are labelled."""
+    rough = Additive(cuts)
+    of_p, of_u = weight_p / weight_p.sum(), weight_u / weight_u.sum()
+    cells = rough.cells_of(p)
+    descend(rough, [(cells, lambda r: (-(1 - sigmoid(r[0])) * of_p, sigmoid(r[1]) * of_u)), (rough.cells_of(u), None)], 150)
     ratio = np.exp(np.clip(rough.raw(cells), -10, 10))  # density of positives over that of unlabelled text
-    return float(np.clip(1 / np.quantile(ratio[positive], 0.9), 0.05, 0.99))
+    order = np.argsort(ratio)
+    high = ratio[order][np.searchsorted(np.cumsum(of_p[order]), 0.9).clip(0, len(ratio) - 1)]
+    return float(np.clip(1 / high, 0.05, 0.99))
+
+
+def cut_of(bins: np.ndarray, counts: np.ndarray, prior: float, known: int) -> float:
+    """A raw score with a share of about prior of the unlabelled rows above it: where scores are rarest (counted with NEAR
+    bins on each side; the middle of the longest such stretch) within three standard errors of the prior, which is
+    estimated on known rows."""
+    order = np.argsort(bins)
+    bins, counts = bins[order], counts[order]
+    n, upto = counts.sum(), np.cumsum(counts)
+    error = 3 * (prior * (1 - prior) / max(known, 1)) ** 0.5
+    low, high = (int(bins[np.searchsorted(upto, np.clip((1 - prior + e) * n, 1, n))]) for e in (-error, error))
+    dense = np.zeros(high - low + 1 + 2 * NEAR)
+    inside = (bins >= low - NEAR) & (bins <= high + NEAR)
+    dense[bins[inside] - low + NEAR] = counts[inside]
+    total = np.concatenate([[0], np.cumsum(dense)])
+    near = total[2 * NEAR + 1 :] - total[: -2 * NEAR - 1]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], near == near.min(), [0]])))
+    starts, ends = edges[::2], edges[1::2]
+    k = int((ends - starts).argmax())
+    return (low + (starts[k] + ends[k]) / 2) * BIN
 
 
-def cut_of(raw: np.ndarray, prior: float, known: int) -> float:
-    """A raw score with a share of about prior of the unlabelled rows above it: the middle of the widest gap that lies
-    within three standard errors of the prior (estimated on known rows)."""
-    raw, n = np.sort(raw), len(raw)
-    error = 3 * (prior * (1 - prior) / max(known, 1)) ** 0.5
-    low, high = (int(np.clip((1 - prior + e) * n, 0, n - 1)) for e in (-error, error))
-    part = raw[low : high + 1]
-    if len(part) < 2:
-        return float(part[0])
-    k = int(np.diff(part).argmax())
-    return float((part[k] + part[k + 1]) / 2)
+def histogram(rows: DataFrame, of, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of w over all rows by feature and bin; of gives the bins, (rows, width), of the features of some rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            if batch.num_rows:
+                bins, w = of(matrix(batch.column("x"))), batch.column("w").to_numpy(zero_copy_only=False)
+                for k in range(width):
+                    own, at = np.unique(bins[:, k], return_inverse=True)
+                    n = np.zeros(len(own), dtype=np.int64)
+                    np.add.at(n, at, w)
+                    yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(own), k), pa.int64()), "bin": pa.array(own, pa.int64()), "n": n})
+
+    found = rows.select("x", "w").mapInArrow(run, "k bigint, bin bigint, n bigint").groupBy("k", "bin").agg(F.sum("n").alias("n")).toArrow()
+    return tuple(found.column(c).to_numpy() for c in ("k", "bin", "n"))
+
+
+def cuts_of(rows: DataFrame, cells: int = CELLS) -> list[np.ndarray]:
+    """Quantiles of each feature over all rows, to the resolution of the histogram."""
+    feature, bins, n = histogram(rows, lambda x: (x + 0.0).view(np.int64) >> FINE, len(FEATURES))  # features aren't negative
+    cuts = []
+    for k in range(len(FEATURES)):
+        own = feature == k
+        order = np.argsort(bins[own])
+        values, upto = (bins[own][order] << FINE).view(np.float64), np.cumsum(n[own][order])
+        cuts.append(np.unique(values[np.searchsorted(upto, np.linspace(0, 1, cells + 1)[1:-1] * upto[-1])]))
+    return cuts
+
+
+def matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, len(FEATURES))
+
+
+def sample_of(rows: DataFrame, n: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and weights of at most sample weighted rows (expected number) of n rows."""
+    step = max(1.0, n / sample)
+    place = F.pmod(F.xxhash64("x"), F.lit(1 << 30)) / float(1 << 30)
+    found = rows.where(place < F.col("w") / step).select("x", F.greatest(F.col("w").cast("double"), F.lit(step)).alias("w")).toArrow()
+    x, w = matrix(found.column("x")), found.column("w").to_numpy()
+    order = np.lexsort((*x.T, w))  # rows come in any order
+    return x[order], w[order]
 
 
 def described(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -176,28 +243,26 @@ def described(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
 def fit(train: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Additive | None:
     """None if there is no labelled positive."""
-    n = max(train.count(), 1)
-    share = min(1.0, sample / n)
-    chosen = train.where(F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)) < int(share * (1 << 20)))
     known = labels.groupBy(F.col(doc_id).alias("key_0")).agg(F.max(F.col(label)).alias("y"))
-    found = described(chosen, text, [doc_id]).join(known, "key_0", "left").select("x", "y").toArrow()
-    x = np.array(found.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
-    y = found.column("y").to_pandas().to_numpy(dtype=np.float64, na_value=np.nan)
-    order = np.lexsort((*x.T, y))  # rows come in any order
-    x, y = x[order], y[order]
-    positive, unlabelled = y == 1, np.isnan(y)
-    if not positive.any():
+    rows = described(train, text, [doc_id]).join(known, "key_0", "left").groupBy("x", "y").agg(F.count("*").alias("w"))
+    rows = stored(rows, "features")
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum("w").alias("n")).collect()}
+    positives, negatives = sizes.get(1, 0), sizes.get(0, 0)
+    if not positives:
         return None
-    if not unlabelled.any():
-        unlabelled = np.ones(len(y), dtype=bool)
-    prior = prior_of(x, positive, unlabelled, int((y == 0).sum()))
-    model = Additive(x)
+    unlabelled = rows.where("y is null") if None in sizes else rows.groupBy("x").agg(F.sum("w").alias("w"))
+    cuts = cuts_of(rows)
+    p, weight_p = sample_of(rows.where("y = 1"), positives, sample)
+    u, weight_u = sample_of(unlabelled, sizes.get(None, sum(sizes.values())), sample)
+    prior = positives / (positives + negatives) if negatives else prior_of(cuts, p, weight_p, u, weight_u)
+    model = Additive(cuts)
     model.bias = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0
-    cells = model.cells_of(x)
-    f = pu_slopes(prior)
-    descend(model, [(cells[positive], f), (cells[unlabelled], f)])
+    f = pu_slopes(prior, weight_p, weight_u)
+    descend(model, [(model.cells_of(p), f), (model.cells_of(u), f)])
     if prior < 1:
-        cut = cut_of(model.raw(cells[unlabelled]), prior, int((~np.isnan(y)).sum()))
+        bins_of = lambda x: np.floor(np.clip(model.raw(model.cells_of(x)), -LIMIT, LIMIT) / BIN).astype(np.int64)[:, None]
+        _, bins, n = histogram(unlabelled, bins_of, 1)
+        cut = cut_of(bins, n, prior, positives + negatives)
         model.bias += float(np.log(THRESHOLD / (1 - THRESHOLD))) - cut
     return model
 

@@ -87,6 +87,27 @@ def test_quality_on_held_out_rows(spark, odd_docs, no_docs):
     assert nothing is None and {r.score for r in pu_quality.score(odd_docs, nothing).collect()} == {0.5}
 
 
+def test_few_labels_and_copies_in_many_rows(spark):
+    """The sample thins neither labels nor the rows that prior, cells and cut come from; copies are one row of it."""
+    good, bad = "The {k} men went home, and they all slept well there.", "BUY {k} !!! $$$ ### NOW 4 5 6 !!!"
+    rows = [(k, (good if k % 2 else bad).format(k="x" * (k % 97))) for k in range(2000)] + [(k, "copy " * 9) for k in range(2000, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id bigint, quality int")
+    model = pu_quality.fit(docs, labels, sample=60)
+    assert model is not None
+    got = {r.doc_id: r.predicted for r in pu_quality.score(docs.where("doc_id < 2000"), model).collect()}
+    assert sum(p == k % 2 for k, p in got.items()) >= 1900
+    features = pu_quality.described(docs, "text", ["doc_id"]).groupBy("x").agg(F.count("*").alias("w"))
+    x, w = pu_quality.sample_of(features, 3000, 60)
+    assert len(x) < 120 and w.max() == 1000 and 1500 < w.sum() < 4500
+
+
+def test_cut_does_not_depend_on_the_number_of_rows():
+    bins, counts = np.arange(-300, 300), np.abs(np.arange(-300, 300)) // 10 + 1
+    assert abs(pu_quality.cut_of(bins, counts, 0.5, 50)) < 0.2
+    assert pu_quality.cut_of(bins, counts, 0.5, 50) == pu_quality.cut_of(bins, counts * 1000, 0.5, 50)
+
+
 def test_risk_gradient_is_non_negative_corrected():
     f = pu_quality.pu_slopes(0.5)
     p, u = np.array([2.0, 1.0]), np.array([-1.0, 0.5, 3.0])
