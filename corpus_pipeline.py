@@ -32,11 +32,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest doc_id, of each group of near-duplicates (rows without id all stay)."""
-    groups = near_dedup.near_duplicates(docs, width=SHINGLE_WORDS, percent=SIMILARITY)
-    keep = groups.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi")
-    return once.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Keeps one document, that of the smallest doc_id, of each group of near-duplicates (rows without id all stay).
+
+    A document is a row, by a 64-bit key of all its columns: rows that share an id and have unrelated texts are
+    documents apart. Of equal ids in a group the row of the smallest key stays, of equal rows one.
+    """
+    key, kept = free_names(docs, "row_key", "kept_key")
+    keyed = docs.where("doc_id is not null").withColumn(key, F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in docs.columns]))
+    groups = near_dedup.near_duplicates(keyed, width=SHINGLE_WORDS, percent=SIMILARITY, doc_id=key)
+    parts = groups.select(F.col("doc_id").alias(kept), "component_id").distinct()
+    rows = keyed.select("doc_id", key).distinct().join(parts, F.col(key) == F.col(kept))
+    keep = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("least")).select(F.col(f"least.{key}").alias(kept))
+    once = keyed.join(keep, F.col(key) == F.col(kept), "left_semi").dropDuplicates([key])
+    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
