@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+ARROW_BYTES = 4 << 20
+
 #: Bytes translation that lower-cases A-Z only.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -36,10 +40,23 @@ def local_root() -> str:
     return tempfile.mkdtemp(prefix="isoframe-")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Writes in this block remove their shuffle files when they are done."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +64,17 @@ def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def in_arrow(rows: DataFrame, f, schema) -> DataFrame:
+    """rows.mapInArrow(f, schema) with Arrow batches of at most ARROW_BYTES: the JVM and the worker each hold some at a time.
+
+    The session's setting is lowered to that (Spark reads it when the plan runs); a lower one stays.
+    """
+    spark, name = rows.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+    return rows.mapInArrow(f, schema)
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The texts of a string column as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -66,6 +94,63 @@ def small(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             yield batch.slice(at)
 
 
+class Kept:
+    """Id lists (and numbers) of strings, kept in about limit bytes.
+
+    Beyond that the strings used least since they were added go, half of the limit at least.
+    """
+
+    EACH = 400  # bytes that a string takes besides its characters and ids, with its share of free room
+
+    def __init__(self, limit: int, numbers: int = 0):
+        self.limit, self.numbers = limit, numbers
+        self.place: dict = {}
+        self.bytes, self.used = 0, 0
+        self.flat = np.zeros(1 << 14, dtype=np.uint32)
+        self.start, self.length, self.uses = (np.zeros(1 << 12, dtype=np.int64) for _ in range(3))
+        self.values = np.zeros((1 << 12, numbers))
+
+    def add(self, strings: list, lengths: np.ndarray, ids: np.ndarray, values=None) -> None:
+        n, new = len(self.place), len(strings)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + new > len(self.start):
+            self.start, self.length, self.uses, self.values = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.uses, self.values))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + new] = self.used + offsets(lengths)[:-1]
+        self.length[n : n + new], self.uses[n : n + new] = lengths, 0
+        if self.numbers:
+            self.values[n : n + new] = values
+        self.used += len(ids)
+        self.bytes += sum(map(len, strings)) + self.EACH * new + 4 * len(ids)
+        self.place.update(zip(strings, range(n, n + new), strict=True))
+
+    def places(self, strings: list) -> np.ndarray:
+        """The place of each string, -1 if it isn't kept."""
+        return np.fromiter(map(self.place.get, strings, repeat(-1)), np.int64, len(strings))
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings one after another, and their ends (the first is 0)."""
+        lengths = self.length[places]
+        ends = offsets(lengths)
+        self.uses[: len(self.place)] += np.bincount(places, minlength=len(self.place))
+        return self.flat[np.repeat(self.start[places] - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
+    def trim(self) -> None:
+        if self.bytes <= self.limit:
+            return
+        strings, n = list(self.place), len(self.place)
+        size = np.fromiter(map(len, strings), np.int64, n) + self.EACH + 4 * self.length[:n]
+        order = np.lexsort((np.arange(n), -self.uses[:n]))
+        order = order[: np.searchsorted(np.cumsum(size[order]), self.limit // 2)]
+        order = np.sort(order[self.uses[order] > 1])
+        old, uses, values = self.ids(order)[0], self.uses[order] // 2, self.values[order]
+        lengths = self.length[order]
+        self.__init__(self.limit, self.numbers)
+        self.add([strings[k] for k in order.tolist()], lengths, old, values)
+        self.uses[: len(order)] = uses
+
+
 def crc_fold(column: str, mod: int):
     """crc32 of an id's decimal text, modulo mod; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(mod))

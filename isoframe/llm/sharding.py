@@ -7,26 +7,31 @@ shard climbs. Each append and each compaction commits the next version: entries
 file is renamed into place, which fails if another writer has taken the version. Readers see a whole version or
 the one before; a lost executor's task is rerun before anything is committed.
 
-An arrival is a stretch of ARRIVAL_DOCS doc_ids (rows without doc_id: one of NULL_ARRIVALS, by a hash of the text); rows
-of one doc_id stay together. Shards of SEGMENT neighbouring arrivals are compacted together, so no window grows with the
-table. Sizes are logical: bytes of text and ROW_BYTES for each row. Everything is a DataFrame or SQL expression. All
-columns of the rows are kept, but for any named like the two of the layout, isoframe_version and isoframe_shard.
-An empty table makes a version without shards.
+An arrival is a stretch of doc_ids: ARRIVAL_DOCS of them, or where ids are sparse (fewer than FULL rows for each occupied
+stretch of that length) as many as hold ARRIVAL_DOCS rows on average. Arrivals are numbered from the least doc_id, after
+those of earlier appends, so any 64-bit id fits. Rows without doc_id are dealt to NULL_ARRIVALS further arrivals by a
+hash of the text; rows of one doc_id stay together. Shards of SEGMENT neighbouring arrivals are compacted together, so no
+window grows with the table. Sizes are logical: bytes of text and ROW_BYTES for each row. Everything is a DataFrame or
+SQL expression. A row is stored as one struct column, so its columns may have any names. An empty table makes a version
+without shards. vacuum() removes shards that no version kept names.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, shuffles_dropped
 
 SMALL, FAN, TARGET = 4 << 20, 4, 64 << 20
 ARRIVAL_DOCS, SEGMENT = 2048, 256
 ROW_BYTES = 64
+FULL = 64
+MOST_WIDE = 1 << 62
 NULL_ARRIVALS = 1024
 PLACE = 1 << 20  # shards of an arrival, at most
 LAYOUT = ["isoframe_version", "isoframe_shard"]
@@ -41,6 +46,12 @@ def row_size(text: str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
 
 
+def stretch(number: Column, width: int) -> Column:
+    """number / width rounded down, in whole numbers."""
+    w = F.lit(width).cast("long")
+    return F.call_function("div", number, w) - F.when(number % w < 0, 1).otherwise(0)
+
+
 def limits(small: int, fan: int, target: int) -> list[int]:
     """Upper sizes of the tiers below the target."""
     out = [small]
@@ -109,32 +120,36 @@ class ShardStore:
 
     def _write(self, rows: DataFrame, version: int) -> None:
         placed = rows.withColumn("isoframe_version", F.lit(version))
-        ordered = placed.sortWithinPartitions("isoframe_shard", self.doc_id)
-        ordered.write.mode("append").option("compression", "zstd").partitionBy(*LAYOUT).parquet(f"{self.root}/data")
+        ordered = placed.sortWithinPartitions("isoframe_shard", f"row.{self.doc_id}")
+        with shuffles_dropped(self.spark):
+            ordered.write.mode("append").option("compression", "zstd").partitionBy(*LAYOUT).parquet(f"{self.root}/data")
 
     def append(self, docs: DataFrame) -> int:
         """Add the rows of docs as small shards; returns the version committed."""
         before = self.versions()
         version = before[-1] + 1 if before else 1
-        rows = docs.drop(*LAYOUT)
-        spread = -1 - F.pmod(F.xxhash64(F.coalesce(F.col(self.text), F.lit(""))), F.lit(NULL_ARRIVALS))
-        arrival = F.coalesce(F.floor(F.col(self.doc_id) / self.arrival_docs), spread)
-        rows = rows.withColumn("isoframe_arrival", arrival)
-        earlier = Window.partitionBy("isoframe_arrival").orderBy(self.doc_id).rangeBetween(Window.unboundedPreceding, -1)
-        filled = F.coalesce(F.sum(row_size(self.text)).over(earlier), F.lit(0))
-        run = F.col("isoframe_arrival") * PLACE + F.floor(filled / self.small)
-        rows = rows.withColumn("isoframe_shard", F.concat(F.lit("s"), run.cast("string"))).drop("isoframe_arrival")
-        self._write(rows, version)
-        if docs.isEmpty():
-            made = self.spark.createDataFrame([], ENTRIES)
-        else:
-            made = self._entries(version)
+        last = self.manifest().agg(F.max("run")).first()[0]
+        offset = 0 if last is None else last // PLACE + 1
+        chunks = docs.groupBy(stretch(F.col(self.doc_id), self.arrival_docs).alias("c")).agg(F.count(self.doc_id).alias("n"), F.min(self.doc_id).alias("lo"), F.max(self.doc_id).alias("hi"))
+        about = chunks.where("n > 0").agg(F.sum("n"), F.count("*"), F.min("lo"), F.max("hi")).first()
+        rows, stretches, low, high = (0, 0, 0, 0) if about[0] is None else about
+        width = min(MOST_WIDE, self.arrival_docs * max(1, (high - low) // rows if rows < FULL * stretches else 1))
+        place = stretch(F.col(f"row.{self.doc_id}"), width) - F.lit(low // width)
+        spread = (high // width - low // width + 1) + F.pmod(F.xxhash64(F.coalesce(F.col(f"row.{self.text}"), F.lit(""))), F.lit(NULL_ARRIVALS))
+        placed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row")).withColumn("arrival", F.coalesce(place, spread) + offset)
+        earlier = Window.partitionBy("arrival").orderBy(f"row.{self.doc_id}").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        same = Window.partitionBy("arrival", f"row.{self.doc_id}")
+        size = row_size(f"row.{self.text}")
+        filled = F.sum(size).over(earlier) - F.sum(size).over(same)  # of the rows with a lesser id
+        run = F.col("arrival") * PLACE + F.floor(filled / self.small)
+        self._write(placed.select("row", F.concat(F.lit("s"), run.cast("string")).alias("isoframe_shard")), version)
+        made = self._entries(version) if rows or not docs.isEmpty() else self.spark.createDataFrame([], ENTRIES)
         self.commit(self.manifest().unionByName(made), version)
         return version
 
     def _entries(self, version: int) -> DataFrame:
         run = F.substring("isoframe_shard", 2, 40).cast("long")
-        return self._rows(version).groupBy(*LAYOUT).agg(F.sum(row_size(self.text)).alias("shard_bytes"), F.count("*").alias("shard_rows")).withColumn("run", run)
+        return self._rows(version).groupBy(*LAYOUT).agg(F.sum(row_size(f"row.{self.text}")).alias("shard_bytes"), F.count("*").alias("shard_rows")).withColumn("run", run)
 
     def plan(self, entries: DataFrame) -> DataFrame:
         """entries with the run each shard ends in (target_run) and how many shards that run has (merged)."""
@@ -165,9 +180,7 @@ class ShardStore:
         sources = [r[0] for r in move.select("isoframe_version").distinct().collect()]  # versions, not shards
         if not sources:
             return last
-        for k, v in enumerate(sorted(sources)):
-            old = self._rows(v)
-            rows = old if k == 0 else rows.unionByName(old, allowMissingColumns=True)
+        rows = self._union(sorted(sources))
         rows = rows.join(move, LAYOUT).drop(*LAYOUT).withColumn("isoframe_shard", F.concat(F.lit("r"), F.col("target_run").cast("string")))
         self._write(rows.drop("target_run").repartition("isoframe_shard"), version)
         kept = planned.where("merged = 1").select("isoframe_version", "isoframe_shard", "run", "shard_bytes", "shard_rows")
@@ -176,42 +189,77 @@ class ShardStore:
         self.commit(kept.unionByName(made), version)
         return version
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with their shard's entry."""
+    def _union(self, versions: list[int]) -> DataFrame:
+        """The rows of these versions' folders; columns that some lack are null there."""
+        parts = [self._rows(v) for v in versions]
+        if len({p.schema["row"].dataType.json() for p in parts}) > 1:
+            names = list(dict.fromkeys(c for p in parts for c in p.schema["row"].dataType.names))
+            flat = [p.select(*LAYOUT, *[F.col(f"row.`{c}`").alias(f"c{names.index(c)}") for c in p.schema["row"].dataType.names]) for p in parts]
+            both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), flat)
+            return both.select(F.struct(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)]).alias("row"), *LAYOUT)
+        return reduce(DataFrame.unionByName, parts)
+
+    def placed(self, version: int | None = None) -> DataFrame:
+        """(row, and the entry of its shard) of every row of a version; only the folders that the version names are listed."""
         entries = self.manifest(version)
-        if entries.isEmpty():
+        named = sorted(r[0] for r in entries.select("isoframe_version").distinct().collect())
+        if not named:
             raise ValueError("the version has no shards")
-        return self.spark.read.parquet(f"{self.root}/data").join(entries, LAYOUT)
+        return self._union(named).join(entries, LAYOUT)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version."""
+        return self.placed(version).select("row.*")
+
+    def vacuum(self, keep: list[int] | None = None) -> int:
+        """Forget all versions but those to keep (by default the last) and remove the shards that none of them names.
+
+        Shards are listed as a table and named to the driver one at a time; returns how many went.
+        """
+        have = self.versions()
+        keep = have[-1:] if keep is None else keep
+        live = reduce(DataFrame.unionByName, [self.manifest(v) for v in keep]).select(*LAYOUT).distinct()
+        known = reduce(DataFrame.unionByName, [self.manifest(v) for v in have]).select(*LAYOUT).distinct()
+        jvm, context = self._context()
+        removed = 0
+        for v in have:
+            if v not in keep:
+                context.delete(self._path(f"v{v:08d}.json"), False)
+        for r in known.join(live, LAYOUT, "left_anti").toLocalIterator():
+            context.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/data/isoframe_version={r[0]}/isoframe_shard={r[1]}"), True)
+            removed += 1
+        return removed
 
 
 def compacted(docs: DataFrame, root: str | None = None, **sizes) -> DataFrame:
     """Append docs, compact, and read the committed version: doc_id and the shard of every row."""
     spark = docs.sparkSession
     store = ShardStore(spark, root or shared_dir(spark, "shards"), **sizes)
-    empty = docs.isEmpty()
     store.append(docs)
-    spark._jvm.System.gc()  # the append's shuffle files go once its handles are collected
     store.compact()
-    if empty:
+    if store.manifest().isEmpty():
         return spark.createDataFrame([], "doc_id bigint, run bigint, version int, shard_bytes bigint, shard_rows bigint")
-    return store.read().select(F.col(store.doc_id).alias("doc_id"), "run", F.col("isoframe_version").alias("version"), "shard_bytes", "shard_rows")
+    return store.placed().select(F.col(f"row.{store.doc_id}").alias("doc_id"), "run", F.col("isoframe_version").alias("version"), "shard_bytes", "shard_rows")
 
 
 def sql(small: int = SMALL, fan: int = FAN, target: int = TARGET, arrival_docs: int = ARRIVAL_DOCS, segment: int = SEGMENT) -> str:
     tops = limits(small, fan, target)
+    low = lambda x, w: f"({x} // {w} - ({x} % {w} < 0)::INTEGER)"
     steps, last = [], "p0"
     for k, top in enumerate(tops[1:]):
-        low = tops[k - 1] if k else 0
+        least = tops[k - 1] if k else 0
         steps.append(f"""
 a{k} AS (SELECT *, sum(shard_bytes) OVER (PARTITION BY segment, target_run) AS size FROM {last}),
-b{k} AS (SELECT *, size >= {low * 3 // 4} AND size < {tops[k + 1] * 3 // 4} AS inside FROM a{k}),
+b{k} AS (SELECT *, size >= {least * 3 // 4} AND size < {tops[k + 1] * 3 // 4} AS inside FROM a{k}),
 c{k} AS (SELECT *, CASE WHEN inside THEN coalesce(sum(shard_bytes) OVER (PARTITION BY segment, inside ORDER BY target_run
          RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {top} ELSE -1 END AS part FROM b{k}),
 p{k + 1} AS (SELECT run, shard_bytes, shard_rows, segment,
          CASE WHEN inside THEN min(target_run) OVER (PARTITION BY segment, inside, part) ELSE target_run END AS target_run FROM c{k}),""")
         last = f"p{k + 1}"
     return f"""
-WITH d AS (SELECT doc_id, floor(doc_id / {arrival_docs})::BIGINT AS arrival, coalesce(strlen("text"), 0) + {ROW_BYTES} AS n FROM documents),
+WITH about AS (SELECT min(doc_id) AS lo, least({MOST_WIDE}, {arrival_docs} * greatest(1, CASE WHEN count(doc_id) < {FULL} * count(DISTINCT {low("doc_id", arrival_docs)})
+  THEN (max(doc_id)::HUGEINT - min(doc_id)) // count(doc_id) ELSE 1 END)::HUGEINT) AS width FROM documents),
+d AS (SELECT doc_id, ({low("doc_id", "width")} - {low("lo", "width")})::BIGINT AS arrival, coalesce(strlen("text"), 0) + {ROW_BYTES} AS n FROM documents, about),
 e AS (SELECT doc_id, n, arrival * {PLACE} + coalesce(sum(n) OVER (PARTITION BY arrival ORDER BY doc_id
       RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {small} AS run FROM d),
 s AS (SELECT run, sum(n)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM e GROUP BY run),
