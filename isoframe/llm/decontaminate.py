@@ -5,9 +5,11 @@ WINDOW = GRAM + SPREAD - 1 words then shares a kept fingerprint. Each fingerprin
 windows around it, and a window counts only if all its words are equal. Items shorter than a window are one
 window themselves; a spread of one (every hash kept) is used for their lengths.
 
-The benchmark is taken in blocks of at most BLOCK_BYTES of text. A block's index goes to the workers; rows are
-matched in place, one pass for each block, so nothing is shuffled and memory has a bound whatever the size of
-the benchmark. Null texts have no words; repeated item_ids count once; null item_ids are no items.
+The benchmark is taken in blocks of about BLOCK_BYTES of text. A block's index is built once, as sorted arrays (some 40
+bytes a word of the block), and goes to the workers. Rows are matched in place, so nothing is shuffled; a further
+block is a further pass over a written table, so one index at a time is in memory whatever the size of the
+benchmark. Texts are scanned in small batches. Null texts have no words; repeated item_ids count once; null item_ids
+are no items.
 """
 
 from __future__ import annotations
@@ -17,18 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, mix64
+from .common import byte_texts, in_arrow, mix64, small, stored
 
 WINDOW = 10
 GRAM = 5
 SPREAD = WINDOW - GRAM + 1
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 #: A-Z become a-z; digits, letters and bytes of other scripts stay; all else parts words.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
-STATE = "doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>"
+STATE = "n_words bigint, starts array<int>, ends array<int>, items array<bigint>"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -61,44 +63,53 @@ def winnow(hashes: np.ndarray, spread: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints and windows of one block of the benchmark."""
+    """Fingerprints and windows of one block of the benchmark, as sorted arrays. Built once, on the driver.
 
-    def __init__(self, rows: list[tuple[int, bytes]]):
+    Word ids of all items lie one after another in flat; a window is its place there, so it takes 12 bytes and not its words.
+    """
+
+    def __init__(self, rows: list[tuple[int | None, bytes]]):
         self.vocabulary: dict[bytes, int] = {}
-        texts: dict[tuple[int, ...], set[int]] = {}
-        for item, text in rows:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text) if w)
-            if ids and item is not None:
-                texts.setdefault(ids, set()).add(item)
-        self.by_length: dict[int, list[tuple[np.ndarray, set[int]]]] = {}
-        for ids, items in texts.items():
-            self.by_length.setdefault(min(len(ids), WINDOW), []).append((np.array(ids, dtype=np.int64), items))
-        self.windows = {n: self._windows(n, x) for n, x in self.by_length.items()}
-        kept = [gram_hashes(ids, GRAM) for ids, _ in self.by_length.get(WINDOW, [])]
-        self.prints = np.unique(np.concatenate([h[winnow(h, SPREAD)] for h in kept])) if kept else np.zeros(0, np.uint64)
-
-    @staticmethod
-    def _windows(n: int, texts) -> tuple:
-        """Sorted distinct window hashes, the words of each, and its items as offsets and values."""
-        words_of, hashes, owner = [], [], []
-        for k, (ids, _) in enumerate(texts):
-            h = gram_hashes(ids, n)
-            hashes.append(h)
-            owner.append(np.full(len(h), k))
-            words_of.append(np.lib.stride_tricks.sliding_window_view(ids, n))
-        h, own, tokens = np.concatenate(hashes), np.concatenate(owner), np.concatenate(words_of)
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        pairs = np.unique(np.stack([inverse, own], 1), axis=0)
-        flat = [sorted(texts[k][1]) for k in pairs[:, 1]]
-        counts = np.bincount(pairs[:, 0], weights=[len(x) for x in flat], minlength=len(distinct)).astype(np.int64)
-        values = np.array([i for x in flat for i in x], dtype=np.int64)
-        return distinct, tokens[first], np.concatenate([[0], np.cumsum(counts)]), values
+        texts = [(item, [w for w in words(text) if w]) for item, text in rows if item is not None]
+        texts = [(item, found) for item, found in texts if found]
+        number = self.vocabulary.setdefault
+        self.flat = np.array([number(w, len(self.vocabulary) + 1) for _, found in texts for w in found], dtype=np.int32)
+        sizes = np.array([len(found) for _, found in texts], dtype=np.int64)
+        items, first = np.array([item for item, _ in texts], dtype=np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        left = first[owner + 1] - np.arange(len(owner))  # words from each place to its item's end
+        lengths = np.minimum(sizes, WINDOW)
+        self.windows = {int(n): self._windows(int(n), np.flatnonzero((lengths[owner] == n) & (left >= n)), items[owner]) for n in np.unique(lengths)}
+        kept = [np.zeros(0, np.uint64)]
+        for k in np.flatnonzero(sizes >= WINDOW):
+            h = gram_hashes(self.flat[first[k] : first[k + 1]], GRAM)
+            kept.append(h[winnow(h, SPREAD)])
+        self.prints = np.unique(np.concatenate(kept))
+
+    def hashed(self, ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """The hash of the n words from each place."""
+        h = np.zeros(len(at), dtype=np.uint64)
+        for k in range(n):
+            h = mix64(h + ids[at + k].astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+        return h
+
+    def _windows(self, n: int, at: np.ndarray, item_at: np.ndarray) -> tuple:
+        """Sorted distinct window hashes, a place of each, and its items as offsets and values."""
+        distinct, one, inverse = np.unique(self.hashed(self.flat, at, n), return_index=True, return_inverse=True)
+        item = item_at[at]
+        order = np.lexsort((item, inverse))
+        inverse, item = inverse[order], item[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (inverse[1:] != inverse[:-1]) | (item[1:] != item[:-1])
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(inverse[new], minlength=len(distinct)))])
+        return distinct, at[one].astype(np.int32), bounds, item[new]
 
     def starts(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in ids where a window of n words stands, and which window."""
+        none = np.zeros(0, np.int64)
         if len(ids) < n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        distinct, tokens, _, _ = self.windows[n]
+            return none, none
+        distinct, places, _, _ = self.windows[n]
         if n == WINDOW:
             grams = gram_hashes(ids, GRAM)
             kept = winnow(grams, SPREAD)
@@ -106,19 +117,15 @@ class Index:
             hit = kept[self.prints[np.minimum(place, len(self.prints) - 1)] == grams[kept]]
             at = np.unique((hit[:, None] - np.arange(SPREAD)[None, :]).ravel())
             at = at[(at >= 0) & (at <= len(ids) - n)]
-            if not len(at):
-                return at, at
-            view = np.lib.stride_tricks.sliding_window_view(ids, n)[at]
-            h = np.zeros(len(at), dtype=np.uint64)
-            for k in range(n):
-                h = mix64(h + view[:, k].astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+            h = self.hashed(ids, at, n)
         else:
             at, h = np.arange(len(ids) - n + 1), gram_hashes(ids, n)
         place = np.minimum(np.searchsorted(distinct, h), len(distinct) - 1)
         same = distinct[place] == h
         at, place = at[same], place[same]
-        view = np.lib.stride_tricks.sliding_window_view(ids, n)[at]
-        exact = (view == tokens[place]).all(1)
+        exact = np.ones(len(at), dtype=bool)
+        for k in range(n):
+            exact &= ids[at + k] == self.flat[places[place] + k]
         return at[exact], place[exact]
 
     def scan(self, texts: list[bytes]) -> tuple[np.ndarray, list]:
@@ -129,13 +136,13 @@ class Index:
             sizes[k] = len(found)
             flat += [known(w, 0) for w in found]
             flat.append(-1)  # no window crosses from one text to the next
-        ids = np.array(flat, dtype=np.int64)
+        ids = np.array(flat, dtype=np.int32)
+        del flat
         first = np.concatenate([[0], np.cumsum(sizes + 1)])
         spans: dict[int, tuple[list, list, set]] = {}
-        for n in self.windows:
+        for n, (_, _, bounds, values) in self.windows.items():
             at, which = self.starts(ids, n)
             rows = np.searchsorted(first, at, side="right") - 1
-            _, _, bounds, values = self.windows[n]
             cuts = np.flatnonzero(np.diff(rows)) + 1 if len(rows) else []
             for mine in np.split(np.arange(len(rows)), cuts) if len(rows) else []:
                 row = int(rows[mine[0]])
@@ -160,49 +167,46 @@ def merged(starts, ends) -> tuple[list[int], list[int]]:
     return out_s, out_e
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[list]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[DataFrame]:
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [(k, items.where(part == k) if n > 1 else items) for k in range(n)]
+    return [items.where(part == k) if n > 1 else items for k in range(n)]
 
 
 def find_spans(
     docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text",
     block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """For each row of docs: n_words, the merged hit spans (starts, ends, in words) and the item_ids found.
+    """For each row of docs: doc_id, n_words, the merged hit spans (starts, ends, in words) and the item_ids found.
 
-    carry: further columns of docs to keep, under names that don't clash with these.
+    carry: further columns of docs to keep, as carried_0, carried_1 ... The text goes to the workers once, and comes back
+    only if it is among them or if further blocks need it.
     """
     spark = docs.sparkSession
-    kept = [F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)]
-    state = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"), *kept)
+    others = [c for c in dict.fromkeys(carry) if c not in (doc_id, text)]
+    state = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"), *[F.col(c).alias(f"other_{k}") for k, c in enumerate(others)])
     types = dict(state.dtypes)
-    rest = "".join(f", carried_{k} {types[f'carried_{k}']}" for k in range(len(carry)))
-    for _, block in _blocks(benchmark, item_id, item_text, block_bytes):
-        rows = [(r.i, r.t.encode()) for r in block.distinct().collect()]
-        shared = spark.sparkContext.broadcast(rows)
-        more = "starts" in state.columns
-
-        def match(batches, shared=shared, more=more, n=len(carry)):
-            index = Index(shared.value)
-            for batch in batches:
-                sizes, hits = index.scan(byte_texts(batch.column("body")))
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    for number, block in enumerate(blocks):
+        index = spark.sparkContext.broadcast(Index([(r.i, r.t.encode()) for r in block.distinct().collect()]))
+        names = ["doc_id"] + ["body"] * (number + 1 < len(blocks) or text in carry) + [f"other_{k}" for k in range(len(others))]
+
+        def match(batches, index=index, more=number > 0, names=names):
+            for batch in small(batches, "body"):
+                sizes, hits = index.value.scan(byte_texts(batch.column("body")))
                 old = [batch.column(c).to_pylist() if more else [[] for _ in sizes] for c in ("starts", "ends", "items")]
                 for row, starts, ends, items in hits:
                     old[0][row], old[1][row] = merged(old[0][row] + starts, old[1][row] + ends)
                     old[2][row] = sorted(items.union(old[2][row]))
-                kinds = (pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": batch.column("doc_id"), "body": batch.column("body"), "n_words": pa.array(sizes)}
-                    | {c: pa.array(x, pa.list_(t)) for c, x, t in zip(("starts", "ends", "items"), old, kinds, strict=True)}
-                    | {f"carried_{k}": batch.column(f"carried_{k}") for k in range(n)}
-                )
-
-        state = state.mapInArrow(match, f"doc_id {types['doc_id']}, body string, {STATE.partition(', ')[2]}{rest}")
-    return state
+                found = [pa.array(x, pa.list_(t)) for x, t in zip(old, (pa.int32(), pa.int32(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(sizes), *found], names=[*names, "n_words", "starts", "ends", "items"])
+
+        found = state.transform(in_arrow, match, ", ".join(f"{c} {types[c]}" for c in names) + f", {STATE}")
+        state = stored(found, "decontaminated") if number + 1 < len(blocks) else found
+    at = {doc_id: "doc_id", text: "body"} | {c: f"other_{k}" for k, c in enumerate(others)}
+    return state.select("doc_id", "n_words", "starts", "ends", "items", *[F.col(at[c]).alias(f"carried_{k}") for k, c in enumerate(carry)])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
