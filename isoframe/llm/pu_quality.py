@@ -10,12 +10,11 @@ back. g is additive: each feature of a text's form is cut at quantiles, and each
 The risk ranks texts; it leaves open where a score is cut. The scores are shifted so that THRESHOLD parts the share of
 unlabelled text that the prior calls positive from the rest, where scores are rarest.
 
-The prior is the share of positives among labelled rows; where only positives are labelled it is estimated from
-the scores that a positive-against-unlabelled model gives positives and unlabelled text.
+The prior is estimated from positives and unlabelled text (prior_of); labels of negatives serve for nothing.
 
-All training documents are read whole and described; rows of equal features and label are one with a weight. The prior
-and the quantiles of the cells are of all training rows, the place of the cut is of all unlabelled ones, from
-histograms of fixed resolution. Only the descent uses a sample, of positives and of unlabelled rows apart: at most
+All training documents are read whole and described; rows of equal features and label are one with a weight. The
+quantiles of the cells are of all training rows, the place of the cut is of all unlabelled ones, from histograms of
+fixed resolution. Only the estimate of the prior and the descent use a sample, of positives and of unlabelled rows apart: at most
 SAMPLE weighted rows of each (expected number). A row of weight w is in it with probability min(1, w / step), by a
 hash of its features, with weight max(w, step), so sums are unbiased, copies cost one row and a text of many copies is
 always in. Up to SAMPLE rows of a kind, all are used.
@@ -35,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, stored, with_fields
+from .common import byte_texts, in_arrow, small, stored, with_fields
 
 SAMPLE = 60_000
 CELLS = 10
 STEPS, RATE, DECAY = 1000, 0.05, 1e-4
 THRESHOLD = 0.3
 FINE = 40  # bits of a feature's mantissa that its histogram leaves out
+PRIOR_STEPS, DOUBT, SLACK = 300, 0.1, 0.01
 BIN, NEAR = 0.01, 10  # width of a bin of raw scores, and how many bins on each side are counted with it
 LIMIT = 40.0  # of raw scores
 
@@ -155,15 +155,45 @@ def pu_slopes(prior: float, weight_p: np.ndarray | None = None, weight_u: np.nda
 
 
 def prior_of(cuts: list[np.ndarray], p: np.ndarray, weight_p: np.ndarray, u: np.ndarray, weight_u: np.ndarray) -> float:
-    """The prior where only positives are labelled."""
-    rough = Additive(cuts)
-    of_p, of_u = weight_p / weight_p.sum(), weight_u / weight_u.sum()
-    cells = rough.cells_of(p)
-    descend(rough, [(cells, lambda r: (-(1 - sigmoid(r[0])) * of_p, sigmoid(r[1]) * of_u)), (rough.cells_of(u), None)], 150)
-    ratio = np.exp(np.clip(rough.raw(cells), -10, 10))  # density of positives over that of unlabelled text
-    order = np.argsort(ratio)
-    high = ratio[order][np.searchsorted(np.cumsum(of_p[order]), 0.9).clip(0, len(ratio) - 1)]
-    return float(np.clip(1 / high, 0.05, 0.99))
+    """The share of positives among unlabelled text, from positives and unlabelled text alone (best-bin estimation).
+
+    A rough model ranks positives before unlabelled text. Above any score the share of unlabelled text is at least the prior
+    times that of positives, and equal where no negative lies; the prior is that ratio at the score where it is least,
+    with an allowance for the sampling error of both shares.
+    """
+    rng = np.random.default_rng(0)
+    halves = [rng.permutation(len(w)) % 2 for w in (weight_p, weight_u)]
+    if min(len(weight_p), len(weight_u)) < 4:
+        return 0.5
+    found = []
+    for k in (0, 1):  # a model learnt on one half ranks the other
+        rough = Additive(cuts)
+        (own_p, own_u), (p_of, u_of) = ([h == j for h in halves] for j in (k, 1 - k))
+        of_p, of_u = shares(None, weight_p[own_p]), shares(None, weight_u[own_u])
+        slopes = lambda r, of_p=of_p, of_u=of_u: (-(1 - sigmoid(r[0])) * of_p, sigmoid(r[1]) * of_u)
+        descend(rough, [(rough.cells_of(p[own_p]), slopes), (rough.cells_of(u[own_u]), None)], PRIOR_STEPS)
+        found.append(best_bin(rough.raw(rough.cells_of(p[p_of])), weight_p[p_of], rough.raw(rough.cells_of(u[u_of])), weight_u[u_of]))
+    return float(np.mean(found))
+
+
+def best_bin(p: np.ndarray, weight_p: np.ndarray, u: np.ndarray, weight_u: np.ndarray) -> float:
+    """The least ratio of unlabelled text to positives above a score, with the allowance."""
+    of_p, of_u = shares(None, weight_p), shares(None, weight_u)
+    raw = np.concatenate([p, u])
+    order = np.argsort(-raw, kind="stable")
+    last = np.flatnonzero(np.append(np.diff(raw[order]) != 0, True))  # ties count together
+    above_p = np.cumsum(np.concatenate([of_p, np.zeros(len(u))])[order])[last]
+    above_u = np.cumsum(np.concatenate([np.zeros(len(p)), of_u])[order])[last]
+    some = above_p > 0
+    error = (np.log(4 / DOUBT) / 2) ** 0.5 * (effective(of_p) ** -0.5 + effective(of_u) ** -0.5)
+    ratio = above_u[some] / above_p[some]
+    best = (ratio + (1 + SLACK) * error / above_p[some]).argmin()
+    return float(np.clip(ratio[best], 0.01, 0.99))
+
+
+def effective(share: np.ndarray) -> float:
+    """How many rows of equal weight have the sampling error of these."""
+    return 1 / float((share**2).sum())
 
 
 def cut_of(bins: np.ndarray, counts: np.ndarray, prior: float, known: int) -> float:
@@ -199,7 +229,7 @@ def histogram(rows: DataFrame, of, width: int) -> tuple[np.ndarray, np.ndarray,
                     np.add.at(n, at, w)
                     yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(own), k), pa.int64()), "bin": pa.array(own, pa.int64()), "n": n})
 
-    found = rows.select("x", "w").mapInArrow(run, "k bigint, bin bigint, n bigint").groupBy("k", "bin").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.select("x", "w").transform(in_arrow, run, "k bigint, bin bigint, n bigint").groupBy("k", "bin").agg(F.sum("n").alias("n")).toArrow()
     return tuple(found.column(c).to_numpy() for c in ("k", "bin", "n"))
 
 
@@ -232,13 +262,13 @@ def sample_of(rows: DataFrame, n: int, sample: int) -> tuple[np.ndarray, np.ndar
 
 def described(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in small(batches, "body"):
             x = [describe(t) for t in byte_texts(batch.column("body"))]
             columns = [batch.column(f"key_{k}") for k in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(x, pa.list_(pa.float64()))], names=[f"key_{k}" for k in range(len(keys))] + ["x"])
 
     picked = docs.select(*[F.col(c).alias(f"key_{k}") for k, c in enumerate(keys)], F.col(text).alias("body"))
-    return picked.mapInArrow(run, with_fields(picked.drop("body").schema, "x array<double>"))
+    return picked.transform(in_arrow, run, with_fields(picked.drop("body").schema, "x array<double>"))
 
 
 def fit(train: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Additive | None:
@@ -247,14 +277,14 @@ def fit(train: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = described(train, text, [doc_id]).join(known, "key_0", "left").groupBy("x", "y").agg(F.count("*").alias("w"))
     rows = stored(rows, "features")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum("w").alias("n")).collect()}
-    positives, negatives = sizes.get(1, 0), sizes.get(0, 0)
+    positives = sizes.get(1, 0)
     if not positives:
         return None
     unlabelled = rows.where("y is null") if None in sizes else rows.groupBy("x").agg(F.sum("w").alias("w"))
     cuts = cuts_of(rows)
     p, weight_p = sample_of(rows.where("y = 1"), positives, sample)
     u, weight_u = sample_of(unlabelled, sizes.get(None, sum(sizes.values())), sample)
-    prior = positives / (positives + negatives) if negatives else prior_of(cuts, p, weight_p, u, weight_u)
+    prior = prior_of(cuts, p, weight_p, u, weight_u)
     model = Additive(cuts)
     model.bias = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0
     f = pu_slopes(prior, weight_p, weight_u)
@@ -262,7 +292,7 @@ def fit(train: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if prior < 1:
         bins_of = lambda x: np.floor(np.clip(model.raw(model.cells_of(x)), -LIMIT, LIMIT) / BIN).astype(np.int64)[:, None]
         _, bins, n = histogram(unlabelled, bins_of, 1)
-        cut = cut_of(bins, n, prior, positives + negatives)
+        cut = cut_of(bins, n, prior, min(positives, int(n.sum())))
         model.bias += float(np.log(THRESHOLD / (1 - THRESHOLD))) - cut
     return model
 
@@ -272,12 +302,12 @@ def score(docs: DataFrame, model: Additive | None, keys: tuple[str, ...] = ("doc
     picked = docs.select(*[F.col(c).alias(f"key_{k}") for k, c in enumerate(keys)], F.col(text).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in small(batches, "body"):
             if batch.num_rows:
                 x = np.array([describe(t) for t in byte_texts(batch.column("body"))])
                 s = model.score(x) if model else np.full(len(x), 0.5)
                 columns = [batch.column(f"key_{k}") for k in range(len(keys))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(s)], names=[f"key_{k}" for k in range(len(keys))] + ["score"])
 
-    found = picked.mapInArrow(run, with_fields(picked.drop("body").schema, "score double"))
+    found = picked.transform(in_arrow, run, with_fields(picked.drop("body").schema, "score double"))
     return found.select(*[F.col(f"key_{k}").alias(c) for k, c in enumerate(keys)], "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
