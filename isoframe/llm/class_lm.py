@@ -1,35 +1,41 @@
 """Scoring by a Brown class-based bigram model.
 
-Every word belongs to a unit: the UNIT_WORDS most frequent words are units of their own, all others share the unit
-of their last two characters (the SUFFIXES heaviest endings, else one for the rest). Exchange clustering moves
-units between CLASSES classes while that raises the likelihood of the training bigrams. Then
+Exchange clustering puts words into CLASSES classes. Then
 
-    P(w | v) = P(class(w) | class(v)) * P(unit(w) | class(w)) * P(w | unit(w))
+    P(w | v) = P(class(w) | class(v)) * P(w | class(w))
 
 with transitions smoothed towards the classes' own frequencies and emissions by add-half. An end token closes each
 text and stands before its first word.
 
-Counts are over all training texts and grow with them; they stay in a table of the shared folder. The words that
-occur at least as often as a threshold, HEAD words at most, go to the workers; the counts of all other words are
-joined to the few words of each text that aren't among these, so memory has a bound and no word is dropped. Bigrams
-are counted between units, at most (UNIT_WORDS + SUFFIXES + 2) ** 2 pairs. Null texts are empty; repeated rows each
-count and each give a row.
+Clustering has two steps. First the UNIT_WORDS most frequent words are moved one at a time between classes while that
+raises the likelihood of the training bigrams; for that, all other words share units by their last two characters (the
+SUFFIXES heaviest endings, else one for the rest), whose classes are where those words start. Then every word of the head,
+the at most HEAD words that occur at least as often as a threshold, is exchanged by its own counts: a table of the
+classes it stands between, summed over all training texts, gives the likelihood of each class for it, and all move
+at once (distributed exchange); ROUNDS_ALL such rounds, each undone if the likelihood of the training bigrams is less.
+Words beyond the head have the class of their ending; their own counts are joined.
+
+Counts are over all training texts and grow with them; they stay in tables of the shared folder. The head goes to the
+workers; the counts of all other words are joined to the few words of each text that aren't in it, so memory has a
+bound and no word is dropped. Null texts are empty; repeated rows each count and each give a row.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_texts, small, stored, with_fields
+from .common import LOWER, byte_texts, in_arrow, small, stored, with_fields
 
 UNIT_WORDS, SUFFIXES, CLASSES = 1500, 500, 64
-HEAD = 500_000
+HEAD = 300_000
+ROUNDS_ALL = 1
 PULL = 20.0  # weight of the classes' own frequencies in a transition
 ROUNDS = 6
 END = b""
@@ -50,7 +56,7 @@ def word_counts(train: DataFrame, text: str) -> DataFrame:
                 {"word": pa.array(list(found), pa.binary()).cast(pa.string()), "n": pa.array(list(found.values()), pa.int64())}
             )
 
-        for batch in batches:
+        for batch in small(batches, text):
             for t in byte_texts(batch.column(0)):
                 found.update(tokens(t))
                 found[END] += 1
@@ -60,30 +66,25 @@ def word_counts(train: DataFrame, text: str) -> DataFrame:
         if found:
             yield out()
 
-    return train.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
+    return train.select(text).transform(in_arrow, count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 class Units:
-    """From words to units, and the emission of words that share a unit."""
+    """From words to the units of the first step, and the base score of the head."""
 
-    def __init__(self, head: list[bytes], counts: np.ndarray, suffixes: list[tuple[bytes, int, int]], rest: tuple[int, int], total: int, distinct: int):
+    def __init__(self, head: list[bytes], counts: np.ndarray, suffixes: list[bytes], total: int, distinct: int):
         order = np.lexsort((np.arange(len(head)), -counts))
         own = [END] + [head[k] for k in order if head[k] != END][:UNIT_WORDS]
         self.unit = {w: k for k, w in enumerate(own)}
-        self.suffix = {s: len(own) + k for k, (s, _, _) in enumerate(suffixes)}
+        self.suffix = {s: len(own) + k for k, s in enumerate(suffixes)}
+        self.own = len(own)
         self.other = len(own) + len(suffixes)
         self.n = self.other + 1
         self.total, self.distinct = total, distinct
-        mass = np.array([n for _, n, _ in suffixes] + [rest[0]], dtype=np.float64)
-        kinds = np.array([v for _, _, v in suffixes] + [rest[1]], dtype=np.float64)
-        self.share = np.concatenate([np.ones(len(own)), mass + 0.5 * (kinds + 1)])
         self.head = {w: k for k, w in enumerate(head)}
         self.head_unit = np.array([self.of(w) for w in head], dtype=np.int64)
-        c = counts.astype(np.float64)
-        shared = self.head_unit >= len(own)
-        self.head_emit = np.where(shared, np.log10(c + 0.5) - np.log10(self.share[self.head_unit]), 0.0)
-        self.head_base = np.log10(c + 0.5)
-        self.head_seen = c > 0  # the end token is in the head even without training texts
+        self.head_base = np.log10(counts.astype(np.float64) + 0.5)
+        self.head_seen = counts > 0  # the end token is in the head even without training texts
 
     def of(self, word: bytes) -> int:
         k = self.unit.get(word)
@@ -100,7 +101,7 @@ class Units:
             flat.append(END)
         place = self.head.get
         at = np.array([place(w, -1) for w in flat], dtype=np.int64)
-        units = self.head_unit[at] if len(self.head) else np.zeros(len(at), np.int64)
+        units = self.head_unit[at]
         beyond = np.flatnonzero(at < 0)
         for k in beyond:
             units[k] = self.of(flat[k])
@@ -164,33 +165,80 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, n: int, classes: int = CLASS
     return member
 
 
+def x_log_x(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What of the log likelihood of the training bigrams hangs on the classes, from the bigrams of classes."""
+    return float(x_log_x(table).sum() - x_log_x(table.sum(1)).sum() - x_log_x(table.sum(0)).sum())
+
+
+def best_classes(own: np.ndarray, place: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the likelihood most if it alone moves, by the classes it stands between.
+
+    own: the words' classes; (place, before, after, n): which word stands how often between which classes, sorted by place.
+    What a word loses by leaving its class is counted on the table without it (a word beside itself counts as beside its class).
+    """
+    k = len(table)
+    gain = np.zeros((len(own), k))
+    sides = ((after, table.T, table.sum(1)), (before, table, table.sum(0)))  # rows: the neighbour's class, columns: the word's
+    words = np.arange(len(own))
+    for neighbour, of, total in sides:
+        code, where = np.unique(place * k + neighbour, return_inverse=True)
+        counts = np.bincount(where, weights=n)
+        word, c = code // k, code % k
+        for at in range(0, len(code), 50_000):
+            w, x, m = word[at : at + 50_000], of[c[at : at + 50_000]], counts[at : at + 50_000, None]
+            more = x_log_x(x + m) - x_log_x(x)
+            mine = np.arange(len(w)), own[w]
+            stay = x[mine]
+            more[mine] = x_log_x(stay) - x_log_x(np.maximum(stay - m[:, 0], 0))
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            gain[w[first]] += np.add.reduceat(more, first)
+        sums = np.bincount(place, weights=n, minlength=len(own))[:, None]
+        less = x_log_x(total + sums) - x_log_x(total)
+        stay = total[own]
+        less[words, own] = x_log_x(stay) - x_log_x(np.maximum(stay - sums[:, 0], 0))
+        gain -= less
+    best = gain.argmax(1)
+    return np.where(gain[words, best] > gain[words, own] + 1e-9, best, own)
+
+
 class Model:
-    def __init__(self, units: Units, pairs: np.ndarray, counts: np.ndarray, classes: int = CLASSES):
-        self.units = units
-        member = exchange(pairs, counts, units.n, classes)
-        k = int(member.max()) + 1
-        big = np.zeros((k, k))
-        np.add.at(big, (member[pairs // units.n], member[pairs % units.n]), counts)
-        mass = np.bincount(pairs % units.n, weights=counts, minlength=units.n) + 0.5
-        of_class = np.bincount(member, weights=mass, minlength=k)
-        own = of_class / of_class.sum()
-        self.member = member
-        self.transition = np.log10((big + PULL * own) / (big.sum(1, keepdims=True) + PULL))
-        self.emission = np.log10(mass / of_class[member])
+    """Classes of units (words beyond the head) and of the head's words, transitions and emissions."""
+
+    def __init__(self, units: Units, member: np.ndarray):
+        self.units, self.member = units, member
+        self.k = int(member.max()) + 1
+        self.head_class = member[units.head_unit]
+        self.end_class = int(member[units.unit[END]])
+
+    def settle(self, table: np.ndarray, mass: np.ndarray) -> None:
+        """Probabilities from the bigrams of classes, and the counts (with a half for each word) in each class."""
+        mass = mass + 0.5
+        own = mass / mass.sum()
+        self.transition = np.log10((table + PULL * own) / (table.sum(1, keepdims=True) + PULL))
+        self.spread = np.log10(mass)  # of a class
+        self.emission = self.units.head_base - self.spread[self.head_class]
+
+    def classes(self, at: np.ndarray, units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each token and that before it."""
+        cls = np.where(at >= 0, self.head_class[at], self.member[units])
+        before = np.concatenate([[self.end_class], cls[:-1]])
+        before[first[:-1]] = self.end_class
+        return cls, before
 
     def score(self, texts: list[bytes]) -> dict:
         """For each text the sums over the words whose counts are known here, and its other words."""
         u = self.units
         at, units, first, beyond = u.read(texts)
-        cls = self.member[units]
-        before = np.concatenate([[self.member[u.unit[END]]], cls[:-1]])
+        cls, before = self.classes(at, units, first)
         starts = first[:-1]
-        before[starts] = self.member[u.unit[END]]
         inside = at >= 0
         base = -np.log10(u.total + 0.5 * (u.distinct + 1))
-        out = self.transition[before, cls] + self.emission[units]
-        out += np.where(inside, u.head_emit[at] if len(u.head) else 0.0, -np.log10(u.share[units]))
-        plain = base + np.where(inside, u.head_base[at] if len(u.head) else 0.0, 0.0)
+        out = self.transition[before, cls] + np.where(inside, self.emission[at], -self.spread[cls])
+        plain = base + np.where(inside, u.head_base[at], 0.0)
         rows: list[Counter] = [Counter() for _ in texts]
         for row, (_, w) in zip(np.searchsorted(first, np.fromiter(beyond, np.int64, len(beyond)), side="right") - 1, beyond.items(), strict=True):
             rows[row][w] += 1
@@ -215,13 +263,15 @@ def fit(train: DataFrame, text: str = "text", head: int = HEAD) -> tuple[Model,
     if END not in words:
         words, freq = [*words, END], np.append(freq, 0)
     own = [w.decode() for w in words if w != END][:UNIT_WORDS]
+    ending_of = F.right("word", F.lit(2)).alias("s")
     shared = counts.where((F.col("word") != "") & (~F.col("word").isin(own) if own else F.lit(True)))
-    by_end = shared.groupBy(F.right("word", F.lit(2)).alias("s")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    by_end = stored(by_end, "endings")
-    suffixes = [(r["s"].encode(), r["n"], r["v"]) for r in by_end.orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()]
-    n_all, v_all = by_end.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    rest = n_all - sum(n for _, n, _ in suffixes), v_all - sum(v for _, _, v in suffixes)
-    units = Units(words, freq, suffixes, rest, int(total or 0), int(distinct))
+    by_end = shared.groupBy(ending_of).agg(F.sum("c").alias("n"))
+    suffixes = [r["s"].encode() for r in by_end.orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()]
+    units = Units(words, freq, suffixes, int(total or 0), int(distinct))
+    rare = counts.where((F.col("c") < int(least)) & (F.col("word") != ""))
+    of_unit = spark.createDataFrame([(k.decode(), v) for k, v in units.suffix.items()], "s string, unit int")  # SUFFIXES rows
+    beyond = rare.groupBy(ending_of).agg(F.sum(F.col("c") + 0.5).alias("n")).join(F.broadcast(of_unit), "s", "left")
+    beyond = {r["unit"]: r["n"] for r in beyond.groupBy(F.coalesce("unit", F.lit(units.other)).alias("unit")).agg(F.sum("n").alias("n")).collect()}
     known = spark.sparkContext.broadcast(units)
 
     def pairs(batches: Iterator[pa.RecordBatch]):
@@ -238,10 +288,79 @@ def fit(train: DataFrame, text: str = "text", head: int = HEAD) -> tuple[Model,
             for k in range(0, len(at), 100_000):
                 yield pa.RecordBatch.from_pydict({"pair": at[k : k + 100_000], "n": found[at[k : k + 100_000]]})
 
-    grouped = train.select(text).mapInArrow(pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    grouped = train.select(text).transform(in_arrow, pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     order = np.argsort(grouped.column("pair").to_numpy())
-    model = Model(units, grouped.column("pair").to_numpy()[order], grouped.column("n").to_numpy()[order].astype(np.float64))
-    return model, counts.where((F.col("c") < int(least)) & (F.col("word") != ""))
+    pair, n = grouped.column("pair").to_numpy()[order], grouped.column("n").to_numpy()[order].astype(np.float64)
+    model = Model(units, exchange(pair, n, units.n))
+    table = np.zeros((model.k, model.k))
+    np.add.at(table, (model.member[pair // units.n], model.member[pair % units.n]), n)
+    for _ in range(ROUNDS_ALL):
+        before = model.head_class
+        model.head_class = exchanged(train, text, model, table)
+        moved = class_bigrams(train, text, model)
+        if likelihood(moved) < likelihood(table):
+            model.head_class = before
+            break
+        table = moved
+    mass = np.bincount(model.head_class, weights=freq + 0.5, minlength=model.k)
+    for unit, more in beyond.items():
+        mass[model.member[unit]] += more
+    model.settle(table, mass)
+    return model, rare
+
+
+def class_bigrams(train: DataFrame, text: str, model: Model) -> np.ndarray:
+    """How often each class follows each, over all training texts."""
+    shared, k = train.sparkSession.sparkContext.broadcast(model), model.k
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        found = np.zeros(k * k, dtype=np.int64)
+        for batch in small(batches, text):
+            at, units, first, _ = shared.value.units.read(byte_texts(batch.column(0)))
+            cls, before = shared.value.classes(at, units, first)
+            found += np.bincount(before * k + cls, minlength=k * k)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_pydict({"pair": at, "n": found[at]})
+
+    rows = train.select(text).transform(in_arrow, count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k)
+    out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(k, k)
+
+
+def exchanged(train: DataFrame, text: str, model: Model, table: np.ndarray) -> np.ndarray:
+    """The classes of the head's words after a round of exchange; the words of the first step stay."""
+    shared, k = train.sparkSession.sparkContext.broadcast(model), model.k
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        for batch in small(batches, text):
+            m = shared.value
+            at, units, first, _ = m.units.read(byte_texts(batch.column(0)))
+            cls, before = m.classes(at, units, first)
+            moves = np.flatnonzero((at >= 0) & (units >= m.units.own))  # never an end token, so a token follows
+            code, n = np.unique((at[moves] * k + before[moves]) * k + cls[moves + 1], return_counts=True)
+            word = code // (k * k)
+            yield pa.RecordBatch.from_pydict({"word": word.astype(np.int32), "between": (code % (k * k)).astype(np.int32), "n": n})
+
+    def move(batches: Iterator[pa.RecordBatch]):
+        held = None
+        for batch in chain(batches, [None]):
+            rows = [x.to_numpy() for x in batch.columns] if batch is not None else [np.zeros(0, np.int64)] * 3
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            whole = len(rows[0]) if batch is None else int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            held = [x[whole:] for x in rows]  # the last word may go on
+            if whole:
+                word, between, n = (x[:whole].astype(np.int64) for x in rows)
+                mine, place = np.unique(word, return_inverse=True)
+                best = best_classes(shared.value.head_class[mine], place, between // k, between % k, n.astype(np.float64), table)
+                yield pa.RecordBatch.from_pydict({"word": mine, "class": best})
+
+    rows = train.select(text).transform(in_arrow, count, "word int, between int, n bigint")
+    rows = rows.repartition("word").groupBy("word", "between").agg(F.sum("n").alias("n")).sortWithinPartitions("word")
+    found = rows.transform(in_arrow, move, "word bigint, class bigint").toArrow()  # a row for each word of the head
+    out = model.head_class.copy()
+    out[found.column("word").to_numpy()] = found.column("class").to_numpy()
+    return out
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -259,7 +378,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, text: str = "text", ke
             columns += [pa.array(x["n"]), pa.array(x["known"]), pa.array(x["base"]), pa.array(x["score"]), rest]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    part = stored(picked.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
+    part = stored(picked.transform(in_arrow, run, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
     words = part.where(F.size("rest") > 0).select("row", F.explode("rest").alias("x")).select("row", F.col("x.w").alias("word"), F.col("x.n").alias("k"))
     c = F.coalesce(F.col("c"), F.lit(0))
     found = words.join(rare, "word", "left").groupBy("row").agg(

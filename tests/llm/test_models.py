@@ -24,18 +24,62 @@ def test_base_score_and_counts(spark, odd_docs, monkeypatch):
             t = [*class_lm.tokens((r.text or "").encode()), b""]
             want.append((str(r.doc_id), len(t), sum(count[w] > 0 for w in t), n, round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6)))
         assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(want)
-        if head > 4:
-            first = {(str(r.doc_id), r.n_tokens): r.score for r in got}
-        else:  # the score doesn't depend on which words went to the workers
-            assert all(abs(first[(str(r.doc_id), r.n_tokens)] - r.score) < 1e-6 for r in got)
+        brute = sorted((str(r.doc_id), brute_score(model, count, [x.text or "" for x in rows if x.train], r.text or "")) for r in rows)
+        assert [(i, round(x, 6)) for i, x in brute] == sorted((str(r.doc_id), round(r.score, 6)) for r in got)
+
+
+def brute_score(model, count, train, text):
+    """log10 probability by the classes of single words, with all counts taken from the training texts."""
+    u = model.units
+
+    def cls(w):
+        return int(model.head_class[u.head[w]] if w in u.head else model.member[u.of(w)])
+
+    k = model.k
+    table, mass = np.zeros((k, k)), np.full(k, 0.5)
+    for t in train:
+        t = [b"", *class_lm.tokens(t.encode()), b""]
+        for v, w in zip(t[:-1], t[1:], strict=True):
+            table[cls(v), cls(w)] += 1
+    for w in {b"", *count}:
+        mass[cls(w)] += count[w] + 0.5
+    own = mass / mass.sum()
+    out, v = 0.0, b""
+    for w in [*class_lm.tokens(text.encode()), b""]:
+        a, b = cls(v), cls(w)
+        out += math.log10((table[a, b] + class_lm.PULL * own[b]) / (table[a].sum() + class_lm.PULL) * (count[w] + 0.5) / mass[b])
+        v = w
+    return out
+
+
+def test_best_classes_match_single_moves():
+    """Words of classes 0 and 1 between words of classes 2 to 5: each goes where it alone raises the likelihood most."""
+    rng = np.random.default_rng(1)
+    own, rows = rng.integers(0, 2, 8), 200
+    place, before, after = np.sort(rng.integers(0, 8, rows)), rng.integers(2, 6, rows), rng.integers(2, 6, rows)
+    n = rng.integers(1, 9, rows).astype(float)
+
+    def table_of(own):
+        t = np.zeros((6, 6))
+        np.add.at(t, (before, own[place]), n)
+        np.add.at(t, (own[place], after), n)
+        return t
+
+    got = class_lm.best_classes(own, place, before, after, n, table_of(own))
+    moved = 0
+    for w in range(8):
+        values = [class_lm.likelihood(table_of(np.where(np.arange(8) == w, c, own))) for c in (0, 1)]
+        assert got[w] > 1 or values[got[w]] >= max(values) - 1e-9
+        moved += got[w] != own[w]
+    assert moved
 
 
 def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(1, "a b a c"), (2, "b a d")], "doc_id bigint, text string")
     model, _ = class_lm.fit(docs)
     assert np.allclose((10**model.transition).sum(1), 1)
-    for k in range(model.member.max() + 1):
-        assert abs((10 ** model.emission[model.member == k]).sum() - 1) < 1e-9
+    for k in range(model.k):  # the rest is for words not seen
+        assert abs((10 ** model.emission[model.head_class == k]).sum() + 0.5 / 10 ** model.spread[k] - 1) < 1e-9
 
 
 def likelihood(big, member, k):
@@ -102,6 +146,20 @@ def test_few_labels_and_copies_in_many_rows(spark):
     assert len(x) < 120 and w.max() == 1000 and 1500 < w.sum() < 4500
 
 
+def test_prior_is_that_of_the_unlabelled_rows(spark):
+    """The prior comes from positives and unlabelled text; labelled negatives don't move it."""
+    good, bad = "The {k} men went home, and they all slept well there.", "BUY {k} !!! $$$ ### NOW 4 5 6 !!!"
+    rows = [(k, (good if k % 10 < 7 else bad).format(k="x" * (k % 97))) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for negatives in (0, 900):
+        labels = spark.createDataFrame([(k, 1) for k in range(0, 6000, 4) if k % 10 < 7] + [(k, 0) for k in range(6000) if k % 10 >= 7][:negatives], "doc_id bigint, quality int")
+        model = pu_quality.fit(docs, labels)
+        got = {r.doc_id: r.predicted for r in pu_quality.score(docs, model).collect()}
+        assert sum(p == (k % 10 < 7) for k, p in got.items()) >= 5900
+    x = np.concatenate([np.linspace(0, 1, 700), np.linspace(2, 3, 300)])  # positives above 2
+    assert abs(pu_quality.best_bin(np.linspace(2, 3, 500), np.ones(500), x, np.ones(1000)) - 0.3) < 0.03
+
+
 def test_cut_does_not_depend_on_the_number_of_rows():
     bins, counts = np.arange(-300, 300), np.abs(np.arange(-300, 300)) // 10 + 1
     assert abs(pu_quality.cut_of(bins, counts, 0.5, 50)) < 0.2
