@@ -15,7 +15,8 @@ else (menus, headers, footers, sidebars, notices, adverts, forms, comments, by t
 LIFT is less than LEAST, so what a host repeats goes from its articles too. On a page with an article, a node below LEAST
 loses its own texts only and the branches in it are judged for themselves, so the words around an article never cost it,
 nor those around a paragraph; text outside the article goes. If nothing of an article were left, the page is a
-copy rather than a frame, and its article stays whole. Without an article, branches below LEAST go with all below them,
+copy rather than a frame, and its article stays whole. A class name or id declares something only as a whole name
+("sidebar", "site-header", not "has-sidebar"), and those of the body or of an article declare nothing. Without an article, branches below LEAST go with all below them,
 and a branch must also not be mostly links. The blocks that stay are joined in page order.
 
 Pages of a host with the same markup count once, so that copies of a page don't look like what all pages repeat.
@@ -23,21 +24,23 @@ Pages of a host with the same markup count once, so that copies of a page don't
 The tree is counted, not collected: each page gives its nodes and texts once, as 64-bit keys that hold the host, so a host
 with a third of all pages is spread over the keys of its styles and texts and summed before each shuffle. Only the nodes
 of low importance that a page has travel to it. Null html is empty; null urls are one host; repeated pages each give
-a row; broken markup is read as browsers do (implied ends, tags cut off at the end dropped).
+a row; broken markup is read as browsers do (implied ends, tags that nothing closes dropped).
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import in_arrow, small, stored
 
 GAMMA = 0.8
 LEAST = 0.3
@@ -45,13 +48,17 @@ LIFT = 0.2
 LINKS = 0.6
 FILTER_BITS = 1 << 26
 
+# Quotes count only where a value begins; what an attribute holds is never tried twice (possessive).
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|textarea|select|object|title|button)\b"
-    r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?|<(?=[a-zA-Z])[^<>]*\Z",
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>][^\s<>]*+)|[^<>=]|=)*+)>"
+    r"|<[!?/][^>]*>?|<(?=[a-zA-Z])[^<>]*(?=<|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|itemprop)(?![^\s=/>])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# Elements without text of the page; those of the first kind run to the end of the page if nothing closes them.
+RAW = frozenset("script style textarea title iframe noscript".split())
+DROPPED = RAW | frozenset("template svg math select object button".split())
 # Element kinds of HTML.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4"
@@ -71,6 +78,15 @@ ASIDE_WORDS = frozenset(
     " subscribe signup login search form pagination pager toolbar skip topbar bottombar copyright tracking".split()
 )
 MAIN_WORDS = frozenset("article main".split())
+# Words that a class name may have beside those: it names the same thing. Any other word (has-, no-, -enabled) makes it another name.
+BESIDE = frozenset(
+    "site page global top bottom left right primary secondary main box block list item items link links bar wrapper wrap container inner"
+    " outer area section panel slot unit module group region zone col column content body text title row strip button buttons icon icons".split()
+)
+SALTS = 16
+
+
+CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in DROPPED}
 
 
 def host_of(url: str | None) -> str:
@@ -79,23 +95,31 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    __slots__ = ("name", "path", "role", "parent", "children", "links", "size")
+    __slots__ = ("name", "tag", "path", "role", "parent", "children", "links", "size")
 
-    def __init__(self, name: str, path: int, role: int, parent: Node | None):
-        self.name, self.path, self.role, self.parent = name, path, role, parent
+    def __init__(self, name: str, path: int, role: int, parent: Node | None, tag: str = ""):
+        self.name, self.tag, self.path, self.role, self.parent = name, tag, path, role, parent
         self.children: list = []  # nodes and texts in page order
         self.links = self.size = 0
 
 
+@lru_cache(maxsize=10_000)
+def names_aside(name: str) -> bool:
+    """Whether a whole class name or id is one of ASIDE_WORDS, with nothing beside it but BESIDE."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+    return any(w in ASIDE_WORDS for w in words) and all(w in ASIDE_WORDS or w in BESIDE for w in words)
+
+
 def declared(tag: str, attrs: dict[str, str]) -> int:
-    """-1: something else than the article; 1: the article; 0: neither."""
-    words = set(re.split(r"[^a-z]+", (attrs.get("class", "") + " " + attrs.get("id", "")).lower()))
-    role = attrs.get("role", "").lower()
-    if tag in ASIDE_TAGS or role in ASIDE_ROLES or words & ASIDE_WORDS or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+    """-1: something else than the article; 1: the article; 0: neither. The names of a page's body or article only style it."""
+    names, role = (attrs.get("class", "") + " " + attrs.get("id", "")).split(), attrs.get("role", "").lower()
+    if tag in ASIDE_TAGS or role in ASIDE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return -1
-    if tag in ("article", "main") or role in ("article", "main") or attrs.get("itemprop", "").lower() == "articlebody" or words & MAIN_WORDS:
+    if tag in ("article", "main") or role in ("article", "main") or attrs.get("itemprop", "").lower() == "articlebody":
         return 1
-    return 0
+    if tag != "body" and any(map(names_aside, names)):
+        return -1
+    return 1 if tag != "body" and any(x.lower() in MAIN_WORDS for x in names) else 0
 
 
 def parse(html: str, host: str) -> Node:
@@ -103,6 +127,14 @@ def parse(html: str, host: str) -> Node:
     root = Node("root", xxhash.xxh3_64_intdigest(host.encode()), 0, None)
     here, buffer, link, at = root, [], 0, 0
 
+    def closed(node, last):
+        """The parent of the node above (or at) this one that is the last to be closed."""
+        while True:
+            opened[node.tag] -= 1
+            if last(node):
+                return node.parent
+            node = node.parent
+
     def flush():
         text = " ".join("".join(buffer).split())
         if text:
@@ -110,16 +142,29 @@ def parse(html: str, host: str) -> Node:
             here.size += len(text)
         buffer.clear()
 
-    for m in TOKEN.finditer(html):
+    opened: Counter = Counter()  # open blocks by tag, so that a stray end costs no walk
+    endless: set[str] = set()  # elements that nothing closes any more
+    place = 0
+    while m := TOKEN.search(html, place):
         if m.start() > at:
             text = entities.unescape(html[at : m.start()])
             buffer.append(text)
             if link:
                 here.links += len(text.strip())
-        at = m.end()
+        at = place = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag in DROPPED:
+            if not m["end"] and tag not in endless and not (tag in ("svg", "math") and m["attrs"].endswith("/")):
+                end = CLOSING[tag].search(html, at)
+                if end:
+                    at = place = end.end()
+                elif tag in RAW:
+                    at = place = len(html)
+                else:
+                    endless.add(tag)
+            continue
         if tag == "br":
             buffer.append(" ")
         elif tag == "a":
@@ -129,31 +174,28 @@ def parse(html: str, host: str) -> Node:
         elif tag in BLOCKS:
             flush()
             if m["end"]:
-                node = here
-                while node is not None and node.name.partition(".")[0] != tag:
-                    node = node.parent
-                if node is not None and node.parent is not None:
-                    here = node.parent
+                if opened[tag]:
+                    here = closed(here, lambda node: node.tag == tag)
                 continue
             kinds = OWN_KIND.get(tag, ())
             node, back = here, None
             while node is not None:
-                name = node.name.partition(".")[0]
-                if name == "p" and tag in CLOSES_P or name in kinds:
+                if node.tag == "p" and tag in CLOSES_P or node.tag in kinds:
                     back = node
-                if name in SCOPES or (name not in ("p", *kinds) and not kinds):
+                if node.tag in SCOPES or (node.tag != "p" and node.tag not in kinds and not kinds):
                     break
                 node = node.parent
             if back is not None:
-                here = back.parent
+                here = closed(here, lambda node: node is back)
             if tag in VOID:
                 continue
             attrs = {k.lower(): (a or b or c).strip() for k, a, b, c in ATTRIBUTE.findall(m["attrs"])} if m["attrs"] else {}
             sort = ".".join([tag, *sorted(set(re.sub(r"\d+", "", attrs.get("class", "")).lower().split())), *re.sub(r"\d+", "", attrs.get("id", "")).split()])
             path = xxhash.xxh3_64_intdigest(sort.encode(), seed=here.path)
-            node = Node(sort, path, declared(tag, attrs), here)
+            node = Node(sort, path, declared(tag, attrs), here, tag)
             here.children.append(node)
             here = node
+            opened[tag] += 1
     if at < len(html):
         buffer.append(entities.unescape(html[at:]))
     flush()
@@ -164,35 +206,51 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def styles(node: Node, out: dict) -> None:
+def below(root: Node) -> Iterator[Node]:
+    """A node and all nodes below it; pages may be nested deeper than calls can be."""
+    left = [root]
+    while left:
+        node = left.pop()
+        yield node
+        left.extend(c for c in node.children if not isinstance(c, str))
+
+
+def styles(root: Node, out: dict) -> None:
     """For each path of the page: its child sequences and its texts."""
-    seen = out.setdefault(node.path, (set(), set()))
-    seen[0].add(xxhash.xxh3_64_intdigest("|".join("#" if isinstance(c, str) else c.name for c in node.children).encode()))
-    for c in node.children:
-        if isinstance(c, str):
-            seen[1].add(xxhash.xxh3_64_intdigest(c.encode()))
-        else:
-            styles(c, out)
+    for node in below(root):
+        seen = out.setdefault(node.path, (set(), set()))
+        seen[0].add(xxhash.xxh3_64_intdigest("|".join("#" if isinstance(c, str) else c.name for c in node.children).encode()))
+        seen[1].update(xxhash.xxh3_64_intdigest(c.encode()) for c in node.children if isinstance(c, str))
 
 
-def blocks(node: Node, importance, main: bool, found: list[str], inside: bool = False, own: bool = True) -> None:
+def blocks(root: Node, importance, main: bool, found: list[str]) -> None:
     """The texts that stay, in page order."""
-    for c in node.children:
-        if isinstance(c, str):
+    left = [(iter(root.children), False, True)]  # what is left of each open node, whether it's inside an article, whether its own texts stay
+    while left:
+        children, inside, own = left[-1]
+        c = next(children, None)
+        if c is None:
+            left.pop()
+        elif isinstance(c, str):
             if own and (inside or not main):
                 found.append(c)
-            continue
-        if c.role < 0:
-            continue
-        within = inside or c.role > 0
-        low = importance(c.path) + LIFT * within < LEAST
-        if not main and (low or (c.size and c.links > LINKS * c.size)):
-            continue
-        blocks(c, importance, main, found, within, not low)
+        elif c.role >= 0:
+            within = inside or c.role > 0
+            low = importance(c.path) + LIFT * within < LEAST
+            if main or not (low or (c.size and c.links > LINKS * c.size)):
+                left.append((iter(c.children), within, not low))
 
 
-def has_main(node: Node) -> bool:
-    return any(not isinstance(c, str) and c.role >= 0 and (c.role > 0 or has_main(c)) for c in node.children)
+def has_main(root: Node) -> bool:
+    """Whether an article lies in no element that is declared to be something else."""
+    left = [root]
+    while left:
+        for c in left.pop().children:
+            if not isinstance(c, str) and c.role >= 0:
+                if c.role > 0:
+                    return True
+                left.append(c)
+    return False
 
 
 def text_of(html: str, host: str, low: dict[int, float]) -> str:
@@ -225,7 +283,7 @@ def node_importance(pages: DataFrame, url: str, html: str) -> tuple[DataFrame, D
                  "shape": pa.array([r[2] for r in rows], pa.int64()), "texts": pa.array([r[3] for r in rows], pa.list_(pa.int64())), "page": pa.array([r[4] for r in rows], pa.int64())}
             )
 
-    nodes = stored(pages.mapInArrow(run, "key bigint, node bigint, shape bigint, texts array<bigint>, page bigint"), "style-nodes")
+    nodes = stored(pages.transform(in_arrow, run, "key bigint, node bigint, shape bigint, texts array<bigint>, page bigint"), "style-nodes")
     n_log_n = lambda n: F.sum(n * F.log(n.cast("double")))
     shapes = nodes.select("node", "shape", "page").distinct().groupBy("node", "shape").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("m"), n_log_n(F.col("n")).alias("s"))
     texts = nodes.select("node", F.explode("texts").alias("t"), "page").distinct().groupBy("node", "t").agg(F.count("*").alias("n"))
@@ -243,7 +301,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     keyed = named.withColumn("key", F.xxhash64("page_id", "url"))
     nodes, importance = node_importance(keyed.select("key", "url", "html"), "url", "html")
     low = importance.where(F.col("importance") < LEAST)
-    lows = stored(nodes.join(low, "node").groupBy("key").agg(F.collect_set(F.struct("node", "importance")).alias("low")), "low-nodes")  # of one page
+    # A template's node is on every page of its host: its pages are dealt to SALTS tasks.
+    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    lows = stored(nodes.join(low, ["node", "salt"]).groupBy("key").agg(F.collect_set(F.struct("node", "importance")).alias("low")), "low-nodes")  # of one page
     # A bitmap of the keys with such nodes (FILTER_BITS bits at most, as 64-bit words) spares all other pages the shuffle.
     place = F.pmod(F.col("key"), F.lit(FILTER_BITS))
     word, bit = F.floor(place / 64).cast("int"), F.pmod(place, F.lit(64)).cast("int")
@@ -265,4 +326,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             )
 
     kind = dict(named.dtypes)["page_id"]
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return joined.transform(in_arrow, run, f"page_id {kind}, url string, text string, n_chars bigint")
