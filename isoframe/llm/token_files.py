@@ -14,7 +14,8 @@ least int64), about FILE_BYTES of text a file. A file is named in the manifest o
 Spark committed, so a lost executor leaves at most an unnamed file. Null and empty texts have the end id alone.
 
 Texts are encoded whole by the tokenizers library. A byte-level BPE never joins across the place between a character
-that isn't white space and white space after it, so pieces cut there are encoded once and kept (KEPT of them).
+that isn't white space and white space after it, so pieces cut there are encoded once and kept, the most used in
+about KEPT_BYTES. A text that holds an added token of the tokenizer (an end mark, say) or rare white space is one piece.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, offsets, shared_dir, small
+from .common import Kept, byte_texts, in_arrow, offsets, shared_dir, small
 
 BLOCK = 256
 FILE_BYTES = 32 << 20
-KEPT = 1_500_000
+KEPT_BYTES = 80 << 20  # of a worker
+RUN = 4000  # pieces that go to the library at once
 END_ID = 2
 MAGIC = b"S8BT0001"
 NO_ID = -(1 << 63)
@@ -154,89 +156,57 @@ class Encoder:
     """Whole texts to ids, through pieces that are kept."""
 
     PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
-    OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-    WORD_STOP = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+    OTHER_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
-    def __init__(self, path: str, kept: int = KEPT):
+    def __init__(self, path: str, kept: int = KEPT_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tokenizer.get_vocab_size()
         self.byte_length = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(size)], dtype=np.int64)
-        self.kept = kept
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.start, self.length = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        # Added tokens are found in whole texts, before any cut.
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = re.compile("|".join([self.OTHER_SPACE, *added]))
+        self.kept = Kept(kept)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, pieces: list[str], found: list[np.ndarray]) -> None:
-        n, new = len(self.place), len(pieces)
-        lengths = np.array([len(x) for x in found], dtype=np.int64)
-        while self.used + lengths.sum() > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + new > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + lengths.sum()] = np.concatenate(found)
-        self.start[n : n + new] = self.used + offsets(lengths)[:-1]
-        self.length[n : n + new] = lengths
-        self.used += int(lengths.sum())
-        self.place.update(zip(pieces, range(n, n + new), strict=True))
-
-    def _encode(self, pieces: list[str], alone: set[str]) -> None:
+    def _learn(self, pieces: list[str], alone: set[str]) -> None:
         """Encode new pieces: those that begin with a blank in one text, which their blanks part; alone has exceptions."""
-        joined = [p for p in pieces if p[0] in " \n" and p[-1] not in " \t\n\r" and "<|" not in p and p not in alone]
-        if joined:
+        able = [p for p in pieces if p[0] in " \n" and p[-1] not in " \t\n\r" and "\0" not in p and p not in alone]
+        for k in range(0, len(able), RUN):
+            joined = able[k : k + RUN]
             ids = np.array(self.whole(["".join(joined)])[0], dtype=np.uint32)
-            ends = np.cumsum([len(p.encode()) for p in joined])
+            ends = np.cumsum(np.fromiter(map(len, "\0".join(joined).encode().split(b"\0")), np.int64, len(joined)))
             at = np.cumsum(self.byte_length[ids])
             cuts = np.searchsorted(at, ends) + 1
             if len(at) and (at[np.minimum(cuts - 1, len(at) - 1)] == ends).all():
-                self._add(joined, np.split(ids, cuts[:-1]))
-        rest = [p for p in pieces if p not in self.place]
-        if rest:
-            self._add(rest, [np.array(x, dtype=np.uint32) for x in self.whole(rest)])
-
-    def _learn(self, pieces: list[str], alone: set[str]) -> None:
-        parts = {}
-        for p in pieces:
-            m = self.WORD_STOP.fullmatch(p)
-            parts[p] = m.groups() if m else (p,)
-        new = {x for two in parts.values() for x in two if x not in self.place}
-        if new:
-            self._encode(sorted(new), alone)
-        both = [p for p, two in parts.items() if len(two) > 1 and p not in self.place]
-        if both:
-            ids = lambda x: self.flat[self.start[k := self.place[x]] : self.start[k] + self.length[k]]
-            self._add(both, [np.concatenate([ids(x) for x in parts[p]]) for p in both])
+                self.kept.add(joined, np.diff(cuts, prepend=0), ids)
+        rest = [p for p in pieces if p not in self.kept.place]
+        for k in range(0, len(rest), RUN):
+            found = [np.array(x, dtype=np.uint32) for x in self.whole(rest[k : k + RUN])]
+            self.kept.add(rest[k : k + RUN], np.array([len(x) for x in found], dtype=np.int64), np.concatenate(found))
 
     def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has; end is put after each text."""
-        if len(self.place) > self.kept:
-            self.clear()
-        alone = {t for t in texts if self.OTHER_SPACE.search(t)}
+        self.kept.trim()
+        alone = {t for t in texts if self.apart.search(t)}
         cut = [[t] if t in alone else self.PIECES.findall(t) for t in texts]
         if end is not None:
             mark = ("end", end)  # a piece that no text has
-            if mark not in self.place:
-                self._add([mark], [np.array([end], dtype=np.uint32)])
+            if mark not in self.kept.place:
+                self.kept.add([mark], np.ones(1, np.int64), np.array([end], dtype=np.uint32))
             for c in cut:
                 c.append(mark)
         first = offsets(np.fromiter(map(len, cut), np.int64, len(cut)))
         flat = list(chain.from_iterable(cut))
-        places = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
+        places = self.kept.places(flat)
         missing = np.flatnonzero(places < 0).tolist()
         if missing:
             self._learn(list(dict.fromkeys(flat[k] for k in missing)), alone)
-            places[missing] = [self.place[flat[k]] for k in missing]
-        lengths = self.length[places]
-        ends = offsets(lengths)
-        ids = self.flat[np.repeat(self.start[places] - ends[:-1], lengths) + np.arange(ends[-1])]
+            places[missing] = [self.kept.place[flat[k]] for k in missing]
+        ids, ends = self.kept.ids(places)
         return ids, np.diff(ends[first])
 
 
@@ -246,6 +216,14 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def arrow_uri(root: str) -> str:
+    """The folder under the name that Arrow's file systems know: s3a is s3, dbfs is a mounted folder."""
+    for theirs, ours in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "file:///dbfs/")):
+        if root.startswith(theirs):
+            return ours + root[len(theirs) :].lstrip("/")
+    return root
+
+
 def write(docs: DataFrame, tokenizer: str, root: str, doc_id: str = "doc_id", text: str = "text", end: int | None = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the files and their manifest below root; returns the manifest (part, file, docs, ids, start)."""
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
@@ -254,9 +232,9 @@ def write(docs: DataFrame, tokenizer: str, root: str, doc_id: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]):
         part = TaskContext.get().partitionId()
-        store, folder = fs.FileSystem.from_uri(root)
+        store, folder = fs.FileSystem.from_uri(arrow_uri(root))
         name, out, n_docs, n_ids = f"part-{part:06d}-{uuid.uuid4().hex}.s8b", None, 0, 0
-        for batch in small(batches, "body"):
+        for batch in small(batches, "body", 1 << 20):
             if out is None:
                 encoder = encoder_of(tokenizer)
                 store.create_dir(folder, recursive=True)
@@ -268,7 +246,7 @@ def write(docs: DataFrame, tokenizer: str, root: str, doc_id: str = "doc_id", te
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [n_docs], "ids": [n_ids]})
 
-    ordered.mapInArrow(run, "part bigint, file string, docs bigint, ids bigint").write.parquet(f"{root}/manifest")
+    ordered.transform(in_arrow, run, "part bigint, file string, docs bigint, ids bigint").write.parquet(f"{root}/manifest")
     listed = docs.sparkSession.read.parquet(f"{root}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return listed.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))  # one row for each file
@@ -278,7 +256,7 @@ def read(manifest: DataFrame, root: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        store, folder = fs.FileSystem.from_uri(root)
+        store, folder = fs.FileSystem.from_uri(arrow_uri(root))
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with store.open_input_stream(f"{folder}/{name}") as file:
@@ -293,7 +271,7 @@ def read(manifest: DataFrame, root: str) -> DataFrame:
                         start += len(ids)
 
     n = max(1, manifest.count())
-    return manifest.repartition(n, "part").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return manifest.repartition(n, "part").transform(in_arrow, run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, **names) -> DataFrame:
