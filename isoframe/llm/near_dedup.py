@@ -19,8 +19,9 @@ The steps, each over classes (documents of one shingle set are one class, so cop
 
 A signature rejects a pair only if its estimate lies MARGIN standard deviations below the threshold. Links inside
 a component that is already joined aren't expanded; no link between different components is left out but with
-the probabilities above. Documents without words are alone. Rows of one doc_id are one document. A row without
-doc_id takes the component of documents with the very same set, else its component is null and kept is false.
+the probabilities above. Documents without words are alone. A document is a row: rows of one doc_id with different
+texts are linked each by its own text, and carry the same name. A row without doc_id takes the component of documents
+with the very same set, else its component is null and kept is false.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_texts, mix64, stored
+from .common import LOWER, byte_texts, in_arrow, mix64, offsets, small, stored
 
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
@@ -46,7 +47,7 @@ SHIFTS = (np.arange(COORDINATES, dtype=np.uint64) * np.uint64(STEP)).astype(np.u
 class WordHashes(dict):
     """64-bit hashes of words, kept while they are fewer than LIMIT."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -88,38 +89,39 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band, of its number and rows."""
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
+def band_keys(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each signature, of its number and rows."""
+    rows = rows.reshape(len(rows), BANDS, ROWS).astype(np.uint64)
     h = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
     for k in range(ROWS):
-        h = mix64(h + rows[:, k])
+        h = mix64(h + rows[:, :, k])
     return h.view(np.int64)
 
 
 FEATURES = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary"
 
 
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit words for each set."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), dtype=np.int64).reshape(-1, 2)
+
+
 def features(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         hashes = WordHashes()
-        for batch in batches:
-            n, d1, d2, bands, sigs = [], [], [], [], []
-            for t in byte_texts(batch.column("body")):
-                s = shingles(t, width, hashes)
-                n.append(len(s))
-                digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
-                d1.append(digest[0])
-                d2.append(digest[1])
-                sig = signature(s) if len(s) else None
-                bands.append(None if sig is None else band_keys(sig))
-                sigs.append(None if sig is None else sig.astype(np.uint8).tobytes())
+        for batch in small(batches, "body"):
+            sets = [shingles(t, width, hashes) for t in byte_texts(batch.column("body"))]
+            n, d = np.array([len(x) for x in sets], dtype=np.int64), digests(sets)
+            signed = [signature(x) for x in sets if len(x)]
+            found = np.stack(signed) if signed else np.zeros((0, COORDINATES), np.uint32)
+            low, some = pa.py_buffer(found.astype(np.uint8).tobytes()), n > 0
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "d1": pa.array(d1, pa.int64()),
-                 "d2": pa.array(d2, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sig": pa.array(sigs, pa.binary())}
+                {"doc_id": batch.column("doc_id"), "n_shingles": pa.array(n), "d1": pa.array(d[:, 0]), "d2": pa.array(d[:, 1]),
+                 "bands": pa.ListArray.from_arrays(pa.array(offsets(some * BANDS), pa.int32()), pa.array(band_keys(found).ravel())),
+                 "sig": pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets(some * COORDINATES).astype(np.int32)), low])}
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("body")).mapInArrow(run, FEATURES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("body")).transform(in_arrow, run, FEATURES)
 
 
 def least_estimate(percent: int) -> int:
@@ -201,37 +203,40 @@ def candidates(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
                 i, j = spanning(len(node), np.concatenate(left), np.concatenate(right))
                 yield pa.RecordBatch.from_pydict({"a": node[i], "b": node[j]})
 
-    return in_blocks(rows, "key", "size").mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+    return in_blocks(rows, "key", "size").transform(in_arrow, run, "a bigint, b bigint").where("a <> b").distinct()
 
 
 FILTER_BITS = 1 << 26
 
 
 def fetched(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, body) of the rows of docs whose id is among ids.
+    """(name, body) of the rows of docs whose id is among ids(name).
 
     A bitmap of the ids' hashes (at most FILTER_BITS bits, 16 MB as a table of 64-bit words, however many ids) drops most
     other rows before the shuffle of the join.
     """
-    place = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    place = F.pmod(F.xxhash64("name"), F.lit(FILTER_BITS))
     word, bit = F.floor(place / 64).cast("int"), F.pmod(place, F.lit(64)).cast("int")
     bits = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("body")).where("node is not null")
-    likely = rows.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1).select("node", "body")
-    return likely.join(ids, "node", "left_semi")
+    rows = docs.select(F.col(doc_id).cast("long").alias("name"), F.col(text).alias("body")).where("name is not null")
+    likely = rows.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1).select("name", "body")
+    return likely.join(ids, "name", "left_semi")
 
 
 def clustered_sets(docs: DataFrame, clusters: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """clusters with the full set of each class, a row for each node."""
+    """clusters(name, d1, d2, node, cluster) with the full set of each class: that of a row of this id and digest."""
 
     def to_sets(batches):
         hashes = WordHashes()
-        for batch in batches:
-            found = [shingles(t, width, hashes).tobytes() for t in byte_texts(batch.column("body"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
+        for batch in small(batches, "body"):
+            sets = [shingles(t, width, hashes) for t in byte_texts(batch.column("body"))]
+            d = digests(sets)
+            yield pa.RecordBatch.from_pydict(
+                {"name": batch.column("name"), "d1": pa.array(d[:, 0]), "d2": pa.array(d[:, 1]), "set": pa.array([x.tobytes() for x in sets], pa.binary())}
+            )
 
-    sets = fetched(docs, clusters.select("node"), doc_id, text).mapInArrow(to_sets, "node bigint, set binary")
-    return stored(sets.dropDuplicates(["node"]).join(clusters, "node"), "cluster-sets")
+    sets = fetched(docs, clusters.select("name").distinct(), doc_id, text).transform(in_arrow, to_sets, "name bigint, d1 bigint, d2 bigint, set binary")
+    return stored(sets.join(clusters, ["name", "d1", "d2"]).dropDuplicates(["node"]).select("node", "cluster", "set"), "cluster-sets")
 
 
 def linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -256,7 +261,7 @@ def with_hub(sets: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("cluster"), pa.array(flag, pa.bool_())], names=["node", "cluster", "near"])
 
     pairs = sets.select("node", "cluster", "set").join(of_hub, "cluster")
-    return stored(pairs.mapInArrow(run, "node bigint, cluster bigint, near boolean"), "hub-links")
+    return stored(pairs.transform(in_arrow, run, "node bigint, cluster bigint, near boolean"), "hub-links")
 
 
 def remaining(sets: DataFrame, near: DataFrame, percent: int) -> DataFrame:
@@ -300,11 +305,15 @@ def remaining(sets: DataFrame, near: DataFrame, percent: int) -> DataFrame:
                         inside[inside == p] = mine
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.transform(in_arrow, run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node with an edge: alternating large and small stars until nothing changes."""
+    """(node, component) of every node with an edge: alternating large and small stars until nothing changes.
+
+    The joins with a node's least neighbour are on a second key as well, so they are dealt anew and Spark may split a hub's
+    rows (it doesn't where it reads an aggregate in place).
+    """
 
     def down(e, x="a", y="b"):
         return e.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where("a > b").distinct()
@@ -312,14 +321,18 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e):
         return e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
 
+    def with_least(e, u, least):
+        deal = lambda d: d.withColumn("dealt", F.pmod(F.xxhash64(u), F.lit(1 << 20)))
+        return deal(e).join(deal(least), [u, "dealt"]).drop("dealt")
+
     now = stored(down(edges), "stars")
     seen = mark(now)
     while seen[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = with_least(both, "u", least).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        joined = with_least(large, "a", low)
         small = joined.select("a", F.col("m").alias("b")).union(joined.select(F.col("b").alias("a"), F.col("m").alias("b")))
         now = stored(down(small), "stars")
         last, seen = seen, mark(now)
@@ -328,84 +341,29 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 
-def contested(members: DataFrame, classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and may be linked, once each."""
-    least = least_estimate(percent)
-    comp = F.coalesce("component", F.col("node"))
-    marked = members.join(parts, "node", "left").select("key", "band", "node", "size", comp.alias("component"))
-    open_keys = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    short = F.transform("bands", lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
-    about = classes.select("node", "n_shingles", "sig", short.alias("bands"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = marked.join(open_keys, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "block", "node", "component"
-    ).join(about, "node")
-    names = ["key", "lo", "hi"]
-
-    def compare(t: pa.Table):
-        group = np.stack([t.column(c).to_numpy() for c in names], 1)
-        cut = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]).any(1))]) if len(group) else np.zeros(0, int)
-        lengths = np.bincount(cut)
-        comp, n, node, band, block = (t.column(c).to_numpy() for c in ("component", "n_shingles", "node", "band", "block"))
-        lo_hi = group[:, 1] != group[:, 2]
-        sig = sigs(t.column("sig").combine_chunks())
-        keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        for d in range(1, int(lengths.max(initial=0))):
-            i = np.flatnonzero(cut[d:] == cut[:-d])
-            j = i + d
-            ok = (comp[i] != comp[j]) & (~lo_hi[i] | (block[i] != block[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-            i, j = i[ok], j[ok]
-            if len(i):
-                ok = (sig[i] == sig[j]).sum(1) >= least
-                i, j = i[ok], j[ok]
-                ok = (keys[i] == keys[j]).argmax(1) == band[i]  # the first bucket they share
-                if ok.any():
-                    yield pa.RecordBatch.from_pydict({"a": np.maximum(node[i[ok]], node[j[ok]]), "b": np.minimum(node[i[ok]], node[j[ok]])})
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        """Whole groups at a time; rows come sorted by group."""
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            last = [held.column(c)[-1].as_py() for c in names]
-            first = [held.column(c)[0].as_py() for c in names]
-            if first == last:
-                continue
-            k = held.num_rows - 1
-            own = np.stack([held.column(c).to_numpy() for c in names], 1)
-            same = (own == np.array(last)).all(1)
-            k = int(len(same) - same[::-1].argmin()) if not same.all() else 0
-            yield from compare(held.slice(0, k))
-            held = held.slice(k)
-        if held is not None:
-            yield from compare(held)
-
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     made = stored(features(docs, width, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "signatures")
     full = made.where("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("d1", "d2", F.col("r.doc_id").alias("node"), F.col("r.row").alias("row"))
-    classes = stored(full.join(reps.select("row", "node"), "row").select("node", "n_shingles", "bands", "sig"), "classes")
+    reps = full.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("d1", "d2", F.col("r.doc_id").alias("name"), F.col("r.row").alias("node"))
+    classes = stored(full.join(reps.select(F.col("node").alias("row"), "node"), "row").select("node", "n_shingles", "bands", "sig"), "classes")
     keyed = classes.select("node", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     edges = stored(candidates(keyed.join(sizes, "key"), classes, percent), "candidates")
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    clusters = stored(components(edges).withColumnRenamed("component", "cluster").join(degree, "node"), "clusters")
+    clusters = components(edges).withColumnRenamed("component", "cluster").join(degree, "node").join(reps, "node")
+    clusters = stored(clusters, "clusters")
     hubs = clusters.groupBy("cluster").agg(F.max(F.struct("degree", "node")).alias("h")).select(F.col("h.node").alias("node"))
-    sets = clustered_sets(docs, clusters.select("node", "cluster"), width, doc_id, text)
+    sets = clustered_sets(docs, clusters.select("name", "d1", "d2", "node", "cluster"), width, doc_id, text)
     near = with_hub(sets, hubs, percent)
     hub_of = clusters.join(hubs, "node", "left_semi").select("cluster", F.col("node").alias("b"))
     star = near.where("near").join(hub_of, "cluster").select(F.col("node").alias("a"), "b")
     parts = components(stored(star.union(remaining(sets, near, percent)), "links"))
-    of_class = reps.join(parts, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    part = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    linked_classes = parts.join(clusters.select("node", "name", "d1", "d2"), "node")
+    least = linked_classes.groupBy("component").agg(F.min("name").alias("least"))
+    of_class = linked_classes.join(least, "component").select("d1", "d2", "least")
+    of_class = reps.join(of_class, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "name").alias("least"))
+    part = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return made.join(of_class, ["d1", "d2"], "left").select(
         "doc_id", "n_shingles", part.alias("component_id"), F.coalesce(F.col("doc_id") == part, F.lit(False)).alias("kept")
     )
