@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, small
+from .common import byte_texts, in_arrow, small
 
 PROFILE = 400
 SAMPLE_PER_LANGUAGE = 20_000
@@ -90,7 +90,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
                 n = np.bincount(where, weights=np.concatenate([n for _, n in found]), minlength=len(codes)).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(codes), pa.string()), "code": codes, "n": n})
 
-    counted = sample.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = sample.transform(in_arrow, count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).collect()
     profiles: dict[str, list[int]] = {k: [] for k in sizes}
@@ -105,10 +105,10 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", pred: str
     schema = docs.select(*names).schema.add(pred, "string").add(score, "double")
 
     def predict(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in small(batches, text):
             found = [profiles.predict(t.decode()) for t in byte_texts(batch.column(text))]
             columns = [batch.column(c) for c in names]
             columns += [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, pred, score])
 
-    return docs.mapInArrow(predict, schema)
+    return docs.transform(in_arrow, predict, schema)
