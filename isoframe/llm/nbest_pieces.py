@@ -12,21 +12,26 @@ No piece of the vocabulary spans certain places (before white space, and between
 tested on the vocabulary when it's loaded). Texts are cut there: a path through a text's lattice is a path
 through each part. The N best of a text are the N least sums of what is lost in each part, and only the N - 1 parts
 with the smallest first loss can differ from their best in any of them. The best of a part and that loss come from a
-forward and a backward pass, kept for KEPT parts; the search gives the other segmentations, scores and ids, of the
-parts that can differ. The segmentations of a text are put together from these, and each is decoded.
+forward and a backward pass, kept for the parts used most (about KEPT_BYTES); the search gives the other segmentations,
+scores and ids, of the parts that can differ. The segmentations of a text are put together from these, and each is
+decoded. A part without a cut, however long, takes a few numbers a character and no lists of edges.
 
 Texts are read whole, one pass without a shuffle. Null and empty texts have no pieces, one segmentation and score 0.
-Decoding joins the pieces, turns byte pieces to bytes and marks to blanks, and drops the first blank.
+Decoding joins the pieces, turns byte pieces to bytes and marks to blanks, and drops the first blank; a mark that stands
+in the text itself is written as byte pieces, so every text decodes to itself.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
+from array import array
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import nsmallest
 from itertools import chain
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -34,20 +39,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, offsets, small, with_fields
+from .common import Kept, byte_texts, in_arrow, offsets, small, with_fields
 
 N_BEST = 4
-KEPT = 600_000
+KEPT_BYTES = 80 << 20  # of a worker
 MARK = "▁"
+RAW = "\udc81"  # stands for a mark in the text itself; no valid text has it
 LETTER = r"(?![\xb2\xb3\xb9])[^\W\d_]"
 FINE = re.compile(rf"{MARK}*(?:{LETTER})+|{MARK}*(?:(?!{LETTER})[^{MARK}\n])+|\n|{MARK}+")
+QUEUED = itemgetter(0, 1)
 COARSE = re.compile(rf"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 
 
 class Pieces:
     """The vocabulary of a SentencePiece model file as a scored lattice."""
 
-    def __init__(self, path: str, n_best: int = N_BEST, kept: int = KEPT):
+    def __init__(self, path: str, n_best: int = N_BEST, kept: int = KEPT_BYTES):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -59,53 +66,71 @@ class Pieces:
         self.byte_score = -float(np.log(len(order) + 2) + total)
         self.id_of = {model.id_to_piece(k): k for k in plain}
         self.byte_id = {int(model.id_to_piece(k)[3:5], 16): k for k in range(size) if model.is_byte(k)}
-        self.bytes_of = {k: model.id_to_piece(k).encode() for k in plain} | {k: bytes((b,)) for b, k in self.byte_id.items()}
+        self.bytes_of = {k: model.id_to_piece(k).replace(MARK, " ").encode() for k in plain} | {k: bytes((b,)) for b, k in self.byte_id.items()}
         self.longest = max(map(len, self.score), default=1)
-        self.matcher = ahocorasick.Automaton()
-        for piece, score in self.score.items():
-            self.matcher.add_word(piece, (len(piece), score, (self.id_of[piece],)))
-        self.matcher.make_automaton()
+        # (length, score, ids) of each piece, found by its end in a text and by its start in a text read backwards.
+        self.edge = {p: (len(p), s, (self.id_of[p],)) for p, s in self.score.items()}
+        self.forward, self.backward = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for piece, edge in self.edge.items():
+            self.forward.add_word(piece, edge)
+            self.backward.add_word(piece[::-1], edge)
+        self.forward.make_automaton()
+        self.backward.make_automaton()
         self.single = frozenset(p for p in self.score if len(p) == 1)
         letter = re.compile(LETTER)
         bare = [p.lstrip(MARK) for p in self.score]
         apart = all(len({bool(letter.match(c)) for c in p}) < 2 for p in bare)
         self.cut = FINE if apart else COARSE
         self.independent = not any(MARK in p or "\n" in p[1:] or (p[:1] == "\n" and len(p) > 1) for p in bare)
-        self.n_best, self.kept = n_best, kept
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[tuple[int, ...]] = []
-        self.best: list[float] = []
-        self.loss: list[float] = []  # of the second best; infinite if there is none
-        self.found: dict[str, list[tuple[float, tuple[int, ...]]]] = {}  # the others of the n best, for parts that needed them
-
-    def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place the edges that end there: (start, score, ids)."""
-        n, score, ids, ending = len(text), self.score, self.id_of, [[] for _ in range(len(text) + 1)]
-        for i in range(n):
-            alone = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                s = score.get(text[i:j])
-                if s is not None:
-                    ending[j].append((i, s, (ids[text[i:j]],)))
-                    alone = alone or j == i + 1
-            if not alone:
-                raw = text[i].encode("utf-8", "surrogatepass")
-                ending[i + 1].append((i, self.byte_score * len(raw), tuple(self.byte_id[b] for b in raw)))
-        return ending
+        self.n_best = n_best
+        self.kept = Kept(kept, 3)  # ids of the best segmentation; its score, the loss of the second best, whether it decodes
+        self.others_of: dict[str, list[tuple[float, np.ndarray, bool]]] = {}  # the others of the n best, for parts that needed them
+
+    def bytes_edge(self, c: str) -> tuple[int, float, tuple[int, ...]]:
+        """The edge of a character that isn't a piece."""
+        edge = self.edge.get(RAW + c)  # kept under a name that no text has
+        if edge is None:
+            raw = raw_bytes(c)
+            self.edge[RAW + c] = edge = (1, self.byte_score * len(raw), tuple(self.byte_id[b] for b in raw))
+        return edge
+
+    def matches(self, text: str, alone: list[int], automaton) -> Iterator[tuple[int, tuple]]:
+        """(end, edge) of each edge of a text (or a text read backwards), by rising ends; alone: places of bytes edges."""
+        at = 0
+        for end, edge in automaton.iter(text):
+            while at < len(alone) and alone[at] <= end:
+                yield alone[at], self.bytes_edge(text[alone[at]])
+                at += 1
+            yield end, edge
+        for k in alone[at:]:
+            yield k, self.bytes_edge(text[k])
+
+    def ahead(self, text: str) -> tuple[list[float], list]:
+        """The best score from the start to each place, and the last edge of that path."""
+        n, least = len(text), float("-inf")
+        best, last = numbers(n + 1, least), [None] * (n + 1)
+        best[0] = 0.0
+        single = self.single
+        if single.issuperset(text):
+            edges = self.forward.iter(text)
+        else:
+            edges = self.matches(text, [k for k, c in enumerate(text) if c not in single], self.forward)
+        for end, edge in edges:
+            t = best[end + 1 - edge[0]] + edge[1]
+            if t > best[end + 1]:
+                best[end + 1] = t
+                last[end + 1] = edge
+        return best, last
 
     def search(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of a text, best first, as (score, ids)."""
-        ending = self.edges(text)
-        ahead = [0.0] * (len(text) + 1)  # the best score from the start to each place
-        for j in range(1, len(text) + 1):
-            ahead[j] = max(ahead[i] + s for i, s, _ in ending[j])
-        found, tick = [], 0
+        """The n best segmentations of a text, best first, as (score, ids): A* from the end, with the forward scores as
+        exact heuristics. The hypotheses stand for disjoint sets of segmentations and each promises one of its score, so
+        only as many as are still wanted need be queued."""
+        ahead, _ = self.ahead(text)
+        found, tick, single, edge_of = [], 0, self.single, self.edge
         queue = [(-ahead[-1], 0, len(text), 0.0, None)]
         while queue and len(found) < n:
-            f, _, at, behind, path = heapq.heappop(queue)
+            f, _, at, behind, path = queue.pop(0)
             if at == 0:
                 ids: list[int] = []
                 while path is not None:
@@ -113,132 +138,174 @@ class Pieces:
                     path = path[1]
                 found.append((-f, tuple(ids)))
                 continue
-            for i, s, own in ending[at]:
+            for i in range(max(0, at - self.longest), at):
+                edge = edge_of.get(text[i:at])
+                if edge is None:
+                    if i < at - 1 or text[i] in single:
+                        continue
+                    edge = self.bytes_edge(text[i])
                 tick += 1
-                heapq.heappush(queue, (-(ahead[i] + s + behind), tick, i, s + behind, (own, path)))
+                behind_it = edge[1] + behind
+                insort(queue, (-(ahead[i] + behind_it), tick, i, behind_it, (edge[2], path)), key=QUEUED)
+            del queue[n - len(found) :]
         return found
 
-    def _learn(self, part: str) -> int:
-        """The best segmentation, by a forward pass, and what the second best loses, by a backward pass: a path other
-        than the best has an edge off it, and the best path over an edge is the sum of both passes."""
-        n, least = len(part), float("-inf")
-        ahead, come = [0.0] + [least] * n, [None] * (n + 1)
-        edges = [(end + 1 - size, end + 1, s, own) for end, (size, s, own) in self.matcher.iter(part)]  # by their ends
-        if not self.single.issuperset(part):
-            for i, c in enumerate(part):
-                if c not in self.single:
-                    raw = c.encode("utf-8", "surrogatepass")
-                    edges.append((i, i + 1, self.byte_score * len(raw), tuple(self.byte_id[b] for b in raw)))
-            edges.sort(key=lambda e: e[1])
-        for i, j, s, own in edges:
-            t = ahead[i] + s
-            if t > ahead[j]:
-                ahead[j] = t
-                come[j] = (i, own)
-        path, on, at = [], [-1] * n, n
+    def _best(self, part: str) -> tuple[list[int], float, float]:
+        """Ids and score of the best segmentation, by a forward pass, and what the second best loses, by a backward pass:
+        a path other than the best has an edge off it, and the best path over an edge is the sum of both passes."""
+        n, least, single = len(part), float("-inf"), self.single
+        ahead, last = self.ahead(part)
+        path, on, at = [], bytearray(n + 1), n  # on: the length of the path's edge from each place
         while at:
-            i, own = come[at]
-            path.append(own)
-            on[i] = at
-            at = i
-        behind, second = [least] * n + [0.0], least
-        for i, j, s, _ in reversed(edges):
-            t = s + behind[j]
+            edge = last[at]
+            path.append(edge[2])
+            at -= edge[0]
+            on[at] = edge[0]
+        behind, second = numbers(n + 1, least), least
+        behind[n] = 0.0
+        if single.issuperset(part):
+            edges = self.backward.iter(part[::-1])
+        else:
+            turned = part[::-1]
+            edges = self.matches(turned, [k for k, c in enumerate(turned) if c not in single], self.backward)
+        for end, edge in edges:
+            i = n - 1 - end
+            t = edge[1] + behind[i + edge[0]]
             if t > behind[i]:
                 behind[i] = t
-            if on[i] != j and ahead[i] + t > second:
+            if on[i] != edge[0] and ahead[i] + t > second:
                 second = ahead[i] + t
-        self.ids.append(tuple(x for own in reversed(path) for x in own))
-        self.best.append(ahead[n])
-        self.loss.append(ahead[n] - second)
-        self.known[part] = k = len(self.ids) - 1
-        return k
-
-    def others(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
-        """What the second best to the n-th best segmentation of a part lose, and their ids, by the search."""
-        if part not in self.found:
-            found, best = self.search(part, self.n_best), self.ids[self.known[part]]
-            self.found[part] = [(found[0][0] - s, ids) for s, ids in found if ids != best][: self.n_best - 1]
-        return self.found[part]
+        return list(chain.from_iterable(reversed(path))), ahead[n], ahead[n] - second
+
+    def learn(self, parts: list[str]) -> None:
+        found = [self._best(p) for p in parts]
+        ids = list(chain.from_iterable(x for x, _, _ in found))
+        values = [(s, loss, self.spelled(x) == written(p)) for p, (x, s, loss) in zip(parts, found, strict=True)]
+        self.kept.add(parts, np.array([len(x) for x, _, _ in found], dtype=np.int64), np.array(ids, dtype=np.uint32), values)
+
+    def others(self, part: str) -> list[tuple[float, np.ndarray, bool]]:
+        """What the second best to the n-th best segmentation of a part lose, their ids, and whether they decode, by the search."""
+        if part not in self.others_of:
+            k = self.kept.place[part]
+            best = tuple(self.kept.flat[self.kept.start[k] : self.kept.start[k] + self.kept.length[k]].tolist())
+            found, want = self.search(part, self.n_best), written(part)
+            rest = [(found[0][0] - s, np.array(ids, dtype=np.uint32), self.spelled(ids) == want) for s, ids in found if ids != best]
+            self.others_of[part] = rest[: self.n_best - 1]
+        return self.others_of[part]
 
     def normal(self, text: str) -> str:
-        return MARK + text.replace(" ", MARK) if text else ""
+        return MARK + text.replace(MARK, RAW).replace(" ", MARK) if text else ""
 
     def parts(self, text: str) -> list[str]:
         body = self.normal(text)
         return self.cut.findall(body) if self.independent else [body] * bool(body)
 
+    def encode_all(self, texts: list[str]) -> list[tuple[list[float], list[list[np.ndarray]], bool]]:
+        """For each text the scores of its n best segmentations, their ids (as arrays to be joined), and whether each decodes
+        to the text (each part's segmentation is decoded; decoding a text joins those of its parts)."""
+        if self.kept.bytes > self.kept.limit:
+            self.kept.trim()
+            self.others_of.clear()
+        cut = [self.parts(t) for t in texts]
+        first = offsets(np.fromiter(map(len, cut), np.int64, len(cut))).tolist()
+        flat = list(chain.from_iterable(cut))
+        places = self.kept.places(flat)
+        missing = np.flatnonzero(places < 0).tolist()
+        if missing:
+            self.learn(list(dict.fromkeys(flat[k] for k in missing)))
+            places[missing] = [self.kept.place[flat[k]] for k in missing]
+        ids, ends = self.kept.ids(places)
+        best, loss, decodes = self.kept.values[places].T
+        want, out = self.n_best - 1, []
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            own, least = ids[ends[a] : ends[b]], loss[a:b]
+            near = np.arange(b - a)
+            if b - a > want > 0:
+                near = np.flatnonzero(least <= np.partition(least, want - 1)[want - 1])
+            near = near[np.argsort(least[near], kind="stable")][:want].tolist()
+            sums: list[tuple[float, tuple]] = [(0.0, ())]  # with the parts that aren't their best: (place, number of the other)
+            for k in near:
+                if len(sums) > want and least[k] >= sums[-1][0]:
+                    break
+                more = [(x + y[0], (*at, (k, j))) for x, at in sums for j, y in enumerate(self.others(flat[a + k]))]
+                sums = nsmallest(want + 1, sums + more)
+            each, ok = [[own]], bool(decodes[a:b].all())
+            for _, at in sums[1:]:
+                pieces, last = [], ends[a]
+                for k, j in sorted(at):
+                    _, other, right = self.others_of[flat[a + k]][j]
+                    pieces += [ids[last : ends[a + k]], other]
+                    last, ok = ends[a + k + 1], ok and right
+                each.append([*pieces, ids[last : ends[b]]])
+            score = float(best[a:b].sum())
+            out.append(([score - x for x, _ in sums], each, ok))
+        return out
+
     def encode(self, text: str) -> tuple[np.ndarray, list[float], list[np.ndarray]]:
         """Ids of the best segmentation, and the scores and ids of the n best."""
-        if len(self.known) > self.kept:
-            self.clear()
-        known, parts = self.known.get, self.parts(text)
-        places = [k if (k := known(p)) is not None else self._learn(p) for p in parts]
-        score = sum(map(self.best.__getitem__, places))
-        own = list(map(self.ids.__getitem__, places))
-        ids = np.array(list(chain.from_iterable(own)), dtype=np.int32)
-        want = self.n_best - 1
-        sums: list[tuple[float, tuple]] = [(0.0, ())]  # with the parts that aren't their best: (place, number of the other)
-        for _, k in heapq.nsmallest(want, zip(map(self.loss.__getitem__, places), range(len(parts)))):  # noqa: B905
-            others = self.others(parts[k])
-            more = ((a + b, (*at, (k, j))) for a, at in sums for j, (b, _) in enumerate(others))
-            sums = heapq.nsmallest(want + 1, chain(sums, more))
-        changed = sorted({k for _, at in sums for k, _ in at})
-        starts, start, last = {}, 0, 0
-        for k in changed:
-            start += sum(map(len, own[last:k]))
-            starts[k], last = start, k
-        all_ids = []
-        for _, at in sums:
-            pieces, last = [], 0
-            for k, j in sorted(at):
-                pieces += [ids[last : starts[k]], np.array(self.found[parts[k]][j][1], dtype=np.int32)]
-                last = starts[k] + len(own[k])
-            all_ids.append(np.concatenate([*pieces, ids[last:]]) if pieces else ids)
-        return ids, [score - x for x, _ in sums], all_ids
+        scores, each, _ = self.encode_all([text])[0]
+        ids = [np.concatenate(x) for x in each]
+        return ids[0], scores, ids
+
+    def spelled(self, ids) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
+        return self.spelled(ids).decode("utf-8", "replace")[1:]
+
+
+def numbers(n: int, value: float):
+    """n numbers; compact ones for a long text."""
+    return [value] * n if n < 10_000 else array("d", [value]) * n
+
+
+def raw_bytes(c: str) -> bytes:
+    return (MARK if c == RAW else c).encode("utf-8", "surrogatepass")
+
+
+def written(part: str) -> bytes:
+    """The bytes that a part of a normal text stands for."""
+    return part.replace(MARK, " ").replace(RAW, MARK).encode("utf-8", "surrogatepass")
 
 
 @lru_cache(maxsize=1)
-def pieces_of(path: str, n_best: int) -> Pieces:
+def pieces_of(path: str, n_best: int, kept: int) -> Pieces:
     """One for each Python worker, over all its tasks."""
-    return Pieces(path, n_best)
+    return Pieces(path, n_best, kept)
 
 
-def lists(ids: list[np.ndarray]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets([len(x) for x in ids]), pa.int32()), pa.array(np.concatenate(ids)))
+def lists(lengths: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets(lengths), pa.int32()), values)
 
 
-def encode(docs: DataFrame, model: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", n_best: int = N_BEST, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", n_best: int = N_BEST, with_ids: bool = True, kept: int = KEPT_BYTES) -> DataFrame:
     """For each row of docs: keys, n_pieces, score, n_best_scores (best first), ids_crc32, decodes (decoding each of the
     n best gives the text again) and, if with_ids, piece_ids and n_best_ids (those of the best, and of all as in
-    n_best_scores)."""
+    n_best_scores). kept: bytes of parts that a worker keeps; more saves time and changes no row."""
     picked = docs.select(*[F.col(c).alias(f"key_{k}") for k, c in enumerate(keys)], F.col(text).alias("body"))
-    ddl = "n_pieces bigint, score double, n_best_scores array<double>, ids_crc32 bigint, decodes boolean" + ", piece_ids array<int>, n_best_ids array<array<int>>" * with_ids
+    ddl = "n_pieces bigint, score double, n_best_scores array<double>, ids_crc32 bigint, decodes boolean" + ", n_best_ids array<array<int>>" * with_ids
     schema = with_fields(picked.drop("body").schema, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        pieces = pieces_of(model, n_best)
-        for batch in small(batches, "body"):
-            found = []
-            for t in byte_texts(batch.column("body")):
-                text = t.decode()
-                _, scores, ids = pieces.encode(text)
-                want = text.replace(MARK, " ")
-                found.append((ids, scores, all(pieces.decode(x.tolist()) == want for x in ids)))
-            ids = [x[0] for x, _, _ in found]
+        pieces = pieces_of(model, n_best, kept)
+        for batch in small(batches, "body", 1 << 20):
+            found = pieces.encode_all([t.decode() for t in byte_texts(batch.column("body"))])
+            own = [np.concatenate(ids[0]).astype("<u4") for _, ids, _ in found]
             columns = [batch.column(f"key_{k}") for k in range(len(keys))] + [
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([s[0] for _, s, _ in found], pa.float64()),
-                pa.array([s for _, s, _ in found], pa.list_(pa.float64())),
-                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+                pa.array([len(x) for x in own], pa.int64()),
+                pa.array([s[0] for s, _, _ in found], pa.float64()),
+                pa.array([s for s, _, _ in found], pa.list_(pa.float64())),
+                pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
                 pa.array([ok for _, _, ok in found], pa.bool_()),
             ]
             if with_ids:
-                each = [x for of_text, _, _ in found for x in of_text]
-                columns += [lists(ids), pa.ListArray.from_arrays(pa.array(offsets([len(x) for x, _, _ in found]), pa.int32()), lists(each))]
+                lengths = [sum(map(len, x)) for _, ids, _ in found for x in ids]
+                values = np.concatenate([x for _, ids, _ in found for each in ids for x in each]).astype(np.int32)
+                columns.append(lists([len(ids) for _, ids, _ in found], lists(lengths, pa.array(values))))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return picked.mapInArrow(run, schema).select(*[F.col(f"key_{k}").alias(c) for k, c in enumerate(keys)], *schema.names[len(keys) :])
+    rows = picked.transform(in_arrow, run, schema)
+    names = schema.names[len(keys) :]
+    if with_ids:
+        rows, names = rows.withColumn("piece_ids", F.col("n_best_ids")[0]), [*names[:-1], "piece_ids", names[-1]]
+    return rows.select(*[F.col(f"key_{k}").alias(c) for k, c in enumerate(keys)], *names)

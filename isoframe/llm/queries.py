@@ -33,7 +33,7 @@ def op4_pu_quality(spark, sf_dir):
 
 
 def op5_nbest_pieces(spark, sf_dir):
-    return nbest_pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return nbest_pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), kept=160 << 20)
 
 
 def op6_minhash(spark, sf_dir):

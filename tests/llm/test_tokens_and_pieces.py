@@ -24,6 +24,22 @@ def test_pieces_encode_as_whole_texts(encoder):
         assert [c.tolist() for c in cuts] == encoder.whole(TEXTS)
 
 
+def test_ids_are_those_of_the_plain_library(encoder):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    few = token_files.Encoder(tokenizer_file("byte_bpe_50k.json"), kept=3000)
+    rng = np.random.default_rng(3)
+    bits = ["<|endoftext|>", " ", "  ", "\n", "a", "word", ",", "<|", "é", "\t", "12", "'s", "\0", "　"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(400)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert any(50256 in x for x in want)
+    for made in (encoder, few):
+        for k in range(0, 400, 50):
+            ids, sizes = made.encode(texts[k : k + 50], None)
+            assert [c.tolist() for c in np.split(ids, np.cumsum(sizes)[:-1])] == want[k : k + 50]
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 255, 256, 257, 3000])
 def test_simple8b_round_trip(n):
     rng = np.random.default_rng(n)
@@ -54,13 +70,15 @@ def pieces():
 
 def all_scores(pieces, text):
     body, out = pieces.normal(text), []
-    edges = pieces.edges(body)
 
     def back(j, score):
         if j == 0:
             out.append(score)
-        for i, s, _ in edges[j]:
-            back(i, score + s)
+        for i in range(j):
+            if body[i:j] in pieces.score:
+                back(i, score + pieces.score[body[i:j]])
+            elif i == j - 1:
+                back(i, score + pieces.byte_score * len(nbest_pieces.raw_bytes(body[i])))
 
     back(len(body), 0.0)
     return sorted(out, reverse=True)
@@ -88,9 +106,32 @@ def test_query_returns_all_segmentations(odd_docs):
     assert max(len(r.n_best_ids) for r in got) == nbest_pieces.N_BEST
 
 
+def test_a_long_part_without_a_cut(pieces):
+    text = "".join(chr(97 + (k * k * 7 + k // 13) % 26) for k in range(60_000)) + "日本" * 3000
+    best, scores, ids = pieces.encode(text)
+    assert all(pieces.decode(x.tolist()) == text for x in ids) and len({tuple(x.tolist()) for x in ids}) == 4
+    assert scores == sorted(scores, reverse=True)
+
+
+def test_what_is_kept_has_a_bound_and_changes_nothing(pieces):
+    few = nbest_pieces.Pieces(tokenizer_file("piece_bpe_32k.model"), kept=2000)
+    for t in [*TEXTS, " ".join(f"w{k}" for k in range(300)), *TEXTS]:
+        assert [x.tolist() for x in few.encode(t)[2]] == [x.tolist() for x in pieces.encode(t)[2]]
+        assert np.allclose(few.encode(t)[1], pieces.encode(t)[1])
+
+
+def test_rows_match_the_search_over_whole_texts(spark, pieces):
+    texts = ["the cat sat", "a b.", "one\ntwo ün 12", "", "x ▁ y", "Der Hund, die Katze!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in nbest_pieces.encode(docs, tokenizer_file("piece_bpe_32k.model")).collect():
+        want = pieces.search(pieces.normal(texts[r.doc_id]), 4)
+        assert np.allclose(r.n_best_scores, [s for s, _ in want])
+        assert r.ids_crc32 == zlib.crc32(np.array(r.piece_ids, dtype="<u4").tobytes()) and r.decodes
+
+
 def test_decoding(pieces):
     assert pieces.independent
-    for t in TEXTS:
+    for t in [*TEXTS, "a ▁▁ b▁"]:
         assert pieces.decode(pieces.encode(t)[0].tolist()) == t
 
 
