@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoframe.llm import decontaminate, language_id, nbest_pieces, near_dedup, quality_rules
-from isoframe.llm.common import crc_fold, shared_dir, table
+from isoframe.llm.common import crc_fold, shared_dir, stored, table
 from isoframe.llm.queries import tokenizer_file
 
 #: Near-duplicates: five-word shingles, a similarity of 0.8 or more.
@@ -36,15 +36,25 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document is a row, by a 64-bit key of all its columns: rows that share an id and have unrelated texts are
     documents apart. Of equal ids in a group the row of the smallest key stays, of equal rows one.
+
+    Keys alone say which rows go. A bitmap of the keys that go or occur twice (near_dedup.FILTER_BITS bits) lets all other
+    rows pass without a shuffle.
     """
-    key, kept = free_names(docs, "row_key", "kept_key")
+    key, fate, word = free_names(docs, "row_key", "row_fate", "row_word")
     keyed = docs.where("doc_id is not null").withColumn(key, F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in docs.columns]))
-    groups = near_dedup.near_duplicates(keyed, width=SHINGLE_WORDS, percent=SIMILARITY, doc_id=key)
-    parts = groups.select(F.col("doc_id").alias(kept), "component_id").distinct()
-    rows = keyed.select("doc_id", key).distinct().join(parts, F.col(key) == F.col(kept))
-    keep = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("least")).select(F.col(f"least.{key}").alias(kept))
-    once = keyed.join(keep, F.col(key) == F.col(kept), "left_semi").dropDuplicates([key])
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    groups = near_dedup.near_duplicates(keyed, width=SHINGLE_WORDS, percent=SIMILARITY, doc_id=key).select(F.col("doc_id").alias(key), "component_id")
+    parts = groups.groupBy(key).agg(F.first("component_id").alias("component_id"), F.count("*").alias("copies"))  # equal rows, one component
+    rows = stored(keyed.select("doc_id", key).distinct().join(parts, key), "row-keys")
+    least = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("least")).select(F.col(f"least.{key}").alias(key))
+    fates = rows.join(least.withColumn(fate, F.lit("stays")), key, "left").where((F.col("copies") > 1) | F.col(fate).isNull())
+    fates = stored(fates.select(key, F.coalesce(fate, F.lit("goes")).alias(fate)), "row-fates")
+    place = F.pmod(F.xxhash64(key), F.lit(near_dedup.FILTER_BITS))
+    number, bit = F.floor(place / 64).cast("int"), F.pmod(place, F.lit(64)).cast("int")
+    bits = fates.groupBy(number.alias(word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias(fate))
+    marked = keyed.withColumn(word, number).join(F.broadcast(bits), word, "left")
+    doubtful = F.coalesce(F.getbit(fate, bit) == 1, F.lit(False))
+    asked = marked.where(doubtful).drop(fate).join(fates, key, "left").where(f"{fate} is null or {fate} = 'stays'")
+    return marked.where(~doubtful).select(*docs.columns).unionByName(asked.dropDuplicates([key]).select(*docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
