@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import struct
 from dataclasses import dataclass
 
@@ -69,29 +71,67 @@ def apply_gain_metadata(linear: np.ndarray, gain: np.ndarray, meta: GainMetadata
     return out
 
 
-def depth_info(subtypes: bytes) -> dict | None:
-    """Depth representation information (SEI 177) in the tail of an auxC property."""
+def sized(data: bytes) -> list[bytes] | None:
+    """Parts that each follow their 4-byte length; None if one runs over the end."""
+    parts, at = [], 0
+    while at + 4 <= len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + n > len(data):
+            return None
+        parts.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return parts if at == len(data) else None
+
+
+def sei_messages(body: bytes) -> Iterator[tuple[int, bytes]]:
+    """(type, payload) of the messages of an SEI unit; type and size are runs of 255 and a last byte."""
     at = 0
-    while at + 4 <= len(subtypes):
-        n = int.from_bytes(subtypes[at : at + 4], "big")
-        nal, at = subtypes[at + 4 : at + 4 + n], at + 4 + n
-        body = unescape(nal[2:])
-        if len(body) < 2 or body[0] != 177:
-            continue
-        r = Bits(body[2:])
-        flags = [r.u(1) for _ in range(4)]
-        out: dict = {"kind": r.ue(), "z_near": None, "z_far": None, "d_min": None, "d_max": None, "reference_view": None, "nonlinear": None}
-        if flags[2] or flags[3]:
-            out["reference_view"] = r.ue()
-        for name, present in zip(("z_near", "z_far", "d_min", "d_max"), flags, strict=True):
-            if present:
-                out[name] = depth_element(r)
-        if out["kind"] == 3:
-            out["nonlinear"] = [r.ue() for _ in range(r.ue() + 1)]
-        return out
+
+    def number() -> int:
+        nonlocal at
+        total = 0
+        while at < len(body):
+            at += 1
+            total += body[at - 1]
+            if body[at - 1] != 255:
+                return total
+        return -1
+
+    while at < len(body):
+        kind, size = number(), number()
+        if kind < 0 or size < 0 or at + size > len(body):
+            return
+        yield kind, body[at : at + size]
+        at += size
+
+
+def depth_info(subtypes: bytes) -> dict | None:
+    """Depth representation information (SEI 177) in the tail of an auxC property: groups of NAL units, each with its length;
+    the first message of that type in a prefix or suffix SEI unit counts."""
+    groups = sized(subtypes)
+    for group in groups or ():
+        for nal in sized(group) or ():
+            if len(nal) > 2 and nal[0] >> 1 in (39, 40):
+                for kind, payload in sei_messages(unescape(nal[2:])):
+                    if kind == 177:
+                        return depth_fields(payload)
     return None
 
 
+def depth_fields(payload: bytes) -> dict:
+    r = Bits(payload)
+    flags = [r.u(1) for _ in range(4)]
+    out: dict = {"kind": r.ue(), "z_near": None, "z_far": None, "d_min": None, "d_max": None, "reference_view": None, "nonlinear": None}
+    if flags[2] or flags[3]:
+        out["reference_view"] = r.ue()
+    for name, present in zip(("z_near", "z_far", "d_min", "d_max"), flags, strict=True):
+        if present:
+            out[name] = depth_element(r)
+    if out["kind"] == 3:
+        out["nonlinear"] = [r.ue() for _ in range(r.ue() + 1)]
+    return out
+
+
 def depth_element(r: Bits) -> float | None:
     """A float of sign, 7-bit exponent and a mantissa of its own length."""
     sign, exponent, size = r.u(1), r.u(7), r.u(5) + 1

@@ -53,7 +53,7 @@ def transfer_curve(code: int):
     """A function from coded values to light, for SDR transfers; None for others."""
     bt709 = lambda x: np.where(x < 0.081, x / 4.5, ((x + 0.099) / 1.099) ** (1 / 0.45))
     srgb = lambda x: np.where(x <= 0.04045, x / 12.92, ((x + 0.055) / 1.055) ** 2.4)
-    curves = {4: lambda x: x**2.2, 5: lambda x: x**2.8, 8: lambda x: x, 13: srgb, 2: srgb}
+    curves = {4: lambda x: x**2.2, 5: lambda x: x**2.8, 8: lambda x: x, 13: srgb, 2: srgb, 0: srgb}
     return bt709 if code in (1, 6, 14, 15) else curves.get(code)
 
 

@@ -87,11 +87,6 @@ def sample_runs(spark, sf_dir):
     return seq.sample_runs(rows, ["user_id"], "n", "d").select("user_id", F.col("run").cast("long").alias("run"), "count", "d")
 
 
-@query(f"WITH {EV} SELECT user_id, sum(duration)::DOUBLE / 25 AS seconds FROM e GROUP BY user_id")
-def track_duration(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id").agg((F.sum("duration").cast("double") / 25).alias("seconds"))
-
-
 @query(f"WITH {PIXELS} SELECT vec_id, y AS x, 7 - x AS y, v FROM p")
 def rotate_left(spark, sf_dir):
     return _xyv(px.rotate(pictures(spark, sf_dir), 1, 8, 8))
@@ -154,11 +149,6 @@ def plane_checksum(spark, sf_dir):
     return px.plane_checksum(pictures(spark, sf_dir), "vec_id")
 
 
-@query("SELECT doc_id, md5(text) AS md5 FROM documents")
-def plane_md5(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"))
-
-
 @query(f"""WITH {PIXELS}, h AS (SELECT vec_id, x // 4 AS bx, y // 4 AS yy, u, w, abs(sum(CASE WHEN (bit_count((x % 4)::INT & u::INT) + bit_count((y % 4)::INT & w::INT)) % 2 = 0 THEN v ELSE -v END)) AS h
 FROM p, range(4) a(u), range(4) b(w) GROUP BY ALL), s AS (SELECT vec_id, bx, yy, sum(h) // 2 AS s FROM h GROUP BY ALL)
 SELECT vec_id, sum(s)::BIGINT AS satd FROM s GROUP BY vec_id""")
@@ -251,16 +241,6 @@ def run_expansion(spark, sf_dir):
     return rows.select("o_custkey", "o_orderkey", "k", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("off"))
 
 
-@query("""SELECT page_id, CASE WHEN strlen(url) < 8 THEN 'MayBe' WHEN substr(url, 5, 3) <> '://' AND substr(url, 6, 3) <> '://' THEN 'No' WHEN url LIKE '%.net/%' THEN 'Supported' WHEN url LIKE '%.org/%' THEN 'MayBe' ELSE 'Unsupported' END AS kind FROM pages""")
-def magic_number(spark, sf_dir):
-    url = F.col("url")
-    kind = (
-        F.when(F.octet_length(url) < 8, "MayBe").when((F.substring(url, 5, 3) != "://") & (F.substring(url, 6, 3) != "://"), "No")
-        .when(F.contains(url, F.lit(".net/")), "Supported").when(F.contains(url, F.lit(".org/")), "MayBe").otherwise("Unsupported")
-    )
-    return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"))
-
-
 @query("""SELECT doc_id, CASE WHEN n < 1000 THEN n || ' B' WHEN n < 1000000 THEN printf('%.0f KB', n / 1000.0::DOUBLE) ELSE printf('%.1f MB', n / 1e6) END AS human, lpad(doc_id::VARCHAR, greatest(3, strlen(c::VARCHAR))::INT, '0') AS name
 FROM (SELECT doc_id, n_chars * 7 AS n FROM documents), (SELECT count(*) AS c FROM documents)""")
 def human_sizes(spark, sf_dir):
@@ -299,12 +279,3 @@ def upper_median(spark, sf_dir):
 def uniform_tiles(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("i"))
     return rows.withColumn("size", px.uniform_spacing(F.col("i"), F.lit(6), F.col("c_custkey") % 90 + 10))
-
-
-@query("""WITH f AS (SELECT p_brand, min(p_partkey) AS first FROM part GROUP BY p_brand), r AS (SELECT p_brand, row_number() OVER (ORDER BY first) AS prop_index FROM f)
-SELECT p_partkey, prop_index FROM part JOIN r USING (p_brand)""")
-def property_sharing(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    kinds = part.groupBy("p_brand").agg(F.min("p_partkey").alias("first"))
-    kinds = kinds.withColumn("prop_index", F.row_number().over(Window.orderBy("first")).cast("long"))  # one row for each kind
-    return part.join(kinds.drop("first"), "p_brand").select("p_partkey", "prop_index")

@@ -7,9 +7,15 @@ All joins are on (path, ...): tables of one file are small, those of all files a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import metadata
 from ..sources.heif import Containers
 
 # Item types that are images, and the two names each of alpha and depth auxiliaries.
@@ -225,7 +231,7 @@ def wanted_items(c: Containers, roots: DataFrame, hops: int = 8) -> DataFrame:
 
 
 def item_data(c: Containers) -> DataFrame:
-    """(path, item_id, data): extents in file order, from the file or its idat; extents of other items are resolved by `items_from_items`.
+    """(path, item_id, data): extents in file order, from the file or its idat; items made of other items have no row here.
 
     Only the first location of an item counts; length 0 runs to the end; an extent out of range makes the whole null.
     """
@@ -243,6 +249,39 @@ def item_data(c: Containers) -> DataFrame:
     return whole.select("path", "item_id", F.when(F.col("bad") == 0, joined).alias("data"))
 
 
+def fields_of(c: Containers, found: DataFrame, read, ddl: str) -> DataFrame:
+    """(path, item_id, and what read makes of the bytes) of the first described item of each image."""
+    data = item_data(c).withColumnRenamed("item_id", "source_id")
+    rows = first_by(found, ["path", "item_id"], ["ordinal"]).join(data, ["path", "source_id"]).select("path", "item_id", "data")
+    kinds = to_arrow_schema(T.StructType.fromDDL(ddl))
+    names = kinds.names
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            values = [read(d or b"") for d in batch.column("data").to_pylist()]
+            columns = [pa.array([v.get(n) for v in values], kinds.field(n).type) for n in names]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("item_id"), *columns], names=["path", "item_id", *names])
+
+    return rows.mapInArrow(run, f"path string, item_id bigint, {ddl}")
+
+
+def exif_fields(c: Containers) -> DataFrame:
+    return fields_of(c, exif_items(c), metadata.exif, "make string, model string, software string, date_time string, orientation int, has_gps boolean")
+
+
+def iptc_fields(c: Containers) -> DataFrame:
+    """A broken block has only null fields."""
+
+    def read(data: bytes) -> dict:
+        try:
+            return metadata.iptc_view(data)
+        except ValueError:
+            return {}
+
+    ddl = ", ".join(f"{k} string" for k in metadata.IPTC_FIELDS) + ", keywords array<string>"
+    return fields_of(c, iptc_items(c), read, ddl)
+
+
 def report(c: Containers) -> DataFrame:
     """One line of text for each top-level image."""
     size, depth, aux = image_sizes(c), bit_depths(c), auxiliary_images(c).groupBy("path", "item_id").agg(F.count("*").alias("n_aux"))

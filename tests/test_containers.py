@@ -198,3 +198,20 @@ def test_bumping():
         out += step(waiting, poc, n, False, 2, None)
     assert [p for _, p in out] == [0, 1, 2, 3, 4] and sorted(p for p, _, _ in waiting) == [6, 8]
     assert step(waiting, 0, 7, True, 2, None) == [(6, 6), (5, 8)]
+
+
+def test_depth_information_in_groups_of_units():
+    from isoframe.functions import hdr
+
+    def sized(x):
+        return len(x).to_bytes(4, "big") + x
+
+    # z_near alone: flags 1000, kind ue(1) = 010, then sign 0, exponent 31, a mantissa of 1 bit (length - 1 in 5 bits).
+    bits = "1000" + "010" + "0" + f"{31:07b}" + "00000" + "1"
+    payload = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    unit = bytes((39 << 1, 1, 5, 1, 0)) + bytes((177, len(payload))) + payload + b"\x80"  # behind another message
+    want = {"kind": 1, "z_near": 1.5, "z_far": None, "d_min": None, "d_max": None, "reference_view": None, "nonlinear": None}
+    assert hdr.depth_info(sized(sized(unit))) == want
+    assert hdr.depth_info(sized(sized(b"\x40\1ab") + sized(unit))) == want
+    assert hdr.depth_info(sized(sized(bytes((1 << 1,)) + unit[1:]))) is None
+    assert hdr.depth_info(sized(sized(unit))[:-1]) is None

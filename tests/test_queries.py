@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from isoframe.plans import carriers, samples
+from isoframe.plans import carried, carriers, samples
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,10 +17,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(carriers.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(carriers.ORACLE_SQL | carried.ORACLE_SQL))
 def test_query_matches_sql(spark, duck, name):
-    got = carriers.QUERIES[name](spark, SF)
-    want = duck.sql(carriers.ORACLE_SQL[name])
+    got = (carriers.QUERIES | carried.QUERIES)[name](spark, SF)
+    want = duck.sql((carriers.ORACLE_SQL | carried.ORACLE_SQL)[name])
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     a = sorted(map(repr, (tuple(r) for r in got.select(*columns).collect())))
