@@ -86,7 +86,7 @@ STAGES = [
     ("sentencepiece", pieces),
 ]
 
-#: The last stage, an n-best search, isn't SQL; the tests hold run() against a brute-force version.
+#: The last stage, an n-best search, isn't SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
