@@ -216,16 +216,34 @@ def tone_maps(c: Containers) -> DataFrame:
     return first_by(rows.select("path", "item_id", "base_id", "map_id", "other", "ordinal"), ["path"], ["other", "ordinal"]).select("path", "item_id", "base_id", "map_id")
 
 
-def wanted_items(c: Containers, roots: DataFrame, hops: int = 8) -> DataFrame:
-    """(path, item_id): what decoding roots(path, item_id) needs: inputs, auxiliaries, sources of constructed items, and descriptions."""
+def wanted_items(c: Containers, roots: DataFrame) -> DataFrame:
+    """(path, item_id): what decoding roots(path, item_id) needs: inputs, auxiliaries, sources of constructed items, and descriptions.
+
+    Chains may have any length and may run in circles. The references of a file, bounded by the file, meet in one row.
+    """
     dimg = references(c).where("ref_type = 'dimg'").select("path", F.col("from_id").alias("a"), F.col("to_id").alias("b"))
     aux = referencing(c, "auxl").select("path", F.col("item_id").alias("a"), F.col("from_id").alias("b"))
     built = references(c).where("ref_type = 'iloc'").select("path", F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    edges = dimg.unionByName(aux).unionByName(built).distinct()
-    found = front = roots.select("path", "item_id").distinct()
-    for _ in range(hops):
-        front = front.join(edges, (front["path"] == edges["path"]) & (front["item_id"] == edges["a"])).select(front["path"], F.col("b").alias("item_id"))
-        found = found.unionByName(front).distinct()
+    edges = dimg.unionByName(aux).unionByName(built).groupBy("path").agg(F.collect_set(F.struct("a", "b")).alias("edges"))
+    asked = roots.groupBy("path").agg(F.collect_set("item_id").alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            paths, ids = [], []
+            for row in batch.to_pylist():
+                follow: dict[int, list[int]] = {}
+                for e in row["edges"] or []:
+                    follow.setdefault(e["a"], []).append(e["b"])
+                found, front = set(row["ids"]), list(row["ids"])
+                while front:
+                    new = set(follow.get(front.pop(), [])) - found
+                    found |= new
+                    front += new
+                paths += [row["path"]] * len(found)
+                ids += sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(ids, pa.int64())], names=["path", "item_id"])
+
+    found = asked.join(edges, "path", "left").select("path", "ids", "edges").mapInArrow(run, "path string, item_id bigint")
     notes = referencing(c, "cdsc").join(found, ["path", "item_id"]).select("path", F.col("from_id").alias("item_id"))
     return found.unionByName(notes).distinct()
 

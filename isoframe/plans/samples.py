@@ -101,6 +101,53 @@ def containers(spark: SparkSession) -> heif.Containers:
     return heif.Containers(heif.parse(files(spark))).stored()
 
 
+def values(columns: str, rows: list[tuple]) -> str:
+    """SQL of fixed rows; columns is "name type, ..."."""
+    text = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    pairs = [c.split() for c in columns.split(", ")]
+    casts = ", ".join(f"cast({n} as {t}) as {n}" for n, t in pairs)
+    return f"select {casts} from (values {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) as t({', '.join(n for n, _ in pairs)})"
+
+
+def planned_items() -> list[tuple]:
+    """What the writers above were asked for: items get ids in the order in which they were added."""
+    kinds = {
+        "single.heif": ["unci", "unci", "unci", "Exif", "mime"],
+        "grid.heif": ["unci*", "unci*", "unci*", "unci*", "grid", "mime", "unci*"],
+        "overlay.heif": ["unci*", "unci*", "iovl", "iden"],
+        "regions.heif": ["unci", "rgan"],
+        "sequence.heif": ["unci"],
+    }
+    return [(path, k, k + 1, kind.rstrip("*"), "", kind.endswith("*") or kind in ("Exif", "mime", "rgan"), "application/rdf+xml" if kind == "mime" else None) for path, own in kinds.items() for k, kind in enumerate(own)]
+
+
+ALPHA = "urn:mpeg:mpegB:cicp:systems:auxiliary:alpha"
+
+#: Expected rows, as they follow from what the writers above were asked for.
+ORACLE_SQL = {
+    "heif_items": values("path varchar, ordinal integer, item_id bigint, item_type varchar, name varchar, hidden boolean, content_type varchar", planned_items()),
+    "heif_top_level": values(
+        "path varchar, item_id bigint, line varchar",
+        [
+            ("grid.heif", 5, "item 5: grid 14x11, 8 bits, 1 auxiliary images"),
+            ("overlay.heif", 3, "item 3: iovl 9x8, 8 bits, 0 auxiliary images"),
+            ("overlay.heif", 4, "item 4: iden 5x5, 8 bits, 0 auxiliary images"),
+            ("regions.heif", 1, "item 1: unci 4x4, 8 bits, 0 auxiliary images"),
+            ("sequence.heif", 1, "item 1: unci 4x4, 8 bits, 0 auxiliary images"),
+            ("single.heif", 1, "item 1: unci 12x8, 8 bits, 0 auxiliary images"),
+        ],
+    ),
+    "heif_auxiliary": values("path varchar, item_id bigint, aux_id bigint, item_type varchar, urn varchar, width bigint, height bigint, bit_depth integer", [("grid.heif", 5, 7, "unci", ALPHA, 14, 11, 8)]),
+    "heif_thumbnails": values("path varchar, item_id bigint, thumb_id bigint", [("single.heif", 1, 3)]),
+    # The note of the grid's first tile is also the grid's.
+    "heif_descriptions": values("path varchar, item_id bigint, source_id bigint, ordinal integer", [("grid.heif", 1, 6, 5), ("grid.heif", 5, 6, 5), ("single.heif", 1, 5, 4)]),
+    # Shown at 1, 4, 2, 3, 4 and 6 of 25 ticks a second; samples 1 and 4 tie and keep their decoding order.
+    "heif_frames": values(
+        "path varchar, track_id bigint, frame_no integer, n integer, duration double, keyframe boolean",
+        [("sequence.heif", 1, k, n, ticks / 25, n in (0, 4)) for k, (n, ticks) in enumerate([(0, 1), (2, 1), (3, 1), (1, 0), (4, 2), (5, 1)])],
+    ),
+}
+
 QUERIES = {
     "heif_items": lambda spark, sf_dir: containers(spark).items,
     "heif_errors": lambda spark, sf_dir: containers(spark).errors,

@@ -43,6 +43,19 @@ def test_lookups(c):
     assert rows(ct.wanted_items(c, roots), "item_id") == [(k,) for k in range(1, 8)]
 
 
+def test_wanted_items_of_long_chains_and_circles(spark):
+    f = w.Writer("mif1")
+    n = f.add_image("unci", samples.planar(samples.rgb(4, 4)), 4, 4, *samples.UNCOMPRESSED)
+    for _ in range(20):
+        n = f.add_identity(n, 4, 4)
+    f.reference("dimg", 1, [n])
+    f.set_primary(n)
+    content = f.finish()
+    c = heif.Containers(heif.parse(spark.createDataFrame([("chain", len(content), bytearray(content))], samples.FILES)))
+    roots = c.files.selectExpr("path", "primary_id item_id")
+    assert rows(ct.wanted_items(c, roots), "item_id") == [(k,) for k in range(1, 22)]
+
+
 def test_item_data(c):
     data = {(r.path, r.item_id): bytes(r.data) for r in ct.item_data(c).collect() if r.data is not None}
     assert data[("single.heif", 5)] == b"<x/>"
