@@ -15,20 +15,24 @@ Spark committed, so a lost executor leaves at most an unnamed file. Null and emp
 
 Texts are encoded whole by the tokenizers library. A byte-level BPE never joins across the place between a character
 that isn't white space and white space after it, so pieces cut there are encoded once and kept, the most used in
-about KEPT_BYTES. A text that holds an added token of the tokenizer (an end mark, say) or rare white space is one piece.
+about KEPT_BYTES. Nor does it join across the place between a letter and the punctuation that ends a piece, so a new
+piece is put together of the two where the part before that is kept. A text that holds an added token of the tokenizer
+(an end mark, say) or rare white space is one piece.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -38,7 +42,7 @@ from .common import Kept, byte_texts, in_arrow, offsets, shared_dir, small
 
 BLOCK = 256
 FILE_BYTES = 32 << 20
-KEPT_BYTES = 80 << 20  # of a worker
+KEPT_BYTES = 160 << 20  # of a worker
 RUN = 4000  # pieces that go to the library at once
 END_ID = 2
 MAGIC = b"S8BT0001"
@@ -157,6 +161,7 @@ class Encoder:
 
     PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
     OTHER_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    LATIN = "\u0250"  # letters below are letters in every version of Unicode
 
     def __init__(self, path: str, kept: int = KEPT_BYTES):
         from tokenizers import Tokenizer
@@ -166,14 +171,27 @@ class Encoder:
         self.byte_length = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(size)], dtype=np.int64)
         # Added tokens are found in whole texts, before any cut.
         added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.apart = re.compile("|".join([self.OTHER_SPACE, *added]))
+        self.apart = "|".join([self.OTHER_SPACE, *added])
         self.kept = Kept(kept)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str], alone: set[str]) -> None:
-        """Encode new pieces: those that begin with a blank in one text, which their blanks part; alone has exceptions."""
+        """Keep the ids of new pieces; those that end in a letter and punctuation come of their two parts."""
+        place, new, two = self.kept.place, set(pieces), {}
+        for p in pieces:
+            body = p.rstrip(string.punctuation)
+            if (body in place or body in new) and len(body) < len(p) and body[-1:] < self.LATIN and body[-1:].isalpha() and p not in alone:
+                two[p] = body, p[len(body) :]
+        tails = [t for t in {tail for _, tail in two.values()} if t not in place and t not in new]
+        self._encode([*tails, *(p for p in pieces if p not in two)], alone)
+        if two:
+            ids, ends = self.kept.ids(np.array([place[x] for x in chain.from_iterable(two.values())]))
+            self.kept.add(list(two), np.diff(ends[::2]), ids)
+
+    def _encode(self, pieces: list[str], alone: set[str]) -> None:
+        """Encode pieces: those that begin with a blank in one text, which their blanks part; alone has exceptions."""
         able = [p for p in pieces if p[0] in " \n" and p[-1] not in " \t\n\r" and "\0" not in p and p not in alone]
         for k in range(0, len(able), RUN):
             joined = able[k : k + RUN]
@@ -191,7 +209,7 @@ class Encoder:
     def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has; end is put after each text."""
         self.kept.trim()
-        alone = {t for t in texts if self.apart.search(t)}
+        alone = set(compress(texts, pc.match_substring_regex(pa.array(texts, pa.large_string()), self.apart).to_pylist()))
         cut = [[t] if t in alone else self.PIECES.findall(t) for t in texts]
         if end is not None:
             mark = ("end", end)  # a piece that no text has

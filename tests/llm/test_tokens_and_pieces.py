@@ -40,6 +40,20 @@ def test_ids_are_those_of_the_plain_library(encoder):
             assert [c.tolist() for c in np.split(ids, np.cumsum(sizes)[:-1])] == want[k : k + 50]
 
 
+def test_punctuation_after_letters_is_parted_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    made = token_files.Encoder(tokenizer_file("byte_bpe_50k.json"), kept=30_000)
+    rng = np.random.default_rng(4)
+    bits = [" ", " ", "word", "it", "'s", "'", "'ll", "É", "í", "ª", "中", "ɐ", "7", ".", ",", "...", '"', "$$", "_", "\n", "<|", "|>", "\x00", "–"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(1500)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for k in range(0, len(texts), 50):
+        ids, sizes = made.encode(texts[k : k + 50], None)
+        assert [c.tolist() for c in np.split(ids, np.cumsum(sizes)[:-1])] == want[k : k + 50]
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 255, 256, 257, 3000])
 def test_simple8b_round_trip(n):
     rng = np.random.default_rng(n)
