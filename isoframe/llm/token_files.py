@@ -16,19 +16,21 @@ Spark committed, so a lost executor leaves at most an unnamed file. Null and emp
 Texts are encoded whole by the tokenizers library. A byte-level BPE never joins across the place between a character
 that isn't white space and white space after it, so pieces cut there are encoded once and kept, the most used in
 about KEPT_BYTES. Nor does it join across the place between a letter and the punctuation that ends a piece, so a new
-piece is put together of the two where the part before that is kept. A text that holds an added token of the tokenizer
+piece is put together of the two where the part before that is kept. Letters with a blank before them are one word to
+the tokenizer's pattern and go to its model at once. A text that holds an added token of the tokenizer
 (an end mark, say) or rare white space is one piece.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 import string
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, compress
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -162,11 +164,16 @@ class Encoder:
     PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
     OTHER_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
     LATIN = "\u0250"  # letters below are letters in every version of Unicode
+    WORD = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+    # Byte-level BPE writes a byte as a character: those that print as themselves, the others from 256 on.
+    UNPRINTED = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+    BYTE_TEXT = "".join("\n" if b == 10 else chr(c) for b, c in ({b: b for b in range(256)} | UNPRINTED).items())
 
     def __init__(self, path: str, kept: int = KEPT_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         size = self.tokenizer.get_vocab_size()
         self.byte_length = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(size)], dtype=np.int64)
         # Added tokens are found in whole texts, before any cut.
@@ -185,11 +192,21 @@ class Encoder:
             if (body in place or body in new) and len(body) < len(p) and body[-1:] < self.LATIN and body[-1:].isalpha() and p not in alone:
                 two[p] = body, p[len(body) :]
         tails = [t for t in {tail for _, tail in two.values()} if t not in place and t not in new]
-        self._encode([*tails, *(p for p in pieces if p not in two)], alone)
+        others = [*tails, *(p for p in pieces if p not in two)]
+        is_word = list(map(self.WORD.fullmatch, others))
+        self._encode_words(list(compress(others, is_word)))
+        self._encode([p for p, word in zip(others, is_word, strict=True) if not word], alone)
         if two:
             ids, ends = self.kept.ids(np.array([place[x] for x in chain.from_iterable(two.values())]))
             self.kept.add(list(two), np.diff(ends[::2]), ids)
 
+    def _encode_words(self, words: list[str]) -> None:
+        """Encode letters, with a blank before them or none: the library's model takes them as they are."""
+        for k in range(0, len(words), RUN):
+            some = words[k : k + RUN]
+            found = [[x.id for x in self.model.tokenize(w)] for w in codecs.charmap_decode("\n".join(some).encode(), "strict", self.BYTE_TEXT)[0].split("\n")]
+            self.kept.add(some, np.fromiter(map(len, found), np.int64, len(some)), np.array(list(chain.from_iterable(found)), dtype=np.uint32))
+
     def _encode(self, pieces: list[str], alone: set[str]) -> None:
         """Encode pieces: those that begin with a blank in one text, which their blanks part; alone has exceptions."""
         able = [p for p in pieces if p[0] in " \n" and p[-1] not in " \t\n\r" and "\0" not in p and p not in alone]
@@ -210,20 +227,22 @@ class Encoder:
         """All ids one after another, and how many each text has; end is put after each text."""
         self.kept.trim()
         alone = set(compress(texts, pc.match_substring_regex(pa.array(texts, pa.large_string()), self.apart).to_pylist()))
-        cut = [[t] if t in alone else self.PIECES.findall(t) for t in texts]
+        last: tuple = ()
         if end is not None:
             mark = ("end", end)  # a piece that no text has
             if mark not in self.kept.place:
                 self.kept.add([mark], np.ones(1, np.int64), np.array([end], dtype=np.uint32))
-            for c in cut:
-                c.append(mark)
-        first = offsets(np.fromiter(map(len, cut), np.int64, len(cut)))
-        flat = list(chain.from_iterable(cut))
-        places = self.kept.places(flat)
-        missing = np.flatnonzero(places < 0).tolist()
+            last = (self.kept.place[mark],)
+        get, found, missing = self.kept.place.get, [np.zeros(0, np.int64)], []
+        for t in texts:  # the strings of a text are gone before those of the next are made
+            cut = [t] if t in alone else self.PIECES.findall(t)
+            at = np.fromiter(chain(map(get, cut, repeat(-1)), last), np.int64, len(cut) + len(last))
+            missing += [cut[k] for k in np.flatnonzero(at < 0).tolist()]
+            found.append(at)
+        first, places = offsets([len(at) for at in found[1:]]), np.concatenate(found)
         if missing:
-            self._learn(list(dict.fromkeys(flat[k] for k in missing)), alone)
-            places[missing] = [self.kept.place[flat[k]] for k in missing]
+            self._learn(list(dict.fromkeys(missing)), alone)
+            places[places < 0] = [self.kept.place[p] for p in missing]
         ids, ends = self.kept.ids(places)
         return ids, np.diff(ends[first])
 
