@@ -80,6 +80,14 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def byte_data(column: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column without nulls one after another, and where each text begins (and the last ends)."""
+    _, at, data = column.buffers()
+    bounds = np.frombuffer(at, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", dtype=np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def small(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most limit bytes of text (a longer text is a batch of its own)."""
     for batch in batches:

@@ -14,11 +14,10 @@ least int64), about FILE_BYTES of text a file. A file is named in the manifest o
 Spark committed, so a lost executor leaves at most an unnamed file. Null and empty texts have the end id alone.
 
 Texts are encoded whole by the tokenizers library. A byte-level BPE never joins across the place between a character
-that isn't white space and white space after it, so pieces cut there are encoded once and kept, the most used in
-about KEPT_BYTES. Nor does it join across the place between a letter and the punctuation that ends a piece, so a new
-piece is put together of the two where the part before that is kept. Letters with a blank before them are one word to
-the tokenizer's pattern and go to its model at once. A text that holds an added token of the tokenizer
-(an end mark, say) or rare white space is one piece.
+that isn't white space and white space after it, nor between a letter and another ASCII character after it. Texts are cut
+there, as arrays of the bytes of a batch; its distinct pieces are looked up once, encoded once and kept, the most used in
+about KEPT_BYTES. Letters with a blank before them are one word to the tokenizer's pattern and go to its model at once.
+A text that holds an added token of the tokenizer (an end mark, say) or rare white space is one piece.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, compress, repeat
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +39,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Kept, byte_texts, in_arrow, offsets, shared_dir, small
+from .common import Kept, byte_data, in_arrow, offsets, shared_dir, small
 
 BLOCK = 256
 FILE_BYTES = 32 << 20
-KEPT_BYTES = 160 << 20  # of a worker
+KEPT_BYTES = 240 << 20  # of a worker
 RUN = 4000  # pieces that go to the library at once
 END_ID = 2
 MAGIC = b"S8BT0001"
@@ -71,11 +70,9 @@ def _pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         reach[2 * k] = reach[k].copy()
         np.maximum(reach[k][:, :-k], reach[k][:, k:], out=reach[2 * k][:, :-k])
     selector = np.full((n_blocks, BLOCK), ESCAPE, dtype=np.uint8)
-    for s in range(ESCAPE - 1, -1, -1):
-        c = int(COUNTS[s])
+    for c, b in zip(COUNTS[:ESCAPE].tolist(), BITS.tolist(), strict=False):  # what fits one selector fits all after it
         k = 1 << (c.bit_length() - 1)
-        most = np.maximum(reach[k][:, :BLOCK], reach[k][:, c - k : c - k + BLOCK])
-        selector[most <= BITS[s]] = s
+        selector -= np.maximum(reach[k][:, :BLOCK], reach[k][:, c - k : c - k + BLOCK]) <= b
     starts = np.zeros((n_blocks, BLOCK), dtype=bool)
     row, at = np.arange(n_blocks), np.zeros(n_blocks, dtype=np.int64)
     while len(row):
@@ -161,19 +158,28 @@ def segments(file) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 class Encoder:
     """Whole texts to ids, through pieces that are kept."""
 
-    PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
     OTHER_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-    LATIN = "\u0250"  # letters below are letters in every version of Unicode
-    WORD = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+    # Letters up to U+024F are letters in every version of Unicode: C3 80 to C9 8F but for the signs C3 97 and C3 B7.
+    WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
+    SPACE, LETTER, OTHER, LEAD, LEAD_C3, FOLLOWS_C3, FOLLOWS = (1 << k for k in range(7))
+    KINDS = np.zeros(256, dtype=np.uint8)  # the kinds of a byte
+    KINDS[:128] = OTHER
+    KINDS[list(string.ascii_letters.encode())] = LETTER
+    KINDS[list(b" \t\n\r")] = SPACE
+    KINDS[0xC4:0xC9] = LEAD
+    KINDS[0xC3] = LEAD_C3
+    KINDS[0x80:0xC0] = FOLLOWS | FOLLOWS_C3
+    KINDS[[0x97, 0xB7]] = FOLLOWS
     # Byte-level BPE writes a byte as a character: those that print as themselves, the others from 256 on.
     UNPRINTED = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
     BYTE_TEXT = "".join("\n" if b == 10 else chr(c) for b, c in ({b: b for b in range(256)} | UNPRINTED).items())
 
     def __init__(self, path: str, kept: int = KEPT_BYTES):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.words = Tokenizer(self.tokenizer.model)  # the same model on lines, each a word
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         size = self.tokenizer.get_vocab_size()
         self.byte_length = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(size)], dtype=np.int64)
         # Added tokens are found in whole texts, before any cut.
@@ -184,67 +190,85 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str], alone: set[str]) -> None:
-        """Keep the ids of new pieces; those that end in a letter and punctuation come of their two parts."""
-        place, new, two = self.kept.place, set(pieces), {}
-        for p in pieces:
-            body = p.rstrip(string.punctuation)
-            if (body in place or body in new) and len(body) < len(p) and body[-1:] < self.LATIN and body[-1:].isalpha() and p not in alone:
-                two[p] = body, p[len(body) :]
-        tails = [t for t in {tail for _, tail in two.values()} if t not in place and t not in new]
-        others = [*tails, *(p for p in pieces if p not in two)]
-        is_word = list(map(self.WORD.fullmatch, others))
-        self._encode_words(list(compress(others, is_word)))
-        self._encode([p for p, word in zip(others, is_word, strict=True) if not word], alone)
-        if two:
-            ids, ends = self.kept.ids(np.array([place[x] for x in chain.from_iterable(two.values())]))
-            self.kept.add(list(two), np.diff(ends[::2]), ids)
-
-    def _encode_words(self, words: list[str]) -> None:
+    def _learn(self, pieces: list[bytes], alone: set[bytes]) -> None:
+        """Keep the ids of new pieces."""
+        is_word = [p not in alone and self.WORD.fullmatch(p) is not None for p in pieces]
+        self._encode_words(list(compress(pieces, is_word)))
+        self._encode([p for p, word in zip(pieces, is_word, strict=True) if not word], alone)
+
+    def _add_joined(self, pieces: list[bytes], ids: np.ndarray) -> bool:
+        """Keep pieces by the ids of all of them in a row, if these end where the pieces do."""
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        at = np.cumsum(self.byte_length[ids])
+        cuts = np.searchsorted(at, ends) + 1
+        fits = len(at) > 0 and bool((at[np.minimum(cuts - 1, len(at) - 1)] == ends).all())
+        if fits:
+            self.kept.add(pieces, np.diff(cuts, prepend=0), ids)
+        return fits
+
+    def _encode_words(self, words: list[bytes]) -> None:
         """Encode letters, with a blank before them or none: the library's model takes them as they are."""
         for k in range(0, len(words), RUN):
             some = words[k : k + RUN]
-            found = [[x.id for x in self.model.tokenize(w)] for w in codecs.charmap_decode("\n".join(some).encode(), "strict", self.BYTE_TEXT)[0].split("\n")]
-            self.kept.add(some, np.fromiter(map(len, found), np.int64, len(some)), np.array(list(chain.from_iterable(found)), dtype=np.uint32))
+            lines = codecs.charmap_decode(b"\n".join(some), "strict", self.BYTE_TEXT)[0]
+            ids = np.array(self.words.encode_batch_fast([lines], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            if not self._add_joined(some, ids):
+                self._encode(some, set())
 
-    def _encode(self, pieces: list[str], alone: set[str]) -> None:
+    def _encode(self, pieces: list[bytes], alone: set[bytes]) -> None:
         """Encode pieces: those that begin with a blank in one text, which their blanks part; alone has exceptions."""
-        able = [p for p in pieces if p[0] in " \n" and p[-1] not in " \t\n\r" and "\0" not in p and p not in alone]
+        able = [p for p in pieces if p[0] in b" \n" and p[-1] not in b" \t\n\r" and p not in alone]
         for k in range(0, len(able), RUN):
             joined = able[k : k + RUN]
-            ids = np.array(self.whole(["".join(joined)])[0], dtype=np.uint32)
-            ends = np.cumsum(np.fromiter(map(len, "\0".join(joined).encode().split(b"\0")), np.int64, len(joined)))
-            at = np.cumsum(self.byte_length[ids])
-            cuts = np.searchsorted(at, ends) + 1
-            if len(at) and (at[np.minimum(cuts - 1, len(at) - 1)] == ends).all():
-                self.kept.add(joined, np.diff(cuts, prepend=0), ids)
+            self._add_joined(joined, np.array(self.whole([b"".join(joined).decode()])[0], dtype=np.uint32))
         rest = [p for p in pieces if p not in self.kept.place]
         for k in range(0, len(rest), RUN):
-            found = [np.array(x, dtype=np.uint32) for x in self.whole(rest[k : k + RUN])]
+            found = [np.array(x, dtype=np.uint32) for x in self.whole([p.decode() for p in rest[k : k + RUN]])]
             self.kept.add(rest[k : k + RUN], np.array([len(x) for x in found], dtype=np.int64), np.concatenate(found))
 
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Whether a piece begins at each byte: white space after another character, or another ASCII character after a letter."""
+        kind = self.KINDS[data]
+        out = np.zeros(len(data), dtype=bool)
+        space, other = kind == self.SPACE, kind == self.OTHER
+        out[1:] = space[1:] & ~space[:-1]
+        out[1:] |= other[1:] & (kind[:-1] == self.LETTER)
+        high = np.flatnonzero(other[2:] & (kind[1:-1] >= self.FOLLOWS)) + 2  # after a character of several bytes
+        lead, last = kind[high - 2], kind[high - 1]
+        out[high] |= (lead == self.LEAD) | ((lead == self.LEAD_C3) & (last & self.FOLLOWS_C3 > 0))
+        return out
+
     def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and how many each text has; end is put after each text."""
+        return self.encode_column(pa.array(texts, pa.large_string()), end)
+
+    def encode_column(self, column: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column's texts one after another, and how many each text has; end is put after each text."""
         self.kept.trim()
-        alone = set(compress(texts, pc.match_substring_regex(pa.array(texts, pa.large_string()), self.apart).to_pylist()))
-        last: tuple = ()
+        body = column.cast(pa.large_binary()).fill_null(b"")
+        data, bounds = byte_data(body)
+        begins = self.cuts(data)
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        alone = set()
+        for k in np.flatnonzero(pc.match_substring_regex(body.cast(pa.large_string()), self.apart)).tolist():
+            alone.add(body[k].as_py())
+            begins[bounds[k] + 1 : bounds[k + 1]] = False
+        first = np.append(np.flatnonzero(begins), len(data))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(first), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places = self.kept.places(distinct)
+        if len(missing := np.flatnonzero(places < 0)):
+            new = [distinct[k] for k in missing.tolist()]
+            self._learn(new, alone)
+            places[missing] = [self.kept.place[p] for p in new]
+        ends, places = np.searchsorted(first, bounds[1:]), places[pieces.indices.to_numpy()]
         if end is not None:
             mark = ("end", end)  # a piece that no text has
             if mark not in self.kept.place:
                 self.kept.add([mark], np.ones(1, np.int64), np.array([end], dtype=np.uint32))
-            last = (self.kept.place[mark],)
-        get, found, missing = self.kept.place.get, [np.zeros(0, np.int64)], []
-        for t in texts:  # the strings of a text are gone before those of the next are made
-            cut = [t] if t in alone else self.PIECES.findall(t)
-            at = np.fromiter(chain(map(get, cut, repeat(-1)), last), np.int64, len(cut) + len(last))
-            missing += [cut[k] for k in np.flatnonzero(at < 0).tolist()]
-            found.append(at)
-        first, places = offsets([len(at) for at in found[1:]]), np.concatenate(found)
-        if missing:
-            self._learn(list(dict.fromkeys(missing)), alone)
-            places[places < 0] = [self.kept.place[p] for p in missing]
-        ids, ends = self.kept.ids(places)
-        return ids, np.diff(ends[first])
+            places = np.insert(places, ends, self.kept.place[mark])
+            ends = ends + np.arange(1, len(ends) + 1)
+        ids, at = self.kept.ids(places)
+        return ids, np.diff(at[ends], prepend=0)
 
 
 @lru_cache(maxsize=1)
@@ -271,12 +295,12 @@ def write(docs: DataFrame, tokenizer: str, root: str, doc_id: str = "doc_id", te
         part = TaskContext.get().partitionId()
         store, folder = fs.FileSystem.from_uri(arrow_uri(root))
         name, out, n_docs, n_ids = f"part-{part:06d}-{uuid.uuid4().hex}.s8b", None, 0, 0
-        for batch in small(batches, "body", 1 << 20):
+        for batch in small(batches, "body"):
             if out is None:
                 encoder = encoder_of(tokenizer)
                 store.create_dir(folder, recursive=True)
                 out = store.open_output_stream(f"{folder}/{name}")
-            ids, sizes = encoder.encode([t.decode() for t in byte_texts(batch.column("body"))], end)
+            ids, sizes = encoder.encode_column(batch.column("body"), end)
             out.write(segment(batch.column("doc_id").fill_null(NO_ID).to_numpy(), sizes, ids))
             n_docs, n_ids = n_docs + len(sizes), n_ids + len(ids)
         if out is not None:

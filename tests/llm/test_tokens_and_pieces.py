@@ -54,6 +54,29 @@ def test_punctuation_after_letters_is_parted_as_the_library_does():
         assert [c.tolist() for c in np.split(ids, np.cumsum(sizes)[:-1])] == want[k : k + 50]
 
 
+def test_a_word_is_kept_once_whatever_follows_it():
+    made = token_files.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    words, ends = ["word", "été", "ȯne", "Ÿx"], [*",.;:!?)-7", "...", "'s", '"']
+    text = " ".join(w + e for w in words for e in ends)
+    ids, _ = made.encode([text], None)
+    assert [ids.tolist()] == made.whole([text])
+    assert len(made.kept.place) <= 2 * len(words) + len(ends)
+
+
+def test_columns_with_nulls_and_offsets(encoder):
+    import pyarrow as pa
+
+    texts = [None, "", *TEXTS, None, "a×b÷c é×, ÷. ñ7", "a\u0301. x\u0301, ɐ. ɐ", "", "x " * 3000, None]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["cut off", *texts, "and this"], kind).slice(1, len(texts))
+        for end in (None, 2):
+            ids, sizes = encoder.encode_column(column, end)
+            want = [x + [end] * (end is not None) for x in encoder.whole([t or "" for t in texts])]
+            assert [c.tolist() for c in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    for none in (column[:0], pa.array([None, ""], kind)):
+        assert encoder.encode_column(none, None)[0].tolist() == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 255, 256, 257, 3000])
 def test_simple8b_round_trip(n):
     rng = np.random.default_rng(n)
