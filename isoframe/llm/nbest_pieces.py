@@ -9,12 +9,13 @@ start are the N best. Ties go to the hypothesis that was queued first; of equall
 pass keeps one, always the same.
 
 No piece of the vocabulary spans certain places (before white space, and between letters and other characters; this is
-tested on the vocabulary when it's loaded). Texts are cut there: a path through a text's lattice is a path
-through each part. The N best of a text are the N least sums of what is lost in each part, and only the N - 1 parts
-with the smallest first loss can differ from their best in any of them. The best of a part and that loss come from a
-forward and a backward pass, kept for the parts used most (about KEPT_BYTES); the search gives the other segmentations,
-scores and ids, of the parts that can differ. The segmentations of a text are put together from these, and each is
-decoded. A part without a cut, however long, takes a few numbers a character and no lists of edges.
+tested on the vocabulary when it's loaded). Texts are cut there, as arrays of the characters of a batch: a path through a
+text's lattice is a path through each part. The N best of a text are the N least sums of what is lost in each part, and
+only the N - 1 parts with the smallest first loss can differ from their best in any of them. The best of a part and that
+loss come from a forward and a backward pass, of parts of like length side by side over arrays, of long parts and those
+with byte pieces one by one, and are kept for the parts used most (about KEPT_BYTES); the search gives the other
+segmentations, scores and ids, of the parts that can differ. The segmentations of a text are put together from these, and
+each is decoded. A part without a cut, however long, takes a few numbers a character and no lists of edges.
 
 Texts are read whole, one pass without a shuffle. Null and empty texts have no pieces, one segmentation and score 0.
 Decoding joins the pieces, turns byte pieces to bytes and marks to blanks, and drops the first blank; a mark that stands
@@ -39,16 +40,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, byte_texts, in_arrow, offsets, small, with_fields
+from .common import Kept, byte_texts, distinct, in_arrow, offsets, small, with_fields
 
 N_BEST = 4
 KEPT_BYTES = 80 << 20  # of a worker
 MARK = "▁"
 RAW = "\udc81"  # stands for a mark in the text itself; no valid text has it
-LETTER = r"(?![\xb2\xb3\xb9])[^\W\d_]"
-FINE = re.compile(rf"{MARK}*(?:{LETTER})+|{MARK}*(?:(?!{LETTER})[^{MARK}\n])+|\n|{MARK}+")
+LETTER = re.compile(r"(?![\xb2\xb3\xb9])[^\W\d_]")
 QUEUED = itemgetter(0, 1)
-COARSE = re.compile(rf"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
+LONG = 64  # characters of a part that passes over arrays take; a longer one has passes of its own
+CELLS = 1 << 20  # characters of parts times lengths of edges in arrays at once
+END = 0x110000  # no character
+BLANK, LINE, OTHER, LETTERS = 1, 2, 4, 8  # kinds of characters
+
+
+class Trie:
+    """The starts of all pieces as numbered nodes; a node and a character lead to a node, by a hash table of these pairs."""
+
+    ODD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: list[str]):
+        nodes: dict[int, int] = {}
+        ends = []
+        for piece in pieces:
+            node = 0
+            for c in piece:
+                node = nodes.setdefault(node << 21 | ord(c), len(nodes) + 1)
+            ends.append(node)
+        self.piece = np.full(len(nodes) + 1, -1, dtype=np.int32)  # the number of the piece that ends at a node
+        self.piece[ends] = np.arange(len(pieces))
+        bits = (4 * len(nodes) + 4).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.nodes = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
+        keys = np.fromiter(nodes, np.int64, len(nodes))
+        for key, node, at in zip(keys.tolist(), nodes.values(), self.slot(keys).tolist(), strict=True):
+            while self.keys[at] >= 0:
+                at = (at + 1) % len(self.keys)
+            self.keys[at], self.nodes[at] = key, node
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * self.ODD) >> self.shift).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The node that each node and character lead to, 0 if no piece goes on so."""
+        keys = nodes.astype(np.int64) << 21 | chars
+        at = self.slot(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.nodes[at], 0)
+        more = np.flatnonzero((there != keys) & (there >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) % len(self.keys)
+            there = self.keys[at[more]]
+            hit = there == keys[more]
+            out[more[hit]] = self.nodes[at[more[hit]]]
+            more = more[~hit & (there >= 0)]
+        return out
 
 
 class Pieces:
@@ -67,6 +113,7 @@ class Pieces:
         self.id_of = {model.id_to_piece(k): k for k in plain}
         self.byte_id = {int(model.id_to_piece(k)[3:5], 16): k for k in range(size) if model.is_byte(k)}
         self.bytes_of = {k: model.id_to_piece(k).replace(MARK, " ").encode() for k in plain} | {k: bytes((b,)) for b, k in self.byte_id.items()}
+        self.size_of = np.array([len(self.bytes_of.get(k, b"")) for k in range(size)])
         self.longest = max(map(len, self.score), default=1)
         # (length, score, ids) of each piece, found by its end in a text and by its start in a text read backwards.
         self.edge = {p: (len(p), s, (self.id_of[p],)) for p, s in self.score.items()}
@@ -77,14 +124,17 @@ class Pieces:
         self.forward.make_automaton()
         self.backward.make_automaton()
         self.single = frozenset(p for p in self.score if len(p) == 1)
-        letter = re.compile(LETTER)
+        self.trie = Trie(list(self.score))
+        self.scores = np.array(list(self.score.values()))
+        self.ids = np.array([self.id_of[p] for p in self.score], dtype=np.uint32)
         bare = [p.lstrip(MARK) for p in self.score]
-        apart = all(len({bool(letter.match(c)) for c in p}) < 2 for p in bare)
-        self.cut = FINE if apart else COARSE
+        self.apart = all(len({bool(LETTER.match(c)) for c in p}) < 2 for p in bare)
+        self.kinds = np.zeros(END, dtype=np.uint8)  # the kind of a character of a text, 0 where it isn't known yet
+        self.kinds[[ord(" "), ord("\n"), ord(MARK)]] = BLANK, LINE, OTHER
         self.independent = not any(MARK in p or "\n" in p[1:] or (p[:1] == "\n" and len(p) > 1) for p in bare)
         self.n_best = n_best
         self.kept = Kept(kept, 3)  # ids of the best segmentation; its score, the loss of the second best, whether it decodes
-        self.others_of: dict[str, list[tuple[float, np.ndarray, bool]]] = {}  # the others of the n best, for parts that needed them
+        self.others_of: dict[bytes, list[tuple[float, np.ndarray, bool]]] = {}  # the others of the n best, for parts that needed them
 
     def bytes_edge(self, c: str) -> tuple[int, float, tuple[int, ...]]:
         """The edge of a character that isn't a piece."""
@@ -177,28 +227,126 @@ class Pieces:
                 second = ahead[i] + t
         return list(chain.from_iterable(reversed(path))), ahead[n], ahead[n] - second
 
-    def learn(self, parts: list[str]) -> None:
-        found = [self._best(p) for p in parts]
+    def _best_of_all(self, chars: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """_best() of many parts side by side, whose characters are all pieces: ids one after another and how many each
+        part has, scores, and what the second best loses. chars has a column for each part, with END below it."""
+        rows, n, most = chars.shape[0], chars.shape[1], self.longest
+        score = np.full((rows + 1, most, n), -np.inf)  # of the edge that ends at a row, by most less its length
+        piece = np.zeros((rows + 1, most, n), dtype=np.int32)
+        flat = chars.ravel()
+        at = np.flatnonzero(flat < END)
+        nodes = np.zeros(len(at), dtype=np.int32)
+        for length in range(1, min(most, rows) + 1):
+            nodes = self.trie.step(nodes, flat[at + (length - 1) * n])
+            at, nodes = at[nodes > 0], nodes[nodes > 0]
+            found = self.trie.piece[nodes]
+            is_piece = found >= 0
+            row, column = np.divmod(at[is_piece], n)
+            score[row + length, most - length, column] = self.scores[found[is_piece]]
+            piece[row + length, most - length, column] = found[is_piece]
+            inside = at + length * n < len(flat)
+            at, nodes = at[inside], nodes[inside]
+        every = np.arange(n)
+        ahead, last = np.full((rows + 1, n), -np.inf), np.zeros((rows + 1, n), dtype=np.int64)
+        ahead[0] = 0.0
+        for j in range(1, rows + 1):
+            k = min(j, most)
+            sums = ahead[j - k : j] + score[j, most - k :]  # the longest edge first, which wins a tie
+            best = sums.argmax(axis=0)
+            ahead[j], last[j] = sums[best, every], k - best
+        on, column, end = np.zeros((rows, n), dtype=np.int64), every, lengths  # on: the length of the path's edge from each row
+        while len(column):
+            edge = last[end, column]
+            end = end - edge
+            on[end, column] = edge
+            column, end = column[end > 0], end[end > 0]
+        behind, second = np.full((rows + 1, n), -np.inf), np.full(n, -np.inf)
+        behind[lengths, every] = 0.0
+        down, across, _ = score.strides
+        for i in range(rows - 1, -1, -1):
+            k = min(most, rows - i)
+            edges = np.lib.stride_tricks.as_strided(score[i + 1, most - 1 :], (k, n), (down - across, score.itemsize))  # from row i, by length
+            sums = edges + behind[i + 1 : i + 1 + k]
+            np.maximum(behind[i], sums.max(axis=0), out=behind[i])
+            column = np.flatnonzero(on[i])
+            sums[on[i, column] - 1, column] = -np.inf
+            np.maximum(second, ahead[i] + sums.max(axis=0), out=second)
+        column, row = np.nonzero(on.T)
+        edge = on[row, column]
+        total = ahead[lengths, every]
+        return self.ids[piece[row + edge, most - edge, column]], np.bincount(column, minlength=n), total, total - second
+
+    def learn(self, parts: list[str], names: list[bytes]) -> None:
+        """Keep the best segmentations of parts under their names: of short ones over arrays, of the others one by one."""
+        single, sizes = self.single, np.fromiter(map(len, parts), np.int64, len(parts))
+        able = (sizes <= LONG) & np.fromiter(map(single.issuperset, parts), bool, len(parts))
+        order = np.flatnonzero(able)
+        order = order[np.argsort(sizes[order], kind="stable")]
+        while len(order):
+            n = max(1, int(np.searchsorted(sizes[order] * np.arange(1, len(order) + 1), CELLS // self.longest)))
+            some, order = order[:n], order[n:]
+            lengths = sizes[some]
+            chars = np.full((lengths[-1], n), END, dtype=np.int32)
+            text = "".join([parts[k] for k in some.tolist()])
+            starts = offsets(lengths)
+            column = np.repeat(np.arange(n), lengths)
+            chars[np.arange(len(column)) - starts[column], column] = np.frombuffer(text.encode("utf-32-le"), dtype=np.int32)
+            ids, counts, scores, losses = self._best_of_all(chars, lengths)
+            called, cuts, flat = [names[k] for k in some.tolist()], offsets(counts), ids.tolist()
+            bytes_each = np.fromiter(map(len, called), np.int64, n)
+            right = np.add.reduceat(self.size_of[ids], cuts[:-1]) == bytes_each
+            if self.spelled(flat) != b"".join(called) or not right.all():  # all at once, then one by one
+                cuts = cuts.tolist()
+                right = [self.spelled(flat[x:y]) == name for x, y, name in zip(cuts[:-1], cuts[1:], called, strict=True)]
+            self.kept.add(called, counts, ids, np.column_stack([scores, losses, right]))
+        rest = np.flatnonzero(~able).tolist()
+        found = [self._best(parts[k]) for k in rest]
         ids = list(chain.from_iterable(x for x, _, _ in found))
-        values = [(s, loss, self.spelled(x) == written(p)) for p, (x, s, loss) in zip(parts, found, strict=True)]
-        self.kept.add(parts, np.array([len(x) for x, _, _ in found], dtype=np.int64), np.array(ids, dtype=np.uint32), values)
+        values = [(s, loss, self.spelled(x) == names[k]) for k, (x, s, loss) in zip(rest, found, strict=True)]
+        if rest:
+            self.kept.add([names[k] for k in rest], np.array([len(x) for x, _, _ in found], dtype=np.int64), np.array(ids, dtype=np.uint32), values)
 
-    def others(self, part: str) -> list[tuple[float, np.ndarray, bool]]:
+    def others(self, name: bytes) -> list[tuple[float, np.ndarray, bool]]:
         """What the second best to the n-th best segmentation of a part lose, their ids, and whether they decode, by the search."""
-        if part not in self.others_of:
-            k = self.kept.place[part]
+        if name not in self.others_of:
+            k, part = self.kept.place[name], part_of(name)
             best = tuple(self.kept.flat[self.kept.start[k] : self.kept.start[k] + self.kept.length[k]].tolist())
-            found, want = self.search(part, self.n_best), written(part)
-            rest = [(found[0][0] - s, np.array(ids, dtype=np.uint32), self.spelled(ids) == want) for s, ids in found if ids != best]
-            self.others_of[part] = rest[: self.n_best - 1]
-        return self.others_of[part]
+            found = self.search(part, self.n_best)
+            rest = [(found[0][0] - s, np.array(ids, dtype=np.uint32), self.spelled(ids) == name) for s, ids in found if ids != best]
+            self.others_of[name] = rest[: self.n_best - 1]
+        return self.others_of[name]
 
     def normal(self, text: str) -> str:
         return MARK + text.replace(MARK, RAW).replace(" ", MARK) if text else ""
 
-    def parts(self, text: str) -> list[str]:
-        body = self.normal(text)
-        return self.cut.findall(body) if self.independent else [body] * bool(body)
+    def kinds_of(self, chars: np.ndarray) -> np.ndarray:
+        kinds = self.kinds[chars]
+        if not kinds.all():
+            for c in np.unique(chars[kinds == 0]).tolist():
+                self.kinds[c] = LETTERS if self.apart and LETTER.match(chr(c)) else OTHER
+            kinds = self.kinds[chars]
+        return kinds
+
+    def cut(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct parts of texts under their names (part_of() gives the part), the parts of all texts as places in
+        these, and where the parts of each text begin (and the last end)."""
+        joined = "".join([" " + t for t in texts if t])
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        bounds = offsets([len(t) + 1 if t else 0 for t in texts])
+        begins = np.zeros(len(chars), dtype=bool)
+        if self.independent and len(chars):
+            kinds = self.kinds_of(chars)
+            now, before = kinds[1:], kinds[:-1]
+            both = now | before
+            begins[1:] = ((now == BLANK) & (before != BLANK)) | (both & LINE > 0) | (both == LETTERS | OTHER)
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        first = np.append(np.flatnonzero(begins), len(chars))
+        starts = np.searchsorted(first, bounds)
+        if len(data) > len(chars):
+            wide = 1 + (chars > 0x7F).astype(np.uint8) + (chars > 0x7FF) + (chars > 0xFFFF)
+            first = offsets(wide)[first]
+        return *distinct(data, first), starts
 
     def encode_all(self, texts: list[str]) -> list[tuple[list[float], list[list[np.ndarray]], bool]]:
         """For each text the scores of its n best segmentations, their ids (as arrays to be joined), and whether each decodes
@@ -206,14 +354,14 @@ class Pieces:
         if self.kept.bytes > self.kept.limit:
             self.kept.trim()
             self.others_of.clear()
-        cut = [self.parts(t) for t in texts]
-        first = offsets(np.fromiter(map(len, cut), np.int64, len(cut))).tolist()
-        flat = list(chain.from_iterable(cut))
-        places = self.kept.places(flat)
-        missing = np.flatnonzero(places < 0).tolist()
-        if missing:
-            self.learn(list(dict.fromkeys(flat[k] for k in missing)))
-            places[missing] = [self.kept.place[flat[k]] for k in missing]
+        names, which, starts = self.cut(texts)
+        first = starts.tolist()
+        places = self.kept.places(names)
+        if len(missing := np.flatnonzero(places < 0)):
+            new = [names[k] for k in missing.tolist()]
+            self.learn([part_of(x) for x in new], new)
+            places[missing] = [self.kept.place[x] for x in new]
+        places = places[which]
         ids, ends = self.kept.ids(places)
         best, loss, decodes = self.kept.values[places].T
         want, out = self.n_best - 1, []
@@ -227,13 +375,13 @@ class Pieces:
             for k in near:
                 if len(sums) > want and least[k] >= sums[-1][0]:
                     break
-                more = [(x + y[0], (*at, (k, j))) for x, at in sums for j, y in enumerate(self.others(flat[a + k]))]
+                more = [(x + y[0], (*at, (k, j))) for x, at in sums for j, y in enumerate(self.others(names[which[a + k]]))]
                 sums = nsmallest(want + 1, sums + more)
             each, ok = [[own]], bool(decodes[a:b].all())
             for _, at in sums[1:]:
                 pieces, last = [], ends[a]
                 for k, j in sorted(at):
-                    _, other, right = self.others_of[flat[a + k]][j]
+                    _, other, right = self.others_of[names[which[a + k]]][j]
                     pieces += [ids[last : ends[a + k]], other]
                     last, ok = ends[a + k + 1], ok and right
                 each.append([*pieces, ids[last : ends[b]]])
@@ -263,9 +411,9 @@ def raw_bytes(c: str) -> bytes:
     return (MARK if c == RAW else c).encode("utf-8", "surrogatepass")
 
 
-def written(part: str) -> bytes:
-    """The bytes that a part of a normal text stands for."""
-    return part.replace(MARK, " ").replace(RAW, MARK).encode("utf-8", "surrogatepass")
+def part_of(name: bytes) -> str:
+    """The part of a normal text that the bytes of a text, its name, become."""
+    return name.decode("utf-8", "surrogatepass").replace(MARK, RAW).replace(" ", MARK)
 
 
 @lru_cache(maxsize=1)

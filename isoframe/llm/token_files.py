@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Kept, byte_data, in_arrow, offsets, shared_dir, small
+from .common import Kept, byte_data, distinct, in_arrow, offsets, shared_dir, small
 
 BLOCK = 256
 FILE_BYTES = 32 << 20
@@ -253,14 +253,13 @@ class Encoder:
             alone.add(body[k].as_py())
             begins[bounds[k] + 1 : bounds[k + 1]] = False
         first = np.append(np.flatnonzero(begins), len(data))
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(first), pa.py_buffer(data)]).dictionary_encode()
-        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-        places = self.kept.places(distinct)
+        pieces, which = distinct(data, first)
+        places = self.kept.places(pieces)
         if len(missing := np.flatnonzero(places < 0)):
-            new = [distinct[k] for k in missing.tolist()]
+            new = [pieces[k] for k in missing.tolist()]
             self._learn(new, alone)
             places[missing] = [self.kept.place[p] for p in new]
-        ends, places = np.searchsorted(first, bounds[1:]), places[pieces.indices.to_numpy()]
+        ends, places = np.searchsorted(first, bounds[1:]), places[which]
         if end is not None:
             mark = ("end", end)  # a piece that no text has
             if mark not in self.kept.place:

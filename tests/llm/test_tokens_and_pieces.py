@@ -157,6 +157,38 @@ def test_what_is_kept_has_a_bound_and_changes_nothing(pieces):
         assert np.allclose(few.encode(t)[1], pieces.encode(t)[1])
 
 
+def test_passes_over_arrays_agree_with_those_of_a_part(pieces):
+    made = nbest_pieces.Pieces(tokenizer_file("piece_bpe_32k.model"))
+    rng = np.random.default_rng(5)
+    bits = ["the", "ing", "tion", "e", "s", "x", "é", "ß", "die", " ", " ", "12", ".", "...", "\n", "日", "▁", "\0", "𓀀", "a" * 70]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(300)]
+    made.encode_all(texts)
+    assert len(made.kept.place) > 500
+    for name, k in made.kept.place.items():
+        ids, score, loss = pieces._best(nbest_pieces.part_of(name))
+        start = made.kept.start[k]
+        assert made.kept.flat[start : start + made.kept.length[k]].tolist() == ids
+        assert made.kept.values[k].tolist() == [score, loss, 1.0]
+
+
+def test_words_need_no_pass_of_their_own(monkeypatch):
+    made = nbest_pieces.Pieces(tokenizer_file("piece_bpe_32k.model"))
+    monkeypatch.setattr(made, "_best", None)
+    text = "Thstinnt thndhain, onhalyti the éelleç in erthst. Orth (it) thon 12 tiontiontion"
+    assert made.decode(made.encode(text)[0].tolist()) == text
+
+
+def test_texts_are_cut_as_by_the_pattern(pieces):
+    import re
+
+    letter = r"(?![\xb2\xb3\xb9])[^\W\d_]"
+    pattern = re.compile(rf"▁*(?:{letter})+|▁*(?:(?!{letter})[^▁\n])+|\n|▁+")
+    texts = [*TEXTS, "", "a ▁▁ b▁", "½ x²y³ Ⅷ_a ", "  \n \n", "𓀀a e\u0301", "\n", "ab\0c", ""]
+    names, which, starts = pieces.cut(texts)
+    for t, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+        assert [nbest_pieces.part_of(names[k]) for k in which[a:b]] == pattern.findall(pieces.normal(t))
+
+
 def test_rows_match_the_search_over_whole_texts(spark, pieces):
     texts = ["the cat sat", "a b.", "one\ntwo ün 12", "", "x ▁ y", "Der Hund, die Katze!"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
