@@ -63,6 +63,18 @@ def test_a_word_is_kept_once_whatever_follows_it():
     assert len(made.kept.place) <= 2 * len(words) + len(ends)
 
 
+def test_an_added_token_of_letters(tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    plain.add_tokens(["qwert"])
+    plain.save(str(tmp_path / "more.json"))
+    made = token_files.Encoder(str(tmp_path / "more.json"))
+    texts = ["qwert", "a qwert b", "qwer t", " qwert", "qwerty"]
+    ids, sizes = made.encode(texts, None)
+    assert [c.tolist() for c in np.split(ids, np.cumsum(sizes)[:-1])] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_columns_with_nulls_and_offsets(encoder):
     import pyarrow as pa
 
