@@ -11,7 +11,7 @@ Clustering has two steps. First the UNIT_WORDS most frequent words are moved one
 raises the likelihood of the training bigrams; for that, all other words share units by their last two characters (the
 SUFFIXES heaviest endings, else one for the rest), whose classes are where those words start. Then every word of the head,
 the at most HEAD words that occur at least as often as a threshold, is exchanged by its own counts: a table of the
-classes it stands between, summed over all training texts, gives the likelihood of each class for it, and all move
+classes before it and after it, summed over all training texts, gives the likelihood of each class for it, and all move
 at once (distributed exchange); ROUNDS_ALL such rounds, each undone if the likelihood of the training bigrams is less.
 Words beyond the head have the class of their ending; their own counts are joined.
 
@@ -24,20 +24,23 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_texts, in_arrow, small, stored, with_fields
+from .common import LOWER, byte_data, byte_texts, in_arrow, small, stored, with_fields
 
 UNIT_WORDS, SUFFIXES, CLASSES = 1500, 500, 64
 HEAD = 300_000
 ROUNDS_ALL = 1
 PULL = 20.0  # weight of the classes' own frequencies in a transition
 ROUNDS = 6
+TEXT_BYTES, SENT = 1 << 20, 50_000  # bytes in a batch of texts, counts in a batch that is sent
+HELD = 2_000_000  # neighbours that a worker holds before it counts them
+ENTRY = np.dtype([("at", "<i4"), ("n", "<i8")])  # of a packed row
 END = b""
 
 
@@ -52,21 +55,51 @@ def word_counts(train: DataFrame, text: str) -> DataFrame:
         found: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_pydict(
-                {"word": pa.array(list(found), pa.binary()).cast(pa.string()), "n": pa.array(list(found.values()), pa.int64())}
-            )
+            rows = iter(found.items())
+            while some := list(islice(rows, SENT)):
+                words, n = zip(*some, strict=True)
+                yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()).cast(pa.string()), "n": pa.array(n, pa.int64())})
+            found.clear()
 
-        for batch in small(batches, text):
+        for batch in small(batches, text, TEXT_BYTES):
             for t in byte_texts(batch.column(0)):
                 found.update(tokens(t))
                 found[END] += 1
                 if len(found) > most:
-                    yield out()
-                    found.clear()
-        if found:
-            yield out()
+                    yield from out()
+        yield from out()
 
-    return train.select(text).transform(in_arrow, count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
+    rows = train.select(text).transform(in_arrow, count, "word string, n bigint")
+    return rows.repartition("word").groupBy("word").agg(F.sum("n").alias("c"))  # a task's words are distinct already
+
+
+def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, sorted, and the sum of n of each."""
+    code, where = np.unique(code, return_inverse=True)
+    return code, np.bincount(where, weights=n, minlength=len(code))
+
+
+def packed(code: np.ndarray, n: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, seen) of sorted codes key * width + at: all (at, n) of a key in one row, a batch of SENT such or one row."""
+    key = code // width
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    ends, k = np.append(first, len(code)), 0
+    while k < len(first):
+        until = max(k + 1, int(np.searchsorted(ends, ends[k] + SENT, side="right")) - 1)
+        bounds = ends[k : until + 1]
+        entries = np.empty(bounds[-1] - bounds[0], dtype=ENTRY)
+        entries["at"], entries["n"] = code[bounds[0] : bounds[-1]] % width, n[bounds[0] : bounds[-1]]
+        cuts = ((bounds - bounds[0]) * ENTRY.itemsize).astype(np.int32)
+        seen = pa.Array.from_buffers(pa.binary(), until - k, [None, pa.py_buffer(cuts), pa.py_buffer(entries.tobytes())])
+        yield pa.RecordBatch.from_pydict({"key": pa.array(key[bounds[:-1]], pa.int32()), "seen": seen})
+        k = until
+
+
+def unpacked(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and n of packed rows."""
+    data, bounds = byte_data(batch.column(1).cast(pa.large_binary()))
+    entries = np.frombuffer(data.tobytes(), dtype=ENTRY)
+    return np.repeat(batch.column(0).to_numpy().astype(np.int64), np.diff(bounds) // ENTRY.itemsize) * width + entries["at"], entries["n"]
 
 
 class Units:
@@ -177,16 +210,22 @@ def likelihood(table: np.ndarray) -> float:
 def best_classes(own: np.ndarray, place: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The class of each word that raises the likelihood most if it alone moves, by the classes it stands between.
 
-    own: the words' classes; (place, before, after, n): which word stands how often between which classes, sorted by place.
+    own: the words' classes; (place, before, after, n): which word stands how often between which classes.
+    """
+    k = len(table)
+    return best_beside(own, summed(place * k + before, n), summed(place * k + after, n), table)
+
+
+def best_beside(own: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray], table: np.ndarray) -> np.ndarray:
+    """best_classes by the sums on either side: distinct codes place * classes + neighbour, sorted, and how often.
+
     What a word loses by leaving its class is counted on the table without it (a word beside itself counts as beside its class).
     """
     k = len(table)
     gain = np.zeros((len(own), k))
     sides = ((after, table.T, table.sum(1)), (before, table, table.sum(0)))  # rows: the neighbour's class, columns: the word's
     words = np.arange(len(own))
-    for neighbour, of, total in sides:
-        code, where = np.unique(place * k + neighbour, return_inverse=True)
-        counts = np.bincount(where, weights=n)
+    for (code, counts), of, total in sides:
         word, c = code // k, code % k
         for at in range(0, len(code), 50_000):
             w, x, m = word[at : at + 50_000], of[c[at : at + 50_000]], counts[at : at + 50_000, None]
@@ -196,7 +235,7 @@ def best_classes(own: np.ndarray, place: np.ndarray, before: np.ndarray, after:
             more[mine] = x_log_x(stay) - x_log_x(np.maximum(stay - m[:, 0], 0))
             first = np.flatnonzero(np.diff(w, prepend=-1))
             gain[w[first]] += np.add.reduceat(more, first)
-        sums = np.bincount(place, weights=n, minlength=len(own))[:, None]
+        sums = np.bincount(word, weights=counts, minlength=len(own))[:, None]
         less = x_log_x(total + sums) - x_log_x(total)
         stay = total[own]
         less[words, own] = x_log_x(stay) - x_log_x(np.maximum(stay - sums[:, 0], 0))
@@ -276,7 +315,7 @@ def fit(train: DataFrame, text: str = "text", head: int = HEAD) -> tuple[Model,
 
     def pairs(batches: Iterator[pa.RecordBatch]):
         u, found = known.value, None
-        for batch in small(batches, text):
+        for batch in small(batches, text, TEXT_BYTES):
             _, x, first, _ = u.read(byte_texts(batch.column(0)))
             before = np.concatenate([[0], x[:-1]])
             before[first[:-1]] = u.unit[END]
@@ -284,11 +323,20 @@ def fit(train: DataFrame, text: str = "text", head: int = HEAD) -> tuple[Model,
             found = np.zeros(u.n * u.n, dtype=np.int64) if found is None else found
             found[pair] += n
         if found is not None:
-            at = np.flatnonzero(found)
-            for k in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_pydict({"pair": at[k : k + 100_000], "n": found[at[k : k + 100_000]]})
-
-    grouped = train.select(text).transform(in_arrow, pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+            pair = np.flatnonzero(found)
+            yield from packed(pair, found[pair], u.n)
+
+    def add(batches: Iterator[pa.RecordBatch], n=units.n):
+        found = np.zeros(n * n, dtype=np.int64)
+        for batch in batches:
+            pair, more = unpacked(batch, n)
+            np.add.at(found, pair, more)
+        pair = np.flatnonzero(found)
+        for k in range(0, len(pair), SENT):
+            yield pa.RecordBatch.from_pydict({"pair": pair[k : k + SENT], "n": found[pair[k : k + SENT]]})
+
+    rows = train.select(text).transform(in_arrow, pairs, "key int, seen binary").repartition("key")
+    grouped = rows.transform(in_arrow, add, "pair bigint, n bigint").toArrow()
     order = np.argsort(grouped.column("pair").to_numpy())
     pair, n = grouped.column("pair").to_numpy()[order], grouped.column("n").to_numpy()[order].astype(np.float64)
     model = Model(units, exchange(pair, n, units.n))
@@ -315,7 +363,7 @@ def class_bigrams(train: DataFrame, text: str, model: Model) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]):
         found = np.zeros(k * k, dtype=np.int64)
-        for batch in small(batches, text):
+        for batch in small(batches, text, TEXT_BYTES):
             at, units, first, _ = shared.value.units.read(byte_texts(batch.column(0)))
             cls, before = shared.value.classes(at, units, first)
             found += np.bincount(before * k + cls, minlength=k * k)
@@ -333,30 +381,37 @@ def exchanged(train: DataFrame, text: str, model: Model, table: np.ndarray) -> n
     shared, k = train.sparkSession.sparkContext.broadcast(model), model.k
 
     def count(batches: Iterator[pa.RecordBatch]):
-        for batch in small(batches, text):
+        held, size = [], 0
+        for batch in small(batches, text, TEXT_BYTES):
             m = shared.value
             at, units, first, _ = m.units.read(byte_texts(batch.column(0)))
             cls, before = m.classes(at, units, first)
             moves = np.flatnonzero((at >= 0) & (units >= m.units.own))  # never an end token, so a token follows
-            code, n = np.unique((at[moves] * k + before[moves]) * k + cls[moves + 1], return_counts=True)
-            word = code // (k * k)
-            yield pa.RecordBatch.from_pydict({"word": word.astype(np.int32), "between": (code % (k * k)).astype(np.int32), "n": n})
+            held += [at[moves] * (2 * k) + before[moves], at[moves] * (2 * k) + k + cls[moves + 1]]
+            size += 2 * len(moves)
+            if size > HELD:
+                yield from packed(*np.unique(np.concatenate(held), return_counts=True), 2 * k)
+                held, size = [], 0
+        if size:
+            yield from packed(*np.unique(np.concatenate(held), return_counts=True), 2 * k)
 
     def move(batches: Iterator[pa.RecordBatch]):
-        held = None
+        code, n = np.zeros(0, np.int64), np.zeros(0)
         for batch in chain(batches, [None]):
-            rows = [x.to_numpy() for x in batch.columns] if batch is not None else [np.zeros(0, np.int64)] * 3
-            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            whole = len(rows[0]) if batch is None else int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            held = [x[whole:] for x in rows]  # the last word may go on
-            if whole:
-                word, between, n = (x[:whole].astype(np.int64) for x in rows)
-                mine, place = np.unique(word, return_inverse=True)
-                best = best_classes(shared.value.head_class[mine], place, between // k, between % k, n.astype(np.float64), table)
+            if batch is not None:
+                more = unpacked(batch, 2 * k)
+                code, n = summed(np.concatenate([code, more[0]]), np.concatenate([n, more[1]]))
+            whole = len(code) if batch is None else int(np.searchsorted(code, code[-1] // (2 * k) * (2 * k))) if len(code) else 0
+            if whole:  # the last word may go on
+                mine, place = np.unique(code[:whole] // (2 * k), return_inverse=True)
+                beside, times = code[:whole] % (2 * k), n[:whole]
+                left = beside < k
+                sides = [(place[x] * k + beside[x] % k, times[x]) for x in (left, ~left)]
+                best = best_beside(shared.value.head_class[mine], *sides, table)
                 yield pa.RecordBatch.from_pydict({"word": mine, "class": best})
+            code, n = code[whole:], n[whole:]
 
-    rows = train.select(text).transform(in_arrow, count, "word int, between int, n bigint")
-    rows = rows.repartition("word").groupBy("word", "between").agg(F.sum("n").alias("n")).sortWithinPartitions("word")
+    rows = train.select(text).transform(in_arrow, count, "key int, seen binary").repartition("key").sortWithinPartitions("key")
     found = rows.transform(in_arrow, move, "word bigint, class bigint").toArrow()  # a row for each word of the head
     out = model.head_class.copy()
     out[found.column("word").to_numpy()] = found.column("class").to_numpy()
@@ -371,7 +426,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, text: str = "text", ke
     kind = pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in small(batches, "body"):
+        for batch in small(batches, "body", TEXT_BYTES):
             x = shared.value.score(byte_texts(batch.column("body")))
             rest = pa.array([[{"w": w.decode(), "n": n} for w, n in r.items()] for r in x["rest"]], kind)
             columns = [batch.column(f"key_{i}") for i in range(len(keys))]

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from isoframe.llm import class_lm, pu_quality
@@ -74,6 +75,50 @@ def test_best_classes_match_single_moves():
     assert moved
 
 
+def test_passes_send_few_rows_in_small_batches(spark, monkeypatch):
+    """Pairs go as a row for each unit, neighbours as a row for each word, words in batches; classes are those by all contexts."""
+    sent = []
+
+    def watched(rows, f, schema, in_arrow=class_lm.in_arrow):
+        sent.append((f, in_arrow(rows, f, schema)))
+        return sent[-1][1]
+
+    monkeypatch.setattr(class_lm, "UNIT_WORDS", 2)
+    monkeypatch.setattr(class_lm, "in_arrow", watched)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 12, 200)) for _ in range(6)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    model, _ = class_lm.fit(docs)
+    count, pairs, neighbours = [x for x in sent if x[0].__name__ in ("count", "pairs")][:3]
+    assert pairs[1].count() <= model.units.n and neighbours[1].count() <= 12
+    monkeypatch.setattr(class_lm, "SENT", 5)
+    batches = list(count[0](iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    assert max(b.num_rows for b in batches) <= 5
+    assert sorted(w for b in batches for w in b.column(0).to_pylist()) == sorted(["", *(f"w{k}" for k in range(12))])
+
+    table = class_lm.class_bigrams(docs, "text", model)
+    at, units, first, _ = model.units.read([t.encode() for t in texts])
+    cls, before = model.classes(at, units, first)
+    moves = np.flatnonzero(units >= model.units.own)
+    mine, place = np.unique(at[moves], return_inverse=True)
+    want = model.head_class.copy()
+    want[mine] = class_lm.best_classes(want[mine], place, before[moves], cls[moves + 1], np.ones(len(moves)), table)
+    for held in (3, 10**6):  # neighbours counted after each text's batch, or once
+        monkeypatch.setattr(class_lm, "HELD", held)
+        assert (class_lm.exchanged(docs.repartition(3), "text", model, table) == want).all()
+
+
+def test_packed_rows_come_back(monkeypatch):
+    code, n = np.array([0, 3, 4, 5, 6, 7, 40, 79]), np.array([1, 2, 1 << 40, 4, 5, 6, 7, 8])
+    for sent in (1, 3, 100):
+        monkeypatch.setattr(class_lm, "SENT", sent)
+        batches = list(class_lm.packed(code, n, 4))
+        assert [k for b in batches for k in b.column(0).to_pylist()] == [0, 1, 10, 19]
+        assert all(b.num_rows == 1 or len(class_lm.unpacked(b, 4)[0]) <= sent for b in batches)
+        assert [np.concatenate(x).tolist() for x in zip(*[class_lm.unpacked(b, 4) for b in batches], strict=True)] == [code.tolist(), n.tolist()]
+    assert list(class_lm.packed(code[:0], n[:0], 4)) == []
+
+
 def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(1, "a b a c"), (2, "b a d")], "doc_id bigint, text string")
     model, _ = class_lm.fit(docs)
