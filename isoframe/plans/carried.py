@@ -22,6 +22,7 @@ from . import samples
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+TASK_FILES = 20_000  # files that a task writes and parses, at most about so many
 SIZES = "2 + p_size % 7 AS w, 2 + p_partkey % 5 AS h"
 
 
@@ -69,7 +70,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "length": pa.array(map(len, found), pa.int64()), "content": pa.array(found, pa.binary())})
 
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    return part.mapInArrow(run, samples.FILES)
+    # The rows are small and a row group isn't split: as read, a million files would be written and parsed in one task.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-part.count() // TASK_FILES))
+    return part.repartition(tasks, "p_partkey").mapInArrow(run, samples.FILES)
 
 
 def containers(spark: SparkSession, sf_dir: str) -> heif.Containers:
@@ -93,7 +96,7 @@ def file_iptc(spark, sf_dir):
 @query("SELECT p_partkey, '<x>' || p_name || '</x>' AS xmp FROM part")
 def file_xmp(spark, sf_dir):
     c = containers(spark, sf_dir)
-    data = ct.item_data(c).withColumnRenamed("item_id", "source_id")
+    data = ct.item_data(c, ("mime",)).withColumnRenamed("item_id", "source_id")
     return keyed(ct.xmp_items(c).where("item_id = 1").join(data, ["path", "source_id"]), F.decode("data", "UTF-8").alias("xmp"))
 
 

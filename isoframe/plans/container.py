@@ -1,7 +1,8 @@
 """Relational views over container tables: item resolution, references, fallbacks and derived lookups.
 
-The format's rule is that the first match in file order wins; a plain join would multiply rows. So each lookup takes the
-least ordinal of its key first (`first_by`), an aggregate that Spark combines before its shuffle.
+The format's rule is that the first match in file order wins; a plain join would multiply rows. Within one table the parser
+marks what comes first (`Containers.first_rows`), so nothing is shuffled for it; what is found by joins takes the least
+ordinal of its key (`first_by`), an aggregate that Spark combines before its shuffle.
 All joins are on (path, ...): tables of one file are small, those of all files are partitioned by path.
 """
 
@@ -50,7 +51,7 @@ def is_gain_map(urn: Column) -> Column:
 
 
 def unique_items(c: Containers) -> DataFrame:
-    return first_by(c.items, ["path", "item_id"], ["ordinal"])
+    return c.first_rows("items")
 
 
 def primary_items(c: Containers) -> DataFrame:
@@ -60,9 +61,10 @@ def primary_items(c: Containers) -> DataFrame:
 
 def linked_properties(c: Containers) -> DataFrame:
     """Properties of each item in association order; only the first association entry of an item counts."""
-    first = c.item_properties.groupBy("path", "item_id").agg(F.min("entry").alias("entry"))
-    links = c.item_properties.join(first, ["path", "item_id", "entry"]).where("prop_index > 0")
-    return links.join(c.properties, ["path", "prop_index"]).drop("entry")
+    links = c.parsed.where("error is null").select("path", "properties", F.explode("links").alias("x")).where("x.first and x.prop_index > 0")
+    # properties are in order of their index, from 1
+    own = links.select("path", "x.item_id", "x.assoc_pos", "x.essential", F.get("properties", F.col("x.prop_index") - 1).alias("p"))
+    return own.where("p is not null").select("path", "item_id", "assoc_pos", "essential", "p.*")
 
 
 def first_property(c: Containers, kind: str, *columns: str) -> DataFrame:
@@ -76,8 +78,7 @@ def image_sizes(c: Containers) -> DataFrame:
 
 def references(c: Containers) -> DataFrame:
     """Targets of the first reference of each (from, type), in order."""
-    first = c.item_refs.groupBy("path", "from_id", "ref_type").agg(F.min("ref_ordinal").alias("ref_ordinal"))
-    return c.item_refs.join(first, ["path", "from_id", "ref_type", "ref_ordinal"])
+    return c.first_rows("refs")
 
 
 def referencing(c: Containers, kind: str) -> DataFrame:
@@ -248,28 +249,46 @@ def wanted_items(c: Containers, roots: DataFrame) -> DataFrame:
     return found.unionByName(notes).distinct()
 
 
-def item_data(c: Containers) -> DataFrame:
+def item_data(c: Containers, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """(path, item_id, data): extents in file order, from the file or its idat; items made of other items have no row here.
 
-    Only the first location of an item counts; length 0 runs to the end; an extent out of range makes the whole null.
+    Only the first location of an item counts; length 0 runs to the end; an extent out of range makes the whole null. A file's
+    extents lie beside its bytes, so nothing is joined. kinds: only the ids that some item of these types has.
     """
-    first = c.item_extents.groupBy("path", "item_id").agg(F.min("location").alias("location"))
-    rows = c.item_extents.join(first, ["path", "item_id", "location"]).where("method <> 'item'")
-    source = c.parsed.where("error is null").select("path", "content", "idat")
-    rows = rows.join(source, "path").withColumn("source", F.when(F.col("method") == "idat", F.col("idat")).otherwise(F.col("content")))
-    size = F.length("source")
-    n = F.when(F.col("length") == 0, size - F.col("offset")).otherwise(F.col("length"))
-    inside = (F.col("offset") <= size) & (n >= 0) & (F.col("offset") + n <= size)
-    piece = F.when(inside, F.col("source").substr((F.col("offset") + 1).cast("int"), n.cast("int")))
-    parts = rows.select("path", "item_id", "extent_no", piece.alias("piece"))
-    whole = parts.groupBy("path", "item_id").agg(F.array_sort(F.collect_list(F.struct("extent_no", "piece"))).alias("p"), F.count_if(F.col("piece").isNull()).alias("bad"))
-    joined = F.aggregate(F.transform("p", lambda x: x["piece"]), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
-    return whole.select("path", "item_id", F.when(F.col("bad") == 0, joined).alias("data"))
-
-
-def fields_of(c: Containers, found: DataFrame, read, ddl: str) -> DataFrame:
-    """(path, item_id, and what read makes of the bytes) of the first described item of each image."""
-    data = item_data(c).withColumnRenamed("item_id", "source_id")
+    place = F.transform("extents", lambda x: F.struct(*(x[k].alias(k) for k in ("location", "item_id", "method", "offset", "length"))))
+    asked = F.transform(F.filter("items", lambda x: x["item_type"].isin(*kinds)), lambda x: x["item_id"]) if kinds else F.lit(None).cast("array<bigint>")
+    rows = c.parsed.where("error is null").select("path", asked.alias("asked"), place.alias("places"), "idat", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            paths, ids, data = [], [], []
+            for path, asked, places, idat, content in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                asked = None if asked is None else set(asked)
+                first: dict[int, int] = {}
+                pieces: dict[int, list[bytes | None]] = {}
+                for x in places or []:
+                    n = x["item_id"]
+                    if (asked is not None and n not in asked) or first.setdefault(n, x["location"]) != x["location"] or x["method"] == "item":
+                        continue
+                    pieces.setdefault(n, []).append(extent(idat if x["method"] == "idat" else content, x["offset"], x["length"]))
+                paths += [path] * len(pieces)
+                ids += pieces
+                data += [None if None in p else b"".join(p) for p in pieces.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["path", "item_id", "data"])
+
+    return (rows.where(F.size("asked") > 0) if kinds else rows).mapInArrow(run, "path string, item_id bigint, data binary")
+
+
+def extent(source: bytes | None, offset: int, length: int) -> bytes | None:
+    if source is None:
+        return None
+    n = length or len(source) - offset
+    return source[offset : offset + n] if 0 <= offset <= len(source) and 0 <= n <= len(source) - offset else None
+
+
+def fields_of(c: Containers, found: DataFrame, kinds: tuple[str, ...], read, ddl: str) -> DataFrame:
+    """(path, item_id, and what read makes of the bytes) of the first described item, of one of these types, of each image."""
+    data = item_data(c, kinds).withColumnRenamed("item_id", "source_id")
     rows = first_by(found, ["path", "item_id"], ["ordinal"]).join(data, ["path", "source_id"]).select("path", "item_id", "data")
     kinds = to_arrow_schema(T.StructType.fromDDL(ddl))
     names = kinds.names
@@ -284,7 +303,7 @@ def fields_of(c: Containers, found: DataFrame, read, ddl: str) -> DataFrame:
 
 
 def exif_fields(c: Containers) -> DataFrame:
-    return fields_of(c, exif_items(c), metadata.exif, "make string, model string, software string, date_time string, orientation int, has_gps boolean")
+    return fields_of(c, exif_items(c), ("Exif",), metadata.exif, "make string, model string, software string, date_time string, orientation int, has_gps boolean")
 
 
 def iptc_fields(c: Containers) -> DataFrame:
@@ -297,7 +316,7 @@ def iptc_fields(c: Containers) -> DataFrame:
             return {}
 
     ddl = ", ".join(f"{k} string" for k in metadata.IPTC_FIELDS) + ", keywords array<string>"
-    return fields_of(c, iptc_items(c), read, ddl)
+    return fields_of(c, iptc_items(c), ("iptc", "mime"), read, ddl)
 
 
 def report(c: Containers) -> DataFrame:

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import cached_property
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,9 @@ TRACK = (
     "track_id bigint, handler string, refs array<string>, timescale bigint, sizes array<bigint>, chunks array<bigint>, stsc array<array<bigint>>,"
     " stts array<array<bigint>>, ctts array<array<bigint>>, stss array<bigint>"
 )
+#: Key and order of the tables in which the first of a key counts; their nested rows are marked by `first`.
+FIRST = {"items": (("item_id",), "ordinal"), "refs": (("from_id", "ref_type"), "ref_ordinal"), "links": (("item_id",), "entry")}
+MOST_FILES = 500  # parsed into Python rows at once
 NESTED = {"items": ITEM, "extents": EXTENT, "refs": REF, "properties": PROPERTY, "links": LINK, "tracks": TRACK}
 
 
@@ -45,7 +49,18 @@ SCHEMA = (
 
 
 def schema(spark: SparkSession) -> StructType:
-    return StructType.fromDDL(SCHEMA + ", ".join(f"{k} array<{_nested(v)}>" for k, v in NESTED.items()))
+    return StructType.fromDDL(SCHEMA + ", ".join(f"{k} array<{_nested(v + ', first boolean' * (k in FIRST))}>" for k, v in NESTED.items()))
+
+
+def mark_first(rows: list[dict], keys: tuple[str, ...], order: str) -> None:
+    """first: whether a row has the least order of its key (several may have it)."""
+    key, least = itemgetter(*keys), {}
+    for x in rows:
+        k = key(x)
+        if least.setdefault(k, x[order]) > x[order]:
+            least[k] = x[order]
+    for x in rows:
+        x["first"] = least[key(x)] == x[order]
 
 
 def parse(files: DataFrame, keep_content: bool = True) -> DataFrame:
@@ -56,7 +71,7 @@ def parse(files: DataFrame, keep_content: bool = True) -> DataFrame:
     kinds = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in (b.slice(at, MOST_FILES) for b in batches for at in range(0, b.num_rows, MOST_FILES)):
             rows = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 row = dict.fromkeys(kinds.names) | {"path": path, "length": len(content or b""), "content": content if keep_content else None}
@@ -69,6 +84,8 @@ def parse(files: DataFrame, keep_content: bool = True) -> DataFrame:
                             raise
                         found = {"brands": None, "primary_id": None, "items": [], "extents": [], "refs": [], "properties": [], "links": [], "idat": b""}
                     brands = found.pop("brands") or {"major": None, "minor": None, "compatible": None}
+                    for name, by in FIRST.items():
+                        mark_first(found[name], *by)
                     row |= found | brands | {"tracks": tracks}
                 except (boxes.BadFile, UnicodeDecodeError) as e:
                     row["error"] = str(e)
@@ -91,7 +108,13 @@ class Containers:
         self.parsed = parsed
 
     def _table(self, name: str) -> DataFrame:
-        return self.parsed.where("error is null").select("path", F.explode(name).alias("x")).select("path", "x.*")
+        rows = self.parsed.where("error is null").select("path", F.explode(name).alias("x")).select("path", "x.*")
+        return rows.drop("first") if name in FIRST else rows
+
+    def first_rows(self, name: str) -> DataFrame:
+        """The rows of a table of FIRST that come first of their key."""
+        rows = self.parsed.where("error is null").select("path", F.explode(name).alias("x")).where("x.first")
+        return rows.select("path", "x.*").drop("first")
 
     @cached_property
     def files(self) -> DataFrame:
