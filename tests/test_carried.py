@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 #: Shuffles of each query once its files are stored, at most.
 SHUFFLES = {
     "file_exif": 16,
+    "file_sample_bytes": 13,
 }
 
 
