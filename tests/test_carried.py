@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.001"
 SHUFFLES = {
     "file_exif": 16,
     "file_sample_bytes": 13,
+    "file_iptc": 16,
 }
 
 
