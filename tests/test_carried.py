@@ -14,6 +14,7 @@ SHUFFLES = {
     "file_exif": 16,
     "file_sample_bytes": 13,
     "file_iptc": 16,
+    "file_colours": 23,
 }
 
 
