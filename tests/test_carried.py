@@ -15,6 +15,7 @@ SHUFFLES = {
     "file_sample_bytes": 13,
     "file_iptc": 16,
     "file_colours": 23,
+    "file_auxiliary": 10,
 }
 
 
