@@ -16,6 +16,7 @@ SHUFFLES = {
     "file_iptc": 16,
     "file_colours": 23,
     "file_auxiliary": 10,
+    "file_frames": 10,
 }
 
 
