@@ -17,6 +17,7 @@ SHUFFLES = {
     "file_colours": 23,
     "file_auxiliary": 10,
     "file_frames": 10,
+    "file_property_sharing": 2,
 }
 
 
