@@ -18,6 +18,7 @@ SHUFFLES = {
     "file_auxiliary": 10,
     "file_frames": 10,
     "file_property_sharing": 2,
+    "file_top_level": 8,
 }
 
 
