@@ -19,6 +19,7 @@ SHUFFLES = {
     "file_frames": 10,
     "file_property_sharing": 2,
     "file_top_level": 8,
+    "file_wanted": 14,
 }
 
 
