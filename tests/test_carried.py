@@ -20,6 +20,7 @@ SHUFFLES = {
     "file_property_sharing": 2,
     "file_top_level": 8,
     "file_wanted": 14,
+    "file_xmp": 16,
 }
 
 
