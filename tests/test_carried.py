@@ -21,6 +21,7 @@ SHUFFLES = {
     "file_top_level": 8,
     "file_wanted": 14,
     "file_xmp": 16,
+    "file_sizes": 1,
 }
 
 
