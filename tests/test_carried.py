@@ -22,6 +22,7 @@ SHUFFLES = {
     "file_wanted": 14,
     "file_xmp": 16,
     "file_sizes": 1,
+    "file_track_seconds": 10,
 }
 
 
