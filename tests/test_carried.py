@@ -23,6 +23,7 @@ SHUFFLES = {
     "file_xmp": 16,
     "file_sizes": 1,
     "file_track_seconds": 10,
+    "file_thumbnails": 4,
 }
 
 
